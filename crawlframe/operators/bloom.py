@@ -1,0 +1,46 @@
+"""Size and fill of a Bloom filter over a set of URLs, worked out as an aggregate."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import DataFrame, functions as F
+
+EXPECTED_ELEMENTS = 1_000_000
+FALSE_POSITIVE_RATE = 0.01
+
+
+def bloom_size(elements: int = EXPECTED_ELEMENTS, rate: float = FALSE_POSITIVE_RATE) -> tuple[int, int]:
+    """Bits and number of hash functions for the expected number of elements."""
+    bits = math.ceil(-elements * math.log(rate) / math.log(2) ** 2)
+    return bits, math.ceil(math.log(2) * bits / elements)
+
+
+def bloom_stats(urls: DataFrame, elements: int = EXPECTED_ELEMENTS,
+                rate: float = FALSE_POSITIVE_RATE) -> DataFrame:
+    """element_count, bit_array_size, hash_functions, fill_ratio, estimated_fp_rate.
+
+    The positions of a URL are h1 + i*h2 modulo the size, from the two halves
+    of its MD5 digest. Bits are gathered into 4 KiB bitmaps by the built-in
+    bitmap aggregate, so a task ships at most the filter itself.
+    """
+    bits, hashes = bloom_size(elements, rate)
+    halves = urls.select(
+        F.conv(F.substring(F.md5("url"), 1, 15), 16, 10).cast("bigint").alias("h1"),
+        F.conv(F.substring(F.md5("url"), 16, 15), 16, 10).cast("bigint").alias("h2"))
+    i = F.explode(F.sequence(F.lit(0), F.lit(hashes - 1)))
+    positions = (halves.select((F.col("h1") % bits).alias("h1"), (F.col("h2") % bits).alias("h2"),
+                               i.alias("i"))
+                       .select(((F.col("h1") + F.col("i") * F.col("h2")) % bits).alias("pos")))
+    filled = (positions.groupBy(F.bitmap_bucket_number("pos").alias("b"))
+                       .agg(F.bitmap_construct_agg(F.bitmap_bit_position("pos")).alias("bitmap"))
+                       .agg(F.coalesce(F.sum(F.bitmap_count("bitmap")), F.lit(0)).alias("set_bits")))
+    total = urls.agg(F.count(F.lit(1)).alias("element_count"))
+    load = F.col("element_count") / F.lit(float(bits))
+    estimate = (F.when(F.col("element_count") == 0, 0.0).when(load > 0.7, 0.1)
+                 .otherwise(F.lit(rate) * (load / F.lit(0.1))))
+    return total.crossJoin(filled).select(
+        "element_count", F.lit(bits).cast("bigint").alias("bit_array_size"),
+        F.lit(hashes).cast("bigint").alias("hash_functions"),
+        (F.col("set_bits") / F.lit(float(bits))).alias("fill_ratio"),
+        estimate.alias("estimated_fp_rate"))
