@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from html.entities import html5
 
 from pyspark.sql import Column, functions as F
@@ -23,27 +22,27 @@ _ATTRIBUTE_VALUE = r"""(?s)^[^\s=]+\s*=\s*(?:"(.*)"|'(.*)'|(.*))$"""
 _ENTITY_TOKEN = r"(?s)&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&"
 
 
-def _entity_map() -> Column:
-    """Named character references of HTML5, as one map literal built from the standard library."""
-    return F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+# Named character references from the standard library, and what the code points 128-159 mean in
+# numeric references, as lines "name=text". One string literal is cheaper to plan with than a map
+# literal, and a lookup is only made for references that occur.
+_NAMED = "".join(f"\n{name}={chars}" for name, chars in html5.items() if "\n" not in chars) + "\n"
+_WINDOWS_1252 = "".join(
+    f"\n{code}={bytes([code]).decode('cp1252')}" for code in range(128, 160)
+    if bytes([code]).decode("cp1252", errors="ignore")) + "\n"
 
 
-def _windows_1252() -> Column:
-    """Code points 128-159 in numeric references mean Windows-1252 characters."""
-    table = {}
-    for code in range(128, 160):
-        char = bytes([code]).decode("cp1252", errors="ignore")
-        if char:
-            table[str(code)] = char
-    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+def _look_up(table: str, name: Column) -> Column:
+    """Text of a name in a table of lines, '' if it is not there."""
+    pattern = F.concat(F.lit("\n"), name, F.lit("=([^\n]+)"))
+    return F.call_function("regexp_extract", F.lit(table), pattern, F.lit(1))
 
 
 def _code_point(code: Column) -> Column:
     invalid = code.isNull() | (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
     utf32 = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
     return F.when(invalid, "�") \
-            .when(code.between(128, 159),
-                  F.coalesce(F.try_element_at(_windows_1252(), code.cast("string")), utf32)) \
+            .when(code.between(128, 159), F.coalesce(
+                F.nullif(_look_up(_WINDOWS_1252, code.cast("string")), F.lit("")), utf32)) \
             .otherwise(utf32)
 
 
@@ -55,7 +54,7 @@ def _decode_token(token: Column) -> Column:
     name = F.substring(token, 2, 1 << 30)
     return F.when(~F.startswith(token, F.lit("&")) | (token == "&"), token) \
             .when(F.startswith(token, F.lit("&#")), _code_point(code)) \
-            .otherwise(F.coalesce(F.try_element_at(_entity_map(), name), token))
+            .otherwise(F.coalesce(F.nullif(_look_up(_NAMED, name), F.lit("")), token))
 
 
 def decode_entities(text: Column) -> Column:
@@ -72,12 +71,12 @@ def extract_title(html: Column) -> Column:
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    """Decoded value of the first attribute of that name, NULL if the tag has none."""
+    """Value of the first attribute of that name, not decoded, NULL if the tag has none."""
     attributes = F.regexp_extract_all(F.regexp_replace(tag, r"^<[^\s/>]+|>$", ""),
                                       F.lit(_ATTRIBUTE), F.lit(0))
     named = F.filter(attributes, lambda a: F.rlike(a, F.lit(rf"(?i)^{name}(\s*=|$)")))
-    return let(F.try_element_at(named, F.lit(1)), lambda a: decode_entities(F.concat(*[
-        F.regexp_extract(a, _ATTRIBUTE_VALUE, i) for i in (1, 2, 3)])))
+    return let(F.try_element_at(named, F.lit(1)), lambda a: F.concat(*[
+        F.regexp_extract(a, _ATTRIBUTE_VALUE, i) for i in (1, 2, 3)]))
 
 
 def _references(tags: Column) -> Column:
@@ -86,7 +85,7 @@ def _references(tags: Column) -> Column:
     sources = F.filter(tags, lambda t: F.rlike(t, F.lit(r"(?i)\bsrc\b")))
     found = F.concat(F.transform(anchors, lambda t: _attribute(t, "href")),
                      F.transform(sources, lambda t: _attribute(t, "src")))
-    return F.filter(found, lambda r: r.isNotNull())
+    return F.transform(F.filter(found, lambda r: r.isNotNull()), decode_entities)
 
 
 def raw_references(html: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import error_category, frontier_key, store_key, truncate_text
 from ..functions.urls import is_valid_url, report_domain
+from ..schemas import TIMESTAMP_FORMAT
 
 MAX_BODY_BYTES = 2 * 1024 * 1024
 NOT_HTML = "skipped non-HTML content: "
@@ -78,26 +79,40 @@ def search_db_view(entries: DataFrame, term: str) -> DataFrame:
     return entries.filter(F.contains(F.lower("url"), needle) | F.contains(F.lower("search_text"), needle))
 
 
+def _json(df: DataFrame) -> Column:
+    return F.to_json(F.struct(*df.columns), {"timestampFormat": TIMESTAMP_FORMAT})
+
+
+def lookup_keys(frontier: DataFrame, results: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, database, raw_value for every asked ``key``; database and value are NULL if it is unknown.
+
+    The two tables have different key prefixes, so each key is looked for in
+    one of them. Keys are made distinct first, and stored keys are unique.
+    """
+    def stored(df: DataFrame, key: Column, name: str) -> DataFrame:
+        return df.select(key.alias("key"), F.lit(name).alias("database"),
+                         _json(df).alias("raw_value"))
+
+    asked = keys.select("key").distinct()
+    urls = stored(frontier, frontier_key(F.col("url")), "URLs")
+    rows = stored(results, store_key(F.col("url"), F.col("processed_at")), "Results")
+    return asked.join(urls.unionByName(rows), "key", "left")
+
+
 def lookup_key(frontier: DataFrame, results: DataFrame, key: str) -> DataFrame:
-    """database, key, raw_value for one store key; the frontier is asked first.
+    """database, key, raw_value for one store key, no row if it is unknown.
 
-    The key fixes the URL, so the equality on the URL column reaches the scan.
+    The key fixes the URL, and the equality on the URL column reaches the scan.
     """
-    def rows(df: DataFrame, name: str, rank: int, own_key: Column, url: str) -> DataFrame:
+    def found(df: DataFrame, url: str, own_key: Column, name: str) -> DataFrame:
         return df.filter((F.col("url") == url) & (own_key == key)).select(
-            F.lit(rank).alias("_rank"), F.lit(name).alias("database"), F.lit(key).alias("key"),
-            F.to_json(F.struct(*df.columns)).alias("raw_value"))
+            F.lit(name).alias("database"), F.lit(key).alias("key"),
+            _json(df).alias("raw_value"))
 
-    found = []
-    if key.startswith("url:"):
-        found.append(rows(frontier, "URLs", 0, frontier_key(F.col("url")), key[len("url:"):]))
     if key.startswith("result:"):
-        found.append(rows(results, "Results", 1, store_key(F.col("url"), F.col("processed_at")),
-                          key[len("result:"):].rsplit("_", 1)[0]))
-    if not found:
-        found.append(rows(frontier, "URLs", 0, frontier_key(F.col("url")), key).limit(0))
-    both = found[0] if len(found) == 1 else found[0].unionByName(found[1])
-    return both.orderBy("_rank").limit(1).drop("_rank")
+        url = key[len("result:"):].rsplit("_", 1)[0]
+        return found(results, url, store_key(F.col("url"), F.col("processed_at")), "Results").limit(1)
+    return found(frontier, key[len("url:"):], frontier_key(F.col("url")), "URLs").limit(1)
 
 
 def list_urls(frontier: DataFrame, limit: int) -> DataFrame:

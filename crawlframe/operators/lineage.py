@@ -1,4 +1,4 @@
-"""Cut the lineage of an iterative job at a place every executor can read."""
+"""Intermediate results at a place every executor can read."""
 
 from __future__ import annotations
 
@@ -7,20 +7,24 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the session names; pick one only where none is named, and only locally."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names for checkpoints; one is picked only where none is named.
+
+    A folder of this machine would do for local runs alone, so a cluster
+    without the setting is refused.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="crawlframe-checkpoint-")
-    context.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="crawlframe-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and return it with a fresh plan."""
-    _ensure_checkpoint_dir(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

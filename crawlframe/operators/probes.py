@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.urls import url_host
 from ..schemas import RESULT_COLUMNS
-from .skew import HOT_ROWS, balanced_lookup
+from .skew import HOT_ROWS, balanced_lookup, hot_keys
 
 
 def is_dead_status(status: Column) -> Column:
@@ -32,9 +32,9 @@ def classify_links(links: DataFrame, host_probes: DataFrame, link_probes: DataFr
     """
     hosted = links.withColumn("host", url_host(F.col("link_url"))).filter("host <> ''")
     by_host = balanced_lookup(hosted, host_probes.select("host", "reachable"), "host",
-                              ["link_url", "source_url"], min_rows=hot_rows)
+                              ["link_url", "source_url"], hot=hot_keys(hosted, "host", hot_rows))
     probed = balanced_lookup(by_host, link_probes.select("link_url", "http_status"), "link_url",
-                             ["source_url"], min_rows=hot_rows)
+                             ["source_url"], hot=hot_keys(hosted, "link_url", hot_rows))
     verdict = (F.when(F.coalesce(F.col("reachable"), F.lit(0)) == 0, "dead_domain")
                 .when(is_dead_status(F.col("http_status")), "dead_link").otherwise("alive"))
     return probed.select(*links.columns, "host", verdict.alias("verdict"))

@@ -28,19 +28,21 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS,
 
 
 def balanced_lookup(left: DataFrame, right: DataFrame, key: str, spread_by: Sequence[str],
-                    how: str = "left", min_rows: int = HOT_ROWS, max_keys: int = MAX_HOT_KEYS,
-                    salts: int = SALTS) -> DataFrame:
+                    how: str = "left", hot: DataFrame | None = None, min_rows: int = HOT_ROWS,
+                    max_keys: int = MAX_HOT_KEYS, salts: int = SALTS) -> DataFrame:
     """Join ``left`` with ``right``, which has at most one row per key.
 
     Rows of hot keys get a salt from a hash of ``spread_by``, and the right row
     of a hot key is repeated once per salt; all other rows carry salt 0. One
     join then serves both kinds, and no row is lost or doubled. Only the list
     of hot keys is broadcast, and ``max_keys`` bounds it. NULL keys cannot
-    match and are spread the same way.
+    match and are spread the same way. ``hot`` may give the result of
+    ``hot_keys`` over a simpler form of ``left``.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
-    hot = F.broadcast(hot_keys(left, key, min_rows, max_keys).withColumn("_hot", F.lit(True)))
+    hot = hot_keys(left, key, min_rows, max_keys) if hot is None else hot
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
     salted_left = (left.join(hot, key, "left")
                        .withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), salt)

@@ -134,8 +134,11 @@ def distinct_counts(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     would multiply the rows instead.
     """
     names = list(values)
-    tagged = F.concat(*[F.transform(values[n], lambda v, i=i: F.struct(F.lit(i).alias("kind"), v.alias("value")))
-                        for i, n in enumerate(names)])
+
+    def tag(kind: int, items: Column) -> Column:
+        return F.transform(items, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    tagged = F.concat(*[tag(i, values[n]) for i, n in enumerate(names)])
     unique = df.select(F.explode(tagged).alias("t")).select("t.kind", "t.value").distinct()
     return unique.agg(*[F.count_if(F.col("kind") == i).alias(n) for i, n in enumerate(names)])
 

@@ -43,3 +43,6 @@ FRONTIER_COLUMNS = FRONTIER.fieldNames()
 
 # Columns a JSON record leaves out when they hold nothing.
 OPTIONAL_RESULT_COLUMNS = ("emails", "keywords", "dead_links", "dead_domains", "new_urls", "error")
+
+# JSON and CSV text keeps microseconds; the writers' default would cut them to milliseconds.
+TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..schemas import OPTIONAL_RESULT_COLUMNS
+from ..schemas import OPTIONAL_RESULT_COLUMNS, TIMESTAMP_FORMAT
 
 
 def omit_empty(df: DataFrame) -> DataFrame:
@@ -22,7 +22,7 @@ def omit_empty(df: DataFrame) -> DataFrame:
 def _write(df: DataFrame, path: str, fmt: str, mode: str, files: int | None = None, **options) -> None:
     # Few files only on request: a single file is written by a single task.
     out = df if files is None else df.repartition(files)
-    out.write.mode(mode).options(**options).format(fmt).save(path)
+    out.write.mode(mode).options(timestampFormat=TIMESTAMP_FORMAT, **options).format(fmt).save(path)
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
@@ -37,8 +37,7 @@ def export_json(df: DataFrame, path: str, files: int | None = None) -> None:
 
 def export_findings_csv(findings: DataFrame, path: str, files: int | None = None) -> None:
     """Write findings as CSV with a header; quotes are doubled."""
-    _write(findings, path, "csv", "overwrite", files, header="true", escape='"',
-           timestampFormat="yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    _write(findings, path, "csv", "overwrite", files, header="true", escape='"')
 
 
 def export_db_view(entries: DataFrame, path: str, files: int | None = None) -> None:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import frontier_key, store_key
 from ..schemas import CRAWL_RESULT, FRONTIER
@@ -37,12 +37,18 @@ def read_frontier(spark: SparkSession, path: str, fmt: str = "json") -> DataFram
     return read_table(spark, path, FRONTIER, fmt)
 
 
-def read_lenient(spark: SparkSession, path: str,
-                 schema: StructType = CRAWL_RESULT) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects): JSON lines that decode, and the text of those that do not."""
+def decode_lenient(lines: DataFrame, schema: StructType = CRAWL_RESULT) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of a table with one JSON text per row in ``value``."""
     bad = "_corrupt"
-    wide = StructType(schema.fields).add(bad, "string")
-    parsed = spark.read.text(path).filter(F.trim("value") != "").select(
-        "value", F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}).alias("r"))
+    wide = StructType(schema.fields + [StructField(bad, StringType())])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad}
+    parsed = lines.filter(F.trim("value") != "").select(
+        "value", F.from_json("value", wide, options).alias("r"))
     good = F.col(f"r.{bad}").isNull() & F.startswith(F.ltrim(F.col("value")), F.lit("{"))
     return parsed.filter(good).select(*[f"r.{f.name}" for f in schema]), parsed.filter(~good).select("value")
+
+
+def read_lenient(spark: SparkSession, path: str,
+                 schema: StructType = CRAWL_RESULT) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects): JSON lines that decode, and the text of those that do not."""
+    return decode_lenient(spark.read.text(path), schema)

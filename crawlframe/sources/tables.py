@@ -1,9 +1,18 @@
-"""Input tables of one data directory."""
+"""Input tables of one data directory, and tables staged from them."""
 
 from __future__ import annotations
 
+import hashlib
+import threading
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lineage import shared_folder
+
+_lock = threading.RLock()  # one staged table may be built from another
+_staged: set[str] = set()
+
 
 class Tables:
     """Lazy access to ``<directory>/<name>.parquet``."""
@@ -16,3 +25,19 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+
+    def stage(self, name: str, build: Callable[["Tables"], DataFrame]) -> DataFrame:
+        """``build(self)``, written once per application to the shared folder and read back.
+
+        Reports read stored results, as they would in production: only the
+        columns they need, with filters pushed into the scan. A stored table
+        also survives the loss of executors.
+        """
+        app = self.spark.sparkContext.applicationId
+        source = hashlib.md5(self.directory.encode()).hexdigest()[:12]
+        path = f"{shared_folder(self.spark)}/crawlframe/{app}/{source}/{name}"
+        with _lock:
+            if path not in _staged:
+                build(self).write.mode("overwrite").parquet(path)
+                _staged.add(path)
+        return self.spark.read.parquet(path)

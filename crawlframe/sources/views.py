@@ -8,8 +8,6 @@ work, so that every report grows with the tables it is given.
 
 from __future__ import annotations
 
-from collections.abc import Collection
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import html, text, urls
@@ -23,7 +21,6 @@ KEYWORDS = ("the", "und", "que", "license", "password")
 BOT = "crawlframe-bot"
 # Dead links are found by a later pass; the derived rows all carry this time.
 DEAD_ROW_TIME = "2024-02-01 00:00:00"
-FINDING_COLUMNS = ("emails", "keywords", "new_urls")
 
 # The error message of an error event, by event_id modulo 8.
 ERROR_MESSAGES = (
@@ -71,50 +68,52 @@ def page_visits(t: Tables) -> DataFrame:
     return visits(t).join(pages, "page_id")
 
 
-def document_findings(t: Tables, wanted: Collection[str] = ("emails", "keywords")) -> DataFrame:
+def document_findings(t: Tables) -> DataFrame:
     """E-mails and keyword counts per document; the text itself goes no further."""
-    columns = {"emails": text.extract_emails(F.col("text")),
-               "keywords": text.count_keywords(F.col("text"), KEYWORDS)}
-    return t.documents.select("doc_id", *[columns[c].alias(c) for c in wanted])
+    return t.documents.select("doc_id", text.extract_emails(F.col("text")).alias("emails"),
+                              text.count_keywords(F.col("text"), KEYWORDS).alias("keywords"))
 
 
-def page_links(t: Tables) -> DataFrame:
+def derive_page_links(t: Tables) -> DataFrame:
     """page_id, source_url and the page's links as one array."""
     return t.pages.select("page_id", F.col("url").alias("source_url"),
                           html.extract_links(F.col("html"), F.col("url")).alias("links"))
 
 
+def page_links(t: Tables) -> DataFrame:
+    return t.stage("page_links", derive_page_links)
+
+
 def links(t: Tables) -> DataFrame:
     """Edge table page_id, source_url, pos, link_url."""
     return link_edges(page_links(t))
 
 
-def visit_results(t: Tables, wanted: Collection[str] = FINDING_COLUMNS) -> DataFrame:
+def derive_visit_results(t: Tables) -> DataFrame:
     """Result rows of the visits, with ``event_id`` as write order.
 
-    ``wanted`` names the finding columns that are worked out; the others stay
-    empty, and the join that would supply them is left out of the plan.
+    Titles, links, e-mails and keywords are worked out once per page and
+    document and then joined to the visits; no text is shuffled.
     """
     found = F.col("error") == ""
     types = {f.name: f.dataType for f in CRAWL_RESULT}
 
     def finding(name: str) -> Column:
         empty = (F.create_map() if name == "keywords" else F.array()).cast(types[name])
-        return (F.when(found, F.col(name)).otherwise(empty) if name in wanted else empty).alias(name)
-
-    pages = t.pages.select(
-        "page_id", "url", html.extract_title(F.col("html")).alias("title"),
-        *([html.extract_links(F.col("html"), F.col("url")).alias("new_urls")]
-          if "new_urls" in wanted else []))
-    rows = visits(t).join(pages, "page_id")
-    from_text = [c for c in ("emails", "keywords") if c in wanted]
-    if from_text:
-        rows = _numbered(rows, t.documents, "doc_id").join(document_findings(t, from_text), "doc_id")
+        return F.when(found, F.col(name)).otherwise(empty).alias(name)
+
+    new_urls = page_links(t).select("page_id", F.col("links").alias("new_urls"))
+    rows = page_visits(t).join(new_urls, "page_id")
+    rows = _numbered(rows, t.documents, "doc_id").join(document_findings(t), "doc_id")
+    none = F.array().cast("array<string>")
     return rows.select(
         "event_id", "url", "status_code", "title", finding("emails"), finding("keywords"),
-        F.array().cast("array<string>").alias("dead_links"),
-        F.array().cast("array<string>").alias("dead_domains"),
-        finding("new_urls"), "processed_at", "process_time", "error")
+        none.alias("dead_links"), none.alias("dead_domains"), finding("new_urls"),
+        "processed_at", "process_time", "error")
+
+
+def visit_results(t: Tables) -> DataFrame:
+    return t.stage("visit_results", derive_visit_results)
 
 
 def host_probes(t: Tables) -> DataFrame:
@@ -144,11 +143,9 @@ def dead_rows(t: Tables) -> DataFrame:
     return dead_link_rows(verdicts(t), F.lit(DEAD_ROW_TIME).cast("timestamp"))
 
 
-def crawl_results(t: Tables, wanted: Collection[str] = FINDING_COLUMNS,
-                  dead: bool = True) -> DataFrame:
+def crawl_results(t: Tables) -> DataFrame:
     """All result rows: the visits, then the dead-link findings as rows of their own."""
-    rows = visit_results(t, wanted).drop("event_id")
-    return rows.unionByName(dead_rows(t)) if dead else rows
+    return t.stage("crawl_results", lambda t: visit_results(t).drop("event_id").unionByName(dead_rows(t)))
 
 
 def robots(t: Tables) -> DataFrame:
@@ -174,7 +171,7 @@ def link_graph(t: Tables) -> DataFrame:
                                                       (3 * p + 2) % F.col("_n"))).alias("dst")))
 
 
-def frontier(t: Tables) -> DataFrame:
+def derive_frontier(t: Tables) -> DataFrame:
     """One row per distinct link: depth from a hash, time of the source page's first visit."""
     first_visit = visits(t).groupBy("page_id").agg(F.min("processed_at").alias("timestamp"))
     known = first_per_key(links(t), ["link_url"], [F.col("page_id"), F.col("pos")])
@@ -183,6 +180,10 @@ def frontier(t: Tables) -> DataFrame:
         "timestamp", F.lit(0).alias("retries"))
 
 
+def frontier(t: Tables) -> DataFrame:
+    return t.stage("frontier", derive_frontier)
+
+
 def seen_urls(t: Tables) -> DataFrame:
     """URLs known before the crawl: the pages themselves and a quarter of the links, by hash."""
     some = links(t).filter(bucket(F.col("link_url")) % 4 == 0).select(F.col("link_url").alias("url"))
