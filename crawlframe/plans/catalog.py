@@ -6,16 +6,20 @@ times become text, so that results can be compared across engines.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import html, text, urls
 from ..operators import bloom, dedup, filters, frontier, index, links, probes, robots
-from ..schemas import TIMESTAMP_FORMAT
+from ..schemas import LINK_PROBE, PAGE, TIMESTAMP_FORMAT
 from ..session import configure
 from ..sources import sinks, store, views
 from ..sources.tables import Tables
+from ..streaming import jobs
 from . import hunt, reports, views as unpivoted
 
 SEARCH_TERM = "example.org"
@@ -503,6 +507,63 @@ def union_results(t: Tables) -> DataFrame:
     return flat_results(rows)
 
 
+# --- streams -----------------------------------------------------------------------------------
+
+def _finished(t: Tables, name: str, start: Callable[[str, str], StreamingQuery]) -> str:
+    """Run a stream over what is available and return its output folder."""
+    folder = f"{t.working_folder()}/{name}-{uuid.uuid4().hex[:8]}"
+    start(f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return f"{folder}/out"
+
+
+def _visit_stream(t: Tables) -> DataFrame:
+    path = t.staged_path("visit_results", views.derive_visit_results)
+    schema = t.spark.read.parquet(path).schema
+    return jobs.read_stream(t.spark, path, schema)
+
+
+def stream_new_urls(t: Tables) -> DataFrame:
+    out = _finished(t, "stream_new_urls", partial(jobs.start_new_urls, _visit_stream(t)))
+    return t.spark.read.parquet(out)
+
+
+def stream_counters(t: Tables) -> DataFrame:
+    out = _finished(t, "stream_counters", partial(jobs.start_counters, _visit_stream(t)))
+    return jobs.latest(t.spark.read.parquet(out), [])
+
+
+def stream_timeline(t: Tables) -> DataFrame:
+    out = _finished(t, "stream_timeline", partial(jobs.start_timeline, _visit_stream(t), lateness="3650 days"))
+    rows = jobs.latest(t.spark.read.parquet(out), ["window_start"])
+    return rows.withColumn("window_start", stamp("window_start"))
+
+
+def stream_rate(t: Tables) -> DataFrame:
+    out = _finished(t, "stream_rate", partial(jobs.start_rate, _visit_stream(t), lateness="3650 days"))
+    rows = jobs.latest(t.spark.read.parquet(out), ["window_start"])
+    return rows.withColumn("window_start", stamp("window_start"))
+
+
+def stream_extract(t: Tables) -> DataFrame:
+    pages = jobs.read_stream(t.spark, t.directory, PAGE, pattern="pages.parquet")
+    out = _finished(t, "stream_extract", partial(
+        jobs.start_extract, pages, keywords=views.KEYWORDS,
+        processed_at=F.lit(views.DEAD_ROW_TIME).cast("timestamp")))
+    rows = store.read_results(t.spark, out)
+    return rows.select("url", "status_code", "title", listed_sorted("emails").alias("emails"),
+                       text.keyword_list_display(F.col("keywords")).alias("keywords"),
+                       listed("new_urls").alias("new_urls"), stamp("processed_at"))
+
+
+def stream_dead_links(t: Tables) -> DataFrame:
+    path = t.staged_path("link_probes", views.derive_link_probes)
+    outcomes = jobs.read_stream(t.spark, path, LINK_PROBE)
+    out = _finished(t, "stream_dead_links", partial(
+        jobs.start_dead_links, outcomes, views.sampled_links(t), views.host_probes(t),
+        F.lit(views.DEAD_ROW_TIME).cast("timestamp")))
+    return flat_results(t.spark.read.parquet(out))
+
+
 BATCH = {f.__name__: f for f in (
     scan_results, scan_results_lenient, scan_frontier, export_urls, export_results, export_emails,
     export_keywords,
@@ -523,6 +584,12 @@ BATCH = {f.__name__: f for f in (
     distinct_links, dedup_urls, bloom_stats, union_results,
 )}
 
+STREAMS = {f.__name__: f for f in (
+    stream_new_urls, stream_counters, stream_timeline, stream_rate, stream_extract, stream_dead_links,
+)}
+
+QUERIES = {**BATCH, **STREAMS}
+
 
 def bind(query: Callable[[Tables], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,11 +33,19 @@ class Tables:
         columns they need, with filters pushed into the scan. A stored table
         also survives the loss of executors.
         """
-        app = self.spark.sparkContext.applicationId
-        source = hashlib.md5(self.directory.encode()).hexdigest()[:12]
-        path = f"{shared_folder(self.spark)}/crawlframe/{app}/{source}/{name}"
+        return self.spark.read.parquet(self.staged_path(name, build))
+
+    def staged_path(self, name: str, build: Callable[["Tables"], DataFrame]) -> str:
+        """Folder of a staged table, written if need be; a stream can read it."""
+        path = f"{self.working_folder()}/{name}"
         with _lock:
             if path not in _staged:
                 build(self).write.mode("overwrite").parquet(path)
                 _staged.add(path)
-        return self.spark.read.parquet(path)
+        return path
+
+    def working_folder(self) -> str:
+        """Folder for what this application derives from this directory."""
+        app = self.spark.sparkContext.applicationId
+        source = hashlib.md5(self.directory.encode()).hexdigest()[:12]
+        return f"{shared_folder(self.spark)}/crawlframe/{app}/{source}"

@@ -122,7 +122,7 @@ def host_probes(t: Tables) -> DataFrame:
     return hosts.select("host", F.when(bucket(F.col("host")) < 26, 0).otherwise(1).alias("reachable"))
 
 
-def link_probes(t: Tables) -> DataFrame:
+def derive_link_probes(t: Tables) -> DataFrame:
     """link_url, http_status: one probe outcome per distinct link, NULL for no response."""
     b = bucket(F.col("link_url"))
     status = (F.when(b < 20, 404).when(b < 26, 410).when(b < 40, 500).when(b < 60, 301)
@@ -130,6 +130,10 @@ def link_probes(t: Tables) -> DataFrame:
     return links(t).select("link_url").distinct().select("link_url", status.alias("http_status"))
 
 
+def link_probes(t: Tables) -> DataFrame:
+    return t.stage("link_probes", derive_link_probes)
+
+
 def sampled_links(t: Tables) -> DataFrame:
     return sample_links(page_links(t))
 
