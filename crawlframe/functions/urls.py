@@ -20,6 +20,12 @@ PATH_LITERALS = (("%7E", "~"), ("%24", "$"), ("%26", "&"), ("%2B", "+"), ("%2C",
 FRAGMENT_LITERALS = PATH_LITERALS + (("%3F", "?"), ("%21", "!"), ("%28", "("), ("%29", ")"),
                                      ("%2A", "*"))
 
+# Plain forms that need no parsing: nothing to escape, no dot segment, no user info.
+_SEGMENTS = r"(?:/(?![./])[A-Za-z0-9_.~$&+,:;=@!'()*-]*+)"
+_PLAIN_QUERY = r"(?:\?[A-Za-z0-9_.~$&+,:;=@!'()*/?-]*+)?"
+PLAIN_ABSOLUTE = rf"^https?://[A-Za-z0-9._-]++(?::[0-9]++)?{_SEGMENTS}*+{_PLAIN_QUERY}\z"
+PLAIN_ROOTED = rf"^{_SEGMENTS}++{_PLAIN_QUERY}\z"
+
 _SEP = "\u0001"
 _CONTROL = r"[\x00-\x1f\x7f]"
 _BAD_ESCAPE = r"%(?![0-9A-Fa-f]{2})"
@@ -75,7 +81,8 @@ def parse(url: Column) -> Column:
 
 def url_host(url: Column) -> Column:
     """Host with port but without user info; '' for a URL that does not parse."""
-    return F.coalesce(parse(url)["host"], F.lit(""))
+    return F.when(F.rlike(url, F.lit(PLAIN_ABSOLUTE)), F.regexp_extract(url, "^https?://([^/?]*)", 1)) \
+            .otherwise(F.coalesce(parse(url)["host"], F.lit("")))
 
 
 def url_path(url: Column) -> Column:
@@ -90,7 +97,8 @@ def report_domain(url: Column) -> Column:
 
 def is_valid_url(url: Column) -> Column:
     """True for http and https URLs (the crawl's rule)."""
-    return F.coalesce(parse(url)["scheme"].isin("http", "https"), F.lit(False))
+    return F.rlike(url, F.lit(PLAIN_ABSOLUTE)) | F.coalesce(
+        parse(url)["scheme"].isin("http", "https"), F.lit(False))
 
 
 def is_submittable_url(url: Column) -> Column:
@@ -186,17 +194,26 @@ def resolve_all(base: Column, refs: Column) -> Column:
 
     The result holds the http and https targets, distinct, in order of first
     appearance; references that do not parse are dropped, and a base that does
-    not parse gives an empty array. Each stage is its own ``transform`` so that
-    no intermediate value is computed twice.
+    not parse gives an empty array. Plain references, most of a page, are
+    recognised by one pattern; only the others are parsed.
     """
-    def against(parsed_base: Column) -> Column:
-        parsed = F.filter(F.transform(F.array_distinct(refs), parse), lambda r: r.isNotNull())
-        targets = F.transform(parsed, lambda r: _target(parsed_base, r))
-        kept = F.filter(targets, lambda t: t["scheme"].isin("http", "https"))
-        return F.array_distinct(F.transform(kept, _render))
-
-    resolved = let(parse(base), lambda b: F.when(b.isNotNull(), against(b)))
-    return F.coalesce(resolved, F.array().cast("array<string>"))
+    def resolved(base_parts: Column) -> Column:
+        origin = F.concat(base_parts["scheme"], F.lit("://"), base_parts["userinfo"],
+                          _escape_host(base_parts["host"]))
+
+        def one(origin: Column, ref: Column) -> Column:
+            parsed = let(parse(ref), lambda r: F.when(r.isNotNull(), let(
+                _target(base_parts, r),
+                lambda t: F.when(t["scheme"].isin("http", "https"), _render(t)))))
+            rooted = F.rlike(ref, F.lit(PLAIN_ROOTED)) & base_parts["scheme"].isin("http", "https")
+            return F.when(rooted, F.concat(origin, ref)) \
+                    .when(F.rlike(ref, F.lit(PLAIN_ABSOLUTE)), ref).otherwise(parsed)
+
+        return let(origin, lambda o: F.transform(F.array_distinct(refs), lambda r: one(o, r)))
+
+    found = let(parse(base), lambda b: F.when(b.isNotNull(), resolved(b)))
+    return F.coalesce(F.array_distinct(F.filter(found, lambda u: u.isNotNull())),
+                      F.array().cast("array<string>"))
 
 
 def resolve_url(base: Column, ref: Column) -> Column:

@@ -86,14 +86,15 @@ def _json(df: DataFrame) -> Column:
 def lookup_keys(frontier: DataFrame, results: DataFrame, keys: DataFrame) -> DataFrame:
     """key, database, raw_value for every asked ``key``; database and value are NULL if it is unknown.
 
-    The two tables have different key prefixes, so each key is looked for in
-    one of them. Keys are made distinct first, and stored keys are unique.
+    Keys are made distinct first, and stored keys are unique. Stored rows are
+    reduced to the asked keys before they are turned into JSON.
     """
+    asked = keys.select("key").distinct()
+
     def stored(df: DataFrame, key: Column, name: str) -> DataFrame:
-        return df.select(key.alias("key"), F.lit(name).alias("database"),
-                         _json(df).alias("raw_value"))
+        kept = df.withColumn("key", key).join(asked, "key", "left_semi")
+        return kept.select("key", F.lit(name).alias("database"), _json(df).alias("raw_value"))
 
-    asked = keys.select("key").distinct()
     urls = stored(frontier, frontier_key(F.col("url")), "URLs")
     rows = stored(results, store_key(F.col("url"), F.col("processed_at")), "Results")
     return asked.join(urls.unionByName(rows), "key", "left")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import store_key
+from .skew import HOT_ROWS, balanced_lookup
 
 # Lists longer than about this are written in several rows.
 LIST_CHUNK = 100_000
@@ -65,19 +66,20 @@ def index_of(found: DataFrame, sources: int, limit: int | None = None) -> DataFr
         F.greatest(F.col("pages") - sources, F.lit(0)).alias("more"))
 
 
-def source_lists(found: DataFrame, chunk: int = LIST_CHUNK) -> DataFrame:
-    """key, part, parts, urls: every source URL of every key, in store-key order.
+def source_lists(found: DataFrame, chunk: int = LIST_CHUNK, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """key, part, parts, total, urls: every source URL of every key, in store-key order.
 
     A key with at most ``chunk`` mentions has one row. A longer list is dealt
     out by hash over as many parts as needed, so that no row and no task holds
-    it whole. The keys that need it are few and are found by a partially
-    aggregated count; the planner broadcasts them if they are small and splits
-    skewed partitions if not.
+    it whole. ``total`` is the summed weight of the whole key; it travels with
+    the part count, so the lists are not moved again once they are built.
     """
-    long_keys = (found.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > chunk)
-                      .select("key", F.ceil(F.col("n") / chunk).cast("int").alias("parts")))
-    parts = F.coalesce(F.col("parts"), F.lit(1))
-    dealt = (found.join(long_keys, "key", "left").withColumn("parts", parts)
-                  .withColumn("part", F.pmod(F.xxhash64("store_key"), F.col("parts")).cast("int")))
+    long_keys = (found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("sum"))
+                      .filter(F.col("n") > chunk)
+                      .select("key", F.ceil(F.col("n") / chunk).cast("int").alias("parts"), "sum"))
+    dealt = (balanced_lookup(found, long_keys, "key", ["store_key"], min_rows=hot_rows)
+             .withColumn("parts", F.coalesce("parts", F.lit(1)))
+             .withColumn("part", F.pmod(F.xxhash64("store_key"), F.col("parts")).cast("int")))
     urls = F.transform(F.array_sort(F.collect_list(F.struct("store_key", "url"))), lambda e: e["url"])
-    return dealt.groupBy("key", "part", "parts").agg(urls.alias("urls"))
+    return dealt.groupBy("key", "part", "parts").agg(
+        F.coalesce(F.max("sum"), F.sum("weight")).alias("total"), urls.alias("urls"))

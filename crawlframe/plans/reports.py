@@ -54,15 +54,14 @@ def deadlink_index(results: DataFrame, limit: int | None = None) -> DataFrame:
 
 def export_emails(results: DataFrame, **options) -> DataFrame:
     """email, part, parts, urls: every source URL of every address."""
-    return source_lists(email_mentions(results), **options).withColumnRenamed("key", "email")
+    return source_lists(email_mentions(results), **options).select(
+        F.col("key").alias("email"), "part", "parts", "urls")
 
 
 def export_keywords(results: DataFrame, **options) -> DataFrame:
     """keyword, part, parts, frequency, urls: total frequency and every source URL."""
-    found = keyword_mentions(results)
-    totals = found.groupBy("key").agg(F.sum("weight").alias("frequency"))
-    return source_lists(found, **options).join(totals, "key").select(
-        F.col("key").alias("keyword"), "part", "parts", "frequency", "urls")
+    return source_lists(keyword_mentions(results), **options).select(
+        F.col("key").alias("keyword"), "part", "parts", F.col("total").alias("frequency"), "urls")
 
 
 def analyze_totals(frontier: DataFrame, results: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import keyword_finding, process_time_ms, store_key
@@ -21,30 +23,39 @@ def _nothing_found() -> Column:
             & (F.size("dead_links") == 0) & (F.size("dead_domains") == 0))
 
 
-def findings(results: DataFrame) -> DataFrame:
+FINDING_TYPES = ("email", "keyword", "dead_link", "dead_domain", "success", "error")
+
+
+def findings(results: DataFrame, types: Collection[str] = FINDING_TYPES) -> DataFrame:
     """type, source_url, data, found_at: one row per finding, else one per result.
 
     All kinds are put in one array and exploded, so the results are read once.
+    With fewer ``types`` only the columns of those are read.
     """
     def kind(name: str, items: Column) -> Column:
         return F.transform(items, lambda x: F.struct(F.lit(name).alias("type"), x.alias("data")))
 
-    keywords = F.transform(F.map_entries("keywords"), lambda e: F.struct(
-        F.lit("keyword").alias("type"), keyword_finding(e["key"], e["value"]).alias("data")))
-    page = F.array(F.struct(
-        F.when(F.col("error") == "", "success").otherwise("error").alias("type"),
-        F.concat(F.lit("Status: "), F.col("status_code").cast("string"), F.lit(", Title: "),
-                 F.col("title")).alias("data")))
-    found = F.concat(kind("email", F.col("emails")), keywords, kind("dead_link", F.col("dead_links")),
-                     kind("dead_domain", F.col("dead_domains")))
+    keywords = F.transform(F.map_entries("keywords"), lambda e: keyword_finding(e["key"], e["value"]))
+    outcome = F.when(F.col("error") == "", "success").otherwise("error")
+    page = F.struct(outcome.alias("type"), F.concat(
+        F.lit("Status: "), F.col("status_code").cast("string"), F.lit(", Title: "), F.col("title")).alias("data"))
+    plain = F.when(_nothing_found() & outcome.isin(*types), F.array(page)).otherwise(F.array())
+    arrays = {"email": kind("email", F.col("emails")), "keyword": kind("keyword", keywords),
+              "dead_link": kind("dead_link", F.col("dead_links")),
+              "dead_domain": kind("dead_domain", F.col("dead_domains"))}
+    parts = [array for name, array in arrays.items() if name in types]
+    if "success" in types or "error" in types:
+        parts.append(plain)
     return results.select(F.col("url").alias("source_url"), F.col("processed_at").alias("found_at"),
-                          F.explode(F.when(_nothing_found(), page).otherwise(found)).alias("f")) \
+                          F.explode(F.concat(*parts)).alias("f")) \
                   .select("f.type", "source_url", "f.data", "found_at")
 
 
 def findings_by_type(results: DataFrame, finding_type: str) -> DataFrame:
     """Findings of one type."""
-    return findings(results).filter(F.col("type") == finding_type)
+    if finding_type not in FINDING_TYPES:
+        raise ValueError(f"unknown finding type: {finding_type}")
+    return findings(results, [finding_type])
 
 
 def db_view(results: DataFrame, limit: int | None = None) -> DataFrame:

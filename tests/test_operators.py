@@ -76,7 +76,8 @@ def test_indexes_on_skewed_mentions(spark):
     assert {r["keyword"] for r in top} == {w for w, _ in sorted(totals.items(), key=lambda e: (-e[1], e[0]))[:3]}
     assert all(r["first_urls"] == got[r["keyword"]]["first_urls"] for r in top)
 
-    parts = reports.export_keywords(df, chunk=100).collect()
+    parts = reports.export_keywords(df, chunk=100, hot_rows=50).collect()
+    assert all(r["frequency"] == totals[r["keyword"]] for r in parts)
     collected = defaultdict(list)
     for r in parts:
         collected[r["keyword"]] += r["urls"]
