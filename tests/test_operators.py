@@ -153,9 +153,9 @@ def test_sample_sizes(spark):
 def test_dead_link_fixture(spark):
     """Twelve links: two unreachable hosts, three dead statuses, one timeout, six alive."""
     outcomes = {
-        "https://definitely-does-not-exist-1234k56789.com": None, "https://status.test/404": 404,
+        "https://no-such-host.test": None, "https://status.test/404": 404,
         "https://status.test/410": 410, "https://status.test/500": 500,
-        "https://invalid-domain-12345.xyz/nonexistent": None, "https://status.test/200": 200,
+        "https://gone-domain.test/nonexistent": None, "https://status.test/200": 200,
         "https://example.org": 200, "https://bin.test/get": 200,
         "https://status.test/200?sleep=3000": None, "https://status.test/200?sleep=1000": 200,
         "https://status.test/301": 301, "https://status.test/302": 302,
@@ -163,7 +163,7 @@ def test_dead_link_fixture(spark):
     page = spark.createDataFrame([(1, "http://src.org/", list(outcomes))],
                                  "page_id int, source_url string, links array<string>")
     hosts = spark.createDataFrame([("status.test", 1), ("example.org", 1), ("bin.test", 1),
-                                   ("invalid-domain-12345.xyz", 0)], "host string, reachable int")
+                                   ("gone-domain.test", 0)], "host string, reachable int")
     probed = spark.createDataFrame(list(outcomes.items()), "link_url string, http_status int")
     for hot_rows in (1, 10**9):
         judged = probes.classify_links(links.link_edges(page), hosts, probed, hot_rows=hot_rows)
@@ -173,7 +173,7 @@ def test_dead_link_fixture(spark):
     assert rows.columns == RESULT_COLUMNS
     got = {r["dead_links"][0]: r for r in rows.collect()}
     assert len(got) == 6 and all(r["status_code"] == 0 and r["url"] == "http://src.org/" for r in got.values())
-    assert got["https://invalid-domain-12345.xyz/nonexistent"]["dead_domains"] == ["invalid-domain-12345.xyz"]
+    assert got["https://gone-domain.test/nonexistent"]["dead_domains"] == ["gone-domain.test"]
     assert got["https://status.test/404"]["dead_domains"] == []
     # Two dead links of one page in one second share a key: the later one stays.
     stored = rows.withColumn("seq", F.monotonically_increasing_id())
