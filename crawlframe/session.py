@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-# Settings for a session this package builds. Call-site capture costs a round trip for every
+# Static settings, only for a session this package builds. Call-site capture costs a round trip for every
 # column expression, and the HTML and URL expressions have thousands.
 BUILD_CONF = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
@@ -20,7 +20,7 @@ RUNTIME_CONF = {
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session and return it."""
-    for key, value in {**RUNTIME_CONF, **BUILD_CONF}.items():
+    for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark
