@@ -94,6 +94,35 @@ def export_keywords(t: Tables) -> DataFrame:
     return _flat_export(reports.export_keywords(views.crawl_results(t)))
 
 
+def _written(t: Tables, name: str, write: Callable[[str], None]) -> str:
+    """Write an export to a folder of its own and return the folder."""
+    folder = f"{t.working_folder()}/{name}-{uuid.uuid4().hex[:8]}"
+    write(folder)
+    return folder
+
+
+def append_jsonl(t: Tables) -> DataFrame:
+    """All results as JSON lines, read back strictly."""
+    path = _written(t, "append_jsonl", partial(sinks.append_jsonl, views.crawl_results(t)))
+    return flat_results(store.read_results(t.spark, path))
+
+
+def export_findings_csv(t: Tables) -> DataFrame:
+    """All findings as CSV, read back."""
+    found = unpivoted.findings(views.crawl_results(t))
+    path = _written(t, "export_findings_csv", partial(sinks.export_findings_csv, found))
+    rows = t.spark.read.option("header", True).option("escape", '"').csv(path)
+    return rows.withColumn("found_at", F.to_timestamp("found_at")).select(
+        "type", "source_url", "data", stamp("found_at"))
+
+
+def export_db_view(t: Tables) -> DataFrame:
+    """The database view as JSON lines, read back."""
+    entries = unpivoted.db_view(views.crawl_results(t))
+    path = _written(t, "export_db_view", partial(sinks.export_db_view, entries))
+    return _flat_entries(t.spark.read.schema(entries.drop("search_text").schema).json(path))
+
+
 # --- projections, filters, predicates ----------------------------------------------------------
 
 def fetched_pages(t: Tables) -> DataFrame:
@@ -565,8 +594,8 @@ def stream_dead_links(t: Tables) -> DataFrame:
 
 
 BATCH = {f.__name__: f for f in (
-    scan_results, scan_results_lenient, scan_frontier, export_urls, export_results, export_emails,
-    export_keywords,
+    scan_results, scan_results_lenient, scan_frontier, append_jsonl, export_urls, export_results,
+    export_emails, export_keywords, export_findings_csv, export_db_view,
     html_content_filter, valid_urls, submit_urls, submit_summary, filter_results,
     filter_by_content_type, search_results, search_db_view, lookup_key, list_urls, list_results,
     hunt_mode, hunt_mode_email, hunt_mode_keywords, hunt_mode_domains, crawl_step, db_view,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from crawlframe.operators import dedup, filters, frontier, index, links, probes, robots, skew
 from crawlframe.plans import hunt, reports, views
 from crawlframe.schemas import CRAWL_RESULT, FRONTIER, RESULT_COLUMNS
+from crawlframe.session import RUNTIME_CONF
 
 T0 = datetime(2024, 1, 1)
 
@@ -323,3 +324,7 @@ def test_hunt_modes():
     assert not hunt.Hunt(emails=True, keywords=["x"]).checks_dead_links
     with pytest.raises(ValueError):
         hunt.Hunt().mode
+
+
+def test_runtime_settings_can_be_applied_to_any_session(spark):
+    assert all(spark.conf.isModifiable(key) for key in RUNTIME_CONF)
