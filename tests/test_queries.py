@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
+from crawlframe.plans import catalog, oracle
 from tests.compare import connect, differences
 
 
@@ -11,14 +12,14 @@ def con(sf_dir):
     return connect(sf_dir)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query_matches_sql(spark, sf_dir, con, name):
     df = contract.queries()[name](spark, sf_dir)
     assert differences(df, con, contract.oracle_sql()[name]) is None
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(catalog.QUERIES) == set(oracle.SQL)
 
 
 @pytest.mark.parametrize("partitions,adaptive", [("1", "true"), ("37", "false")])
