@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP6_SQL, op6_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 
 QUERIES = {
+    "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
 SQL = {
+    "op6_decontaminate": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
 }

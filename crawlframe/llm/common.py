@@ -16,9 +16,16 @@ LAST_ID = (1 << 63) - 1
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Keep the batches that go to Python small: texts are long, and a batch is held whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a new folder below the shared checkpoint folder and read it back.
 
