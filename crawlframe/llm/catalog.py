@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from .decontaminate import OP6_SQL, op6_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .simhash import op10_simhash_dedup
 
 QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_simhash_dedup": op10_simhash_dedup,
 }
 
 SQL = {
