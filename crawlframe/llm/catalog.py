@@ -5,14 +5,17 @@ from __future__ import annotations
 from .decontaminate import OP6_SQL, op6_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .simhash import op10_simhash_dedup
+from .substring_dedup import OP9_SQL, op9_substring_dedup
 
 QUERIES = {
     "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
 SQL = {
     "op6_decontaminate": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op9_substring_dedup": OP9_SQL,
 }
