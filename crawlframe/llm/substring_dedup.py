@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,7 +19,6 @@ _ROOTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 ROWS, DIGESTS, NOTE = (0, 1), 2, 3
 
 
-@cache
 def _powers(root: int, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of ``root`` and of its inverse modulo 2^64."""
     return tuple(np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(size, r, np.uint64))), dtype=np.uint64)
@@ -32,7 +29,7 @@ def window_digests(hashes: np.ndarray, window: int, root: int) -> np.ndarray:
     """Sum of the word hashes times rising powers of ``root`` (mod 2^64) for each window, from prefix sums."""
     if len(hashes) < window:
         return np.zeros(0, np.uint64)
-    up, down = _powers(root, 1 << (len(hashes)).bit_length())
+    up, down = _powers(root, len(hashes))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * up[:len(hashes)], dtype=np.uint64)))
     n = len(hashes) - window + 1
     return (sums[window:] - sums[:n]) * down[:n]
