@@ -63,26 +63,6 @@ def fold_table(keep_marks: bool) -> bytes:
     return bytes(out)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered; forgets everything once ``limit`` words are held."""
-
-    def __init__(self, limit: int = 400_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        value = self[word] = xxhash.xxh64_intdigest(word, 42)
-        return value
-
-    def of(self, items: list[bytes]) -> np.ndarray:
-        out = np.fromiter(map(self.__getitem__, items), np.uint64, len(items))
-        if len(self) > self.limit:
-            self.clear()
-        return out
-
-
 def in_blocks(docs: DataFrame, column: str = "text", block_bytes: int = 12 << 20) -> tuple[DataFrame, int]:
     """(key, text in bytes, block) per row, dealt out by ranges of the id, and the number of blocks.
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import exchange
-from .common import LAST_ID, WordHashes, in_blocks, table, words
+from .common import LAST_ID, in_blocks, table, words
 
 WINDOW = 20
 BLOCK_BYTES = 8 << 20
@@ -15,6 +15,10 @@ BLOCK_BYTES = 8 << 20
 CELLS_PER_BYTE = 2.5
 #: The two multipliers of a window's 128-bit digest, odd and else arbitrary.
 _ROOTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_BYTE_ROOTS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+#: Bytes of text hashed at a time.
+CHUNK = 1 << 20
+_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 #: Kinds of message: cells of the two sketch rows, digests, and a block's note to itself.
 ROWS, DIGESTS, NOTE = (0, 1), 2, 3
 
@@ -25,6 +29,39 @@ def _powers(root: int, size: int) -> tuple[np.ndarray, np.ndarray]:
                  for r in (root, pow(root, -1, 1 << 64)))
 
 
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of every word of all texts, end to end, and the number of words of each text.
+
+    Hashes are polynomials over a word's bytes, from prefix sums over some texts at a time, then mixed.
+    """
+    parts, sizes, at = [], [], 0
+    longest = max([CHUNK, *map(len, texts)]) + 2
+    powers = [_powers(root, longest) for root in _BYTE_ROOTS]
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and (upto == at or size + len(texts[upto]) < CHUNK):
+            size += len(texts[upto]) + 1
+            upto += 1
+        buffer = np.frombuffer(b" " + b" ".join(texts[at:upto]) + b" ", np.uint8)
+        space = _SPACE[buffer]
+        starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+        ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+        limits = np.cumsum([0] + [len(t) + 1 for t in texts[at:upto]])
+        sizes.append(np.diff(np.searchsorted(starts - 1, limits)))
+        values, pair = buffer.astype(np.uint64) + np.uint64(1), []
+        for up, down in powers:
+            sums = np.cumsum(values * up[:len(buffer)], dtype=np.uint64)
+            word = (sums[ends - 1] - sums[starts - 1]) * down[starts]
+            word ^= word >> np.uint64(29)
+            word *= np.uint64(0xBF58476D1CE4E5B9)
+            pair.append(word ^ (word >> np.uint64(32)))
+        parts.append(pair)
+        at = upto
+    if not parts:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate(sizes)
+
+
 def window_digests(hashes: np.ndarray, window: int, root: int) -> np.ndarray:
     """Sum of the word hashes times rising powers of ``root`` (mod 2^64) for each window, from prefix sums."""
     if len(hashes) < window:
@@ -38,17 +75,15 @@ def window_digests(hashes: np.ndarray, window: int, root: int) -> np.ndarray:
 class Block:
     """The windows of one block of documents, in order of (key, start)."""
 
-    def __init__(self, pdf: pd.DataFrame, window: int, hashes: WordHashes):
+    def __init__(self, pdf: pd.DataFrame, window: int):
         self.rows = pdf.sort_values("key", kind="stable").reset_index(drop=True)
-        self.words = [words(bytes(t)) for t in self.rows["text"]]
-        self.sizes = np.array([len(w) for w in self.words], np.int64)
-        joined = np.concatenate([hashes.of(w) for w in self.words]) if len(self.words) else np.zeros(0, np.uint64)
+        one, two, self.sizes = word_hashes(self.rows["text"].tolist())
         ends = np.cumsum(self.sizes)
-        at = np.arange(max(0, len(joined) - window + 1))
+        at = np.arange(max(0, len(one) - window + 1))
         at = at[np.repeat(ends, self.sizes)[:len(at)] - at >= window]  # windows lie in one row
         self.at = at
-        self.first = window_digests(joined, window, _ROOTS[0])[at]
-        self.second = window_digests(joined, window, _ROOTS[1])[at]
+        self.first = window_digests(one, window, _ROOTS[0])[at]
+        self.second = window_digests(two, window, _ROOTS[1])[at]
         keys = self.rows["key"].to_numpy(np.int64)
         row = np.repeat(np.arange(len(keys)), self.sizes)[at]
         self.rank = np.arange(len(at))
@@ -103,14 +138,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
 
     def sketch(pdf: pd.DataFrame) -> pd.DataFrame:
         block, out = int(pdf["block"].iloc[0]), []
-        for kind, cells in zip(ROWS, Block(pdf, window, WordHashes()).cells(bits)):
-            out += exchange.messages(block, kind, np.unique(cells), cell_span)
+        for kind, cells in zip(ROWS, Block(pdf, window).cells(bits)):
+            out += exchange.messages(block, kind, exchange.distinct(cells), cell_span)
         return exchange.as_frame(out)
 
     def suspect(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if pdf.empty:
             return exchange.as_frame([])
-        number, block = int(pdf["block"].iloc[0]), Block(pdf, window, WordHashes())
+        number, block = int(pdf["block"].iloc[0]), Block(pdf, window)
         chosen = np.ones(len(block.first), bool)
         for kind, cells in zip(ROWS, block.cells(bits)):
             own = answers[answers["kind"] == kind]
@@ -132,7 +167,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
         columns = ["key", "text", "n_words", "n_removed"]
         if pdf.empty:
             return pd.DataFrame([], columns=columns)
-        block = Block(pdf, window, WordHashes())
+        block = Block(pdf, window)
         note = answers.loc[answers["kind"] == NOTE, "payload"].iloc[0]
         chosen = exchange.unpack_bits(note, len(block.first))
         first, _, place, lead = block.groups(chosen)
@@ -144,11 +179,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_bytes: int = BLO
         np.add.at(steps, starts + window, -1)
         gone = np.cumsum(steps)[:-1] > 0
         out, at = [], 0
-        for key, own_words, size in zip(block.rows["key"], block.words, block.sizes):
+        for key, text, size in zip(block.rows["key"], block.rows["text"], block.sizes):
             mask = gone[at:at + size]
             at += size
             removed = int(mask.sum())
-            kept = own_words if not removed else [w for w, g in zip(own_words, mask.tolist()) if not g]
+            kept = words(text)
+            if removed:
+                kept = [w for w, g in zip(kept, mask.tolist()) if not g]
             out.append((key, b" ".join(kept), int(size), removed))
         return pd.DataFrame(out, columns=columns)
 
