@@ -6,12 +6,14 @@ from .decontaminate import OP6_SQL, op6_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .mixing import op4_mixing
 from .quality import op5_quality
+from .secrets import op3_secrets
 from .simhash import op10_simhash_dedup
 from .substring_dedup import OP9_SQL, op9_substring_dedup
 from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_secrets": op3_secrets,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
