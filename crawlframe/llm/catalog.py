@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP6_SQL, op6_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .html_extract import op2_html_extract
 from .mixing import op4_mixing
 from .quality import op5_quality
 from .secrets import op3_secrets
@@ -13,6 +14,7 @@ from .toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_html_extract": op2_html_extract,
     "op3_secrets": op3_secrets,
     "op4_mixing": op4_mixing,
     "op5_quality": op5_quality,
