@@ -107,6 +107,14 @@ class Network:
         """Both directions' input parts of the gates."""
         return np.concatenate([x @ self.p[f"W{d}"] + self.p[f"c{d}"] for d in "fb"], 1)
 
+    def gates(self, own: np.ndarray, grams: np.ndarray, starts: np.ndarray, size: int = 20_000) -> np.ndarray:
+        """``projected`` of the ``inputs`` of all words, some at a time."""
+        ends, out = np.append(starts, len(grams)), []
+        for a in range(0, len(own), size):
+            b = min(a + size, len(own))
+            out.append(self.projected(self.inputs(own[a:b], grams[ends[a]:ends[b]], starts[a:b] - ends[a])))
+        return np.concatenate(out)
+
     def score(self, gates: np.ndarray, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Logit of each window of ``ids``; ``gates`` has the projected input of each id."""
         out = np.empty(len(starts), np.float32)
@@ -202,14 +210,17 @@ class Network:
             grad[f"W{d}"] = x[used].T @ by_word
             grad[f"c{d}"] = by_word.sum(0)
             dx[used] += by_word @ p[f"W{d}"].T
-        grad["word"] = np.zeros_like(p["word"])
-        np.add.at(grad["word"], own, dx[:, :WORD_DIM])
+        grad["word"] = _sums(own, dx[:, :WORD_DIM], WORD_BUCKETS)
         counts = np.diff(np.append(starts, len(grams)))
-        grad["char"] = np.zeros_like(p["char"])
-        np.add.at(grad["char"], grams, np.repeat(dx[:, WORD_DIM:] / np.sqrt(np.maximum(counts, 1))[:, None], counts, axis=0))
+        grad["char"] = _sums(grams, np.repeat(dx[:, WORD_DIM:] / np.sqrt(np.maximum(counts, 1))[:, None], counts, axis=0), CHAR_BUCKETS)
         return grad
 
 
+def _sums(buckets: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """Sum of the rows of each bucket."""
+    return np.stack([np.bincount(buckets, rows[:, j], size) for j in range(rows.shape[1])], 1).astype(np.float32)
+
+
 class Adam:
     def __init__(self, p: dict[str, np.ndarray], rate: float):
         self.p, self.rate, self.t = p, rate, 0
@@ -227,13 +238,17 @@ class Adam:
             self.p[k] -= (self.rate * up).astype(np.float32)
 
 
-def _log_odds(ids: np.ndarray, docs: np.ndarray, labels: np.ndarray, size: int) -> np.ndarray:
+def _log_odds(have: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Per bucket: how much more of the positive than of the negative documents have it, as a log ratio."""
-    pairs = np.unique(docs.astype(np.int64) * size + ids)
-    hit = labels[pairs // size].astype(bool)
-    have = [np.bincount(pairs[hit == x] % size, minlength=size) for x in (True, False)]
-    n = [max(1, int(labels.sum())), max(1, int((1 - labels).sum()))]
-    return np.log((have[0] + 0.5) / (n[0] + 1)) - np.log((have[1] + 0.5) / (n[1] + 1))
+    return np.log((have[1] + 0.5) / (labels.sum() + 1)) - np.log((have[0] + 0.5) / ((1 - labels).sum() + 1))
+
+
+def _features_in_parts(vocabulary: list[bytes], size: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``features``, worked out for some words at a time."""
+    parts = [features(vocabulary[i:i + size]) for i in range(0, len(vocabulary), size)]
+    before = np.cumsum([0] + [len(p[1]) for p in parts])
+    return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1].astype(np.int32) for p in parts]),
+            np.concatenate([p[2] + n for p, n in zip(parts, before)]))
 
 
 def train(texts: list[str], labels: list[int], seed: int = 0) -> Network | float:
@@ -254,15 +269,16 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Network | float
     index = {w: i for i, w in enumerate(vocabulary)}
     ids = np.fromiter((index[w] for words in lists for w in words), np.int64)
     sizes = np.array([len(w) for w in lists])
-    doc_of = np.repeat(np.arange(len(lists)), sizes)
-    own, grams, starts = features(vocabulary)
+    own, grams, starts = _features_in_parts(vocabulary)
     counts = np.diff(np.append(starts, len(grams)))
     net = Network.random(seed)
-    seen = np.unique(doc_of * len(vocabulary) + ids)
-    d, w = seen // len(vocabulary), seen % len(vocabulary)
-    gram_at = _spread(starts[w], counts[w])
-    word_odds = _log_odds(own[w], d, y, WORD_BUCKETS)
-    char_odds = _log_odds(grams[gram_at], np.repeat(d, counts[w]), y, CHAR_BUCKETS)
+    ends = np.cumsum(sizes)
+    have = {"word": np.zeros((2, WORD_BUCKETS)), "char": np.zeros((2, CHAR_BUCKETS))}
+    for label, a, b in zip(y.astype(int), ends - sizes, ends):
+        used = np.unique(ids[a:b])
+        have["word"][label][np.unique(own[used])] += 1
+        have["char"][label][np.unique(grams[_spread(starts[used], counts[used])])] += 1
+    word_odds, char_odds = (_log_odds(have[k], y) for k in ("word", "char"))
     net.p["word"][:, 0] += 0.3 * np.clip(word_odds, -1, 3)
     net.p["char"][:, 0] += 0.3 * np.clip(char_odds, -1, 3)
     best = np.full(len(vocabulary), -9.0)
@@ -290,7 +306,7 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Network | float
             net_words = own[used], grams[_spread(starts[used], bits)], np.concatenate(([0], np.cumsum(bits)))[:-1]
             adam.step(net.gradients(net_words, local, mask, y[doc[part]]))
         if adam.t < STEPS:
-            scores = net.score(net.projected(net.inputs(own, grams, starts)), ids, start, length)
+            scores = net.score(net.gates(own, grams, starts), ids, start, length)
     return net
 
 
