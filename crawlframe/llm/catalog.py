@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP6_SQL, op6_decontaminate
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .html_extract import op2_html_extract
+from .lm_score import OP8_SQL, op8_lm_score
 from .mixing import op4_mixing
 from .quality import op5_quality
 from .secrets import op3_secrets
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_quality": op5_quality,
     "op6_decontaminate": op6_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_lm_score": op8_lm_score,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
 }
@@ -27,5 +29,6 @@ QUERIES = {
 SQL = {
     "op6_decontaminate": OP6_SQL,
     "op7_exact_dedup": OP7_SQL,
+    "op8_lm_score": OP8_SQL,
     "op9_substring_dedup": OP9_SQL,
 }
