@@ -37,6 +37,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores put before those that ``docs`` already has as columns."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def all_columns(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs``, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def text_of(column: Column | str) -> Column:
     """The text, NULL counting as empty."""
     column = F.col(column) if isinstance(column, str) else column

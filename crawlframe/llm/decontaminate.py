@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import fold_table, table, text_of
+from .common import all_columns, fold_table, fresh, table, text_of
 
 WINDOW = 10
 #: Benchmark windows, and bytes of their text, that one pass searches for; more take further passes.
@@ -120,12 +120,11 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     pieces = pieces_of(benchmark, window)
     size = pieces.agg(F.sum("windows"), F.sum(F.octet_length("words"))).first()
     passes = max(1, math.ceil((size[0] or 0) / pass_windows), math.ceil((size[1] or 0) / PASS_BYTES))
-    names, out = [], docs
+    names, out = fresh(docs, *[f"__hits_{k}" for k in range(passes)]), docs
     for k in range(passes):
         own = pieces if passes == 1 else pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(passes)) == k)
         shared = docs.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["words"])) for r in own.select("item", "words").distinct().collect()])
-        names.append(f"__hits_{k}")
-        out = out.withColumn(names[-1], _search(shared, window)(text_of("text").cast("binary")))
+        out = out.withColumn(names[k], _search(shared, window)(text_of("text").cast("binary")))
     return out, names
 
 
@@ -168,7 +167,7 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     clean = F.lit(True)
     for name in names:
         clean = clean & (F.size(f"{name}.starts") == 0)
-    return found.where(clean).select(docs.columns)
+    return found.where(clean).select(all_columns(docs))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import exchange
-from .common import stored, table, text_of
+from .common import all_columns, fresh, stored, table, text_of
 
 #: Rows whose fingerprints one block sends.
 BLOCK_ROWS = 500_000
@@ -118,13 +118,13 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     found = stored(exact_duplicates(docs), "exact")
     repeated = found.where(F.col("group_size") > 1)
     passes = membership_filter(repeated.select("fp").distinct())
-    marked = docs.withColumns({"__fp": F.xxhash64(text_of("text")), "__sha": F.sha2(text_of("text"), 256)})
-    marked = marked.withColumn("__suspect", passes("__fp"))
-    keepers = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__keep"))
-    chosen = (marked.where("__suspect")
-              .join(keepers, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__keep")), "left_semi")
-              .dropDuplicates(["doc_id", "__sha"]))
-    return marked.where(~F.col("__suspect")).unionByName(chosen).select(docs.columns)
+    sha, suspect, own_id, keep = fresh(docs, "__sha", "__suspect", "__id", "__keep")
+    marked = docs.withColumns({sha: F.sha2(text_of("text"), 256), suspect: passes(F.xxhash64(text_of("text")))})
+    keepers = found.where("kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(keep))
+    chosen = (marked.where(suspect)
+              .join(keepers, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(sha) == F.col(keep)), "left_semi")
+              .dropDuplicates(["doc_id", sha]))
+    return marked.where(~F.col(suspect)).unionByName(chosen).select(all_columns(docs))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

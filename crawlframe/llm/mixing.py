@@ -5,14 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
 
-from .common import table, text_of
+from .common import fresh, table, text_of
 
 #: Aims of the query: entropy of the mix as a share of the largest possible one, and most passes over a source.
 ENTROPY_SHARE, MOST_PASSES = 0.95, 4.0
 #: Documents in one stretch of a source's permutation, on average.
-STRETCH = 50_000
+STRETCH = 4_000
 #: Tokens in one block of the mix.
 BLOCK_TOKENS = 1_000_000
 
@@ -67,16 +67,15 @@ def temperature(shares: Sequence[float], entropy_share: float = ENTROPY_SHARE, m
     return min(1.0, bisect(too_often) + 2.0 ** -steps * 2)
 
 
-def with_tokens(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__tokens``: runs of characters other than white space."""
-    trimmed = F.regexp_replace(text_of("text"), r"^[ \t\n\x0B\f\r]+", "")
-    return docs.withColumn("__tokens", F.when(trimmed == "", 0).otherwise(F.size(F.split(
-        F.regexp_replace(trimmed, r"[ \t\n\x0B\f\r]+$", ""), r"[ \t\n\x0B\f\r]+"))).cast("long"))
+def token_count(text: Column) -> Column:
+    """Runs of characters other than ASCII white space."""
+    trimmed = F.regexp_replace(F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+", ""), r"[ \t\n\x0B\f\r]+$", "")
+    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[ \t\n\x0B\f\r]+"))).cast("long")
 
 
 def mixture(docs: DataFrame, budget_share: float = 1.0, entropy_share: float = ENTROPY_SHARE, most_passes: float = MOST_PASSES,
             block_tokens: int = BLOCK_TOKENS, seed: int = 0) -> DataFrame:
-    """The mix, one row per document and pass: the columns of ``docs``, then __tokens, epoch, block and slot.
+    """The mix, one row per document and pass: the columns of ``docs``, then n_tokens, epoch, block and slot.
 
     Token shares of the sources are raised to an exponent found by bisection (see ``temperature``) and made weights;
     a source's budget is its weight times ``budget_share`` of all tokens. Each pass over a source is another
@@ -87,45 +86,45 @@ def mixture(docs: DataFrame, budget_share: float = 1.0, entropy_share: float = E
 
     The permutations are cut into stretches of hash values, tokens are summed per stretch first, and only then within
     stretches, so a source with a third of all rows is dealt over many tasks. One row per source is gathered to find
-    the exponent. A NULL source is a source of its own; NULL and empty texts have no tokens and are taken in passes
-    that go to the end. Repeated rows are taken on their own; which of them is at the budget's edge is open. An
-    empty table, or one without tokens, gives an empty mix.
+    the exponent. A NULL source is a source of its own; a source without tokens, such as one of NULL and empty texts
+    only, has no share. Rows without tokens are taken in the passes that reach them. Repeated rows are taken on their
+    own; which of them is at the budget's edge is open. An empty table, or one without tokens, gives an empty mix. If
+    ``docs`` has a column named as one of the four new ones, the new one gets underscores before its name.
     """
-    counted = with_tokens(docs)
-    facts = {r["source"]: (r["tokens"], r["rows"]) for r in
-             counted.groupBy("source").agg(F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).collect()}
+    place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    own_id, source, text = (F.col(place[c]) for c in ("doc_id", "source", "text"))
+    counted = docs.toDF(*place.values()).withColumn("tokens", token_count(text_of(text)))
+    facts = {r["source"]: (r["tokens"], r["rows"]) for r in counted.groupBy(source.cast("string").alias("source"))
+             .agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).collect()}
     total = sum(t for t, _ in facts.values())
-    names = sorted((s for s, (t, _) in facts.items() if t), key=lambda s: (s is None, s))
+    names = sorted((s for s, (t, _) in facts.items() if t), key=lambda s: (s is None, s or ""))
     shares = [facts[s][0] / total for s in names]
     exponent = temperature(shares, entropy_share, most_passes, budget_share)
     weights = mix_of(shares, exponent) if names else []
     blocks = max(1, round(budget_share * total / block_tokens))
-    plan = [(s, float(w * budget_share * total), facts[s][0], math.ceil(w * budget_share * total / facts[s][0] - 1e-9),
+    plan = [(s, float(w * budget_share * total), math.ceil(w * budget_share * total / facts[s][0] - 1e-9),
              max(1, math.ceil(facts[s][1] / STRETCH))) for s, w in zip(names, weights)]
-    plan = docs.sparkSession.createDataFrame(plan, "__source string, __budget double, __all long, __passes int, __stretches int")
-    same = F.col("source").cast("string").eqNullSafe(F.col("__source"))
-    drawn = (counted.join(plan, same)
-             .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__passes") - 1)))
-             .withColumn("__order", F.xxhash64(F.lit(seed), "epoch", "doc_id", text_of("text")))
+    plan = docs.sparkSession.createDataFrame(plan, "name string, budget double, passes int, stretches int")
+    drawn = (counted.join(plan, source.cast("string").eqNullSafe(F.col("name")))
+             .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
+             .withColumn("order", F.xxhash64(F.lit(seed), "epoch", own_id, text_of(text)))
              # 31 bits of the hash give the stretch, in the order of the hash
-             .withColumn("__stretch", F.floor(F.shiftrightunsigned(F.col("__order").bitwiseXOR(F.lit(-1 << 63)), 33)
-                                              * F.col("__stretches") / F.lit(float(1 << 31))).cast("int")))
-    sums = drawn.groupBy("__source", "epoch", "__stretch").agg(F.sum("__tokens").alias("__sum"))
-    before = Window.partitionBy("__source").orderBy("epoch", "__stretch").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("__source", "epoch", "__stretch", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"))
-    near = Window.partitionBy("__source", "epoch", "__stretch").orderBy("__order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (drawn.withColumn("__near", F.coalesce(F.sum("__tokens").over(near), F.lit(0)))
-              .withColumnRenamed("__source", "__s").join(
-                  offsets.select(F.col("__source").alias("__t"), F.col("epoch").alias("__e"), F.col("__stretch").alias("__k"), "__offset"),
-                  F.col("__s").eqNullSafe(F.col("__t")) & (F.col("epoch") == F.col("__e")) & (F.col("__stretch") == F.col("__k")))
-              .withColumn("__at", F.col("__offset") + F.col("__near"))
-              .where(F.col("__at") < F.col("__budget")))
+             .withColumn("stretch", F.floor(F.shiftrightunsigned(F.col("order").bitwiseXOR(F.lit(-1 << 63)), 33)
+                                            * F.col("stretches") / F.lit(float(1 << 31))).cast("int")))
+    sums = drawn.groupBy("name", "epoch", "stretch").agg(F.sum("tokens").alias("sum"))
+    before = Window.partitionBy("name").orderBy("epoch", "stretch").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(F.col("name").alias("n"), F.col("epoch").alias("e"), F.col("stretch").alias("s"),
+                          F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
+    near = Window.partitionBy("name", "epoch", "stretch").orderBy("order", own_id).rowsBetween(Window.unboundedPreceding, -1)
+    placed = (drawn.withColumn("near", F.coalesce(F.sum("tokens").over(near), F.lit(0)))
+              .join(offsets, F.col("name").eqNullSafe(F.col("n")) & (F.col("epoch") == F.col("e")) & (F.col("stretch") == F.col("s")))
+              .withColumn("at", F.col("offset") + F.col("near")).where(F.col("at") < F.col("budget")))
+    added = fresh(docs, "n_tokens", "epoch", "block", "slot")
     return placed.select(
-        *[placed[c] for c in docs.columns], "__tokens", "epoch",
-        F.least(F.lit(blocks - 1), F.floor(F.col("__at") / F.col("__budget") * blocks)).cast("int").alias("block"),
-        F.xxhash64(F.lit(seed + 1), "epoch", "doc_id", "__at").alias("slot"))
+        *[F.col(place[c]).alias(c) for c in docs.columns], F.col("tokens").alias(added[0]), F.col("epoch").alias(added[1]),
+        F.least(F.lit(blocks - 1), F.floor(F.col("at") / F.col("budget") * blocks)).cast("int").alias(added[2]),
+        F.xxhash64(F.lit(seed + 1), "epoch", own_id, "at").alias(added[3]))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixture(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "source", F.col("__tokens").alias("n_tokens"), "epoch", "block", "slot")
+    return mixture(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).drop("text")

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table, text_of
+from .common import fresh, table, text_of
 
 #: A file of base64 token and rank per line, and the pattern that splits text for it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -96,10 +96,11 @@ def with_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = R
             yield pd.DataFrame(rows, columns=["kinds", "starts", "ends"])
 
     names = F.array(*map(F.lit, KINDS))
-    found = docs.withColumn("__found", find(text_of("text")))
+    raw, = fresh(docs, "__found")
+    found = docs.withColumn(raw, find(text_of("text")))
     return found.withColumn(column, F.transform(
-        F.arrays_zip(F.col("__found.kinds").alias("k"), F.col("__found.starts").alias("a"), F.col("__found.ends").alias("b")),
-        lambda x: F.struct(F.element_at(names, x["k"] + 1).alias("kind"), x["a"].alias("start"), x["b"].alias("end")))).drop("__found")
+        F.arrays_zip(F.col(f"{raw}.kinds").alias("k"), F.col(f"{raw}.starts").alias("a"), F.col(f"{raw}.ends").alias("b")),
+        lambda x: F.struct(F.element_at(names, x["k"] + 1).alias("kind"), x["a"].alias("start"), x["b"].alias("end")))).drop(raw)
 
 
 def joined(spans):

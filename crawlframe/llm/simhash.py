@@ -10,7 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import LAST_ID, fold_table, stored, table, text_of, words
+from .common import LAST_ID, all_columns, fold_table, fresh, stored, table, text_of, words
 from .components import components
 from .exact_dedup import membership_filter
 
@@ -194,11 +194,12 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     grouped = found.join(sizes.withColumnRenamed("component_id", "c"), F.col("component_id").eqNullSafe(F.col("c")), "left_semi")
     key = lambda c: F.xxhash64(F.col(c).cast("long"))  # noqa: E731  a hash, so that the filter's cells are even
     passes = membership_filter(grouped.select(key("doc_id").alias("fp")).distinct())
-    marked = docs.withColumn("__suspect", passes(key("doc_id")))
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = (marked.where("__suspect").join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    suspect, own_id = fresh(docs, "__suspect", "__id")
+    marked = docs.withColumn(suspect, passes(key("doc_id")))
+    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own_id)).distinct()
+    kept = (marked.where(suspect).join(chosen, F.col("doc_id").eqNullSafe(F.col(own_id)), "left_semi")
             .dropDuplicates(["doc_id"]))
-    return marked.where(~F.col("__suspect")).unionByName(kept).select(docs.columns)
+    return marked.where(~F.col(suspect)).unionByName(kept).select(all_columns(docs))
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

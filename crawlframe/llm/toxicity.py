@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import fold_table, table, text_of
+from .common import all_columns, fold_table, fresh, table, text_of
 from .labelled import held_out, labelled_sample
 
 #: Words in a window, and from one window's start to the next.
@@ -377,7 +377,8 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, column: str = "__score", p
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all columns."""
-    return with_toxicity(docs, labels).where(F.col("__score") < threshold).select(docs.columns)
+    score, = fresh(docs, "__score")
+    return with_toxicity(docs, labels, score).where(F.col(score) < threshold).select(all_columns(docs))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
