@@ -35,7 +35,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their pass, block and place in the block of the mix; a document may come in several passes."""
     bounded_batches(spark)
-    return mixing.mixture(docs).withColumnsRenamed({"__tokens": "n_tokens"})
+    return mixing.mixture(docs)
 
 
 STAGES = [
