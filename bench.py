@@ -21,15 +21,15 @@ from crawlframe.sources.tables import Tables  # noqa: E402
 
 # Stored tables the reports read, in the order they depend on each other.
 STAGED = (("page_links", views.page_links), ("visit_results", views.visit_results),
-          ("crawl_results", views.crawl_results), ("frontier", views.frontier))
+          ("dead_rows", views.dead_rows), ("frontier", views.frontier))
 HEADLINE = (
     "extract_emails", "count_keywords", "extract_title", "extract_links", "hunt_mode",
     "domain_stats", "db_stats", "analyze_totals", "email_index", "keyword_index", "deadlink_index",
     "export_emails", "export_keywords", "search_results", "findings", "db_view", "db_view_stats",
     "findings_timeline", "timeline_hourly", "metrics_summary", "status_code_histogram",
     "error_histogram", "top_domains", "new_urls", "classify_links", "robots_allowed", "crawl_depths",
-    "upsert_results", "frontier_batch", "frontier_spill", "rate_between_snapshots", "bloom_stats",
-    "stream_counters", "stream_extract",
+    "upsert_results", "frontier_batch", "frontier_spill", "rate_between_snapshots", "crawl_step",
+    "stream_counters", "stream_extract", "stream_new_urls", "stream_dead_links",
 )
 
 

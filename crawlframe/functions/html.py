@@ -19,7 +19,15 @@ _TITLE = (r"(?is)^(?:[^<]++|<!--.*?(?:-->|\z)|<(script|style|textarea)\b[^>]*>.*
 _TAG = r"""<[A-Za-z][^\s/>]*+[\s/][^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>"""
 _ATTRIBUTE = r"""[^\s=/>"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*))?"""
 _ATTRIBUTE_VALUE = r"""(?s)^[^\s=]+\s*=\s*(?:"(.*)"|'(.*)'|(.*))$"""
-_ENTITY_TOKEN = r"(?s)&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*;?|[^&]+|&"
+
+# Names that are references without a semicolon too, longest first. In text the longest such name at the place is
+# decoded; in an attribute only a whole name with neither "=" nor a letter or digit behind it.
+_LEGACY = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+_NUMERIC_OR_NAMED = r"(?s)&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[A-Za-z][A-Za-z0-9]*+;"
+_TEXT_TOKEN = rf"{_NUMERIC_OR_NAMED}|&(?:{_LEGACY})|[^&]+|&"
+_ATTRIBUTE_TOKEN = rf"{_NUMERIC_OR_NAMED}|&(?:{_LEGACY})(?![A-Za-z0-9=])|[^&]+|&"
+# References seen so often that they are not looked up.
+_COMMON = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": "\u00a0"}
 
 
 # Named character references from the standard library, and what the code points 128-159 mean in
@@ -51,17 +59,23 @@ def _decode_token(token: Column) -> Column:
     hex_digits = F.regexp_extract(token, "^&#[xX]([0-9a-fA-F]+)", 1)
     code = F.when(digits != "", digits.try_cast("bigint")) \
             .otherwise(F.conv(hex_digits, 16, 10).try_cast("bigint"))
-    name = F.substring(token, 2, 1 << 30)
-    return F.when(~F.startswith(token, F.lit("&")) | (token == "&"), token) \
-            .when(F.startswith(token, F.lit("&#")), _code_point(code)) \
-            .otherwise(F.coalesce(F.nullif(_look_up(_NAMED, name), F.lit("")), token))
+    named = F.coalesce(F.nullif(_look_up(_NAMED, F.substring(token, 2, 1 << 30)), F.lit("")), token)
+    decoded = F.when(~F.startswith(token, F.lit("&")) | (token == "&"), token)
+    for reference, chars in _COMMON.items():
+        decoded = decoded.when(token == reference, chars)
+    return decoded.when(F.startswith(token, F.lit("&#")), _code_point(code)).otherwise(named)
+
 
+def decode_entities(text: Column, attribute: bool = False) -> Column:
+    """Replace character references in one pass, so that decoded text is not decoded again.
 
-def decode_entities(text: Column) -> Column:
-    """Replace character references in one pass, so that decoded text is not decoded again."""
-    tokens = F.regexp_extract_all(text, F.lit(_ENTITY_TOKEN), F.lit(0))
-    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(tokens, _decode_token), "")) \
-            .otherwise(text)
+    In an attribute ``&copy=2`` stays as it is, as in every query string; in text ``&copy2`` is a sign and a digit.
+    Text whose only references are ``&amp;`` takes a plain replacement.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(_ATTRIBUTE_TOKEN if attribute else _TEXT_TOKEN), F.lit(0))
+    return F.when(~F.contains(text, F.lit("&")), text) \
+            .when(~F.rlike(text, F.lit("&(?!amp;)")), F.replace(text, F.lit("&amp;"), F.lit("&"))) \
+            .otherwise(F.array_join(F.transform(tokens, _decode_token), ""))
 
 
 def extract_title(html: Column) -> Column:
@@ -85,7 +99,7 @@ def _references(tags: Column) -> Column:
     sources = F.filter(tags, lambda t: F.rlike(t, F.lit(r"(?i)\bsrc\b")))
     found = F.concat(F.transform(anchors, lambda t: _attribute(t, "href")),
                      F.transform(sources, lambda t: _attribute(t, "src")))
-    return F.transform(F.filter(found, lambda r: r.isNotNull()), decode_entities)
+    return F.transform(F.filter(found, lambda r: r.isNotNull()), lambda r: decode_entities(r, attribute=True))
 
 
 def raw_references(html: Column) -> Column:

@@ -94,6 +94,15 @@ def store_key(url: Column, processed_at: Column) -> Column:
     return F.concat(F.lit("result:"), url, F.lit("_"), F.unix_seconds(processed_at).cast("string"))
 
 
+def result_key() -> Column:
+    """Key of one row of the results: the store key, with the link for a dead-link row.
+
+    All dead links of a page carry one time, so the store key alone would be shared.
+    """
+    key = store_key(F.col("url"), F.col("processed_at"))
+    return F.when(F.size("dead_links") > 0, F.concat(key, F.lit("_"), F.array_join("dead_links", " "))).otherwise(key)
+
+
 def frontier_key(url: Column) -> Column:
     """Key of a stored frontier row."""
     return F.concat(F.lit("url:"), url)

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import error_category, frontier_key, store_key, truncate_text
+from ..functions.text import error_category, frontier_key, result_key, store_key, truncate_text
 from ..functions.urls import is_valid_url, report_domain
 from ..schemas import TIMESTAMP_FORMAT
 
-MAX_BODY_BYTES = 2 * 1024 * 1024
 NOT_HTML = "skipped non-HTML content: "
 
 
@@ -19,18 +18,12 @@ def is_html(content_type: Column) -> Column:
             | F.contains(lowered, F.lit("application/xhtml")))
 
 
-def cut_body(body: Column, max_bytes: int = MAX_BODY_BYTES) -> Column:
-    """The first ``max_bytes`` bytes of a body, as the fetcher would have read them."""
-    cut = F.substring(body.cast("binary"), 1, max_bytes).cast("string")
-    return F.when(F.octet_length(body) > max_bytes, cut).otherwise(body)
-
-
-def html_content_filter(fetched: DataFrame, max_bytes: int = MAX_BODY_BYTES) -> DataFrame:
-    """Blank the body of anything but HTML and say so in ``error``; cut long bodies."""
+def html_content_filter(fetched: DataFrame) -> DataFrame:
+    """Blank the body of anything but HTML and say so in ``error``; HTML stays whole."""
     html = is_html(F.col("content_type"))
     return (fetched.withColumn("error", F.when(html, "").otherwise(
                         F.concat(F.lit(NOT_HTML), F.col("content_type"))))
-                   .withColumn("body", F.when(html, cut_body(F.col("body"), max_bytes)).otherwise("")))
+                   .withColumn("body", F.when(html, F.col("body")).otherwise("")))
 
 
 def valid_urls(df: DataFrame, column: str = "url") -> DataFrame:
@@ -71,6 +64,12 @@ def search_results(results: DataFrame, term: str) -> DataFrame:
                   .withColumn("matching_keywords", F.map_filter("keywords", lambda k, _: hit(k)))
 
 
+def filter_db_view(entries: DataFrame, data_type: str | None = None, term: str = "") -> DataFrame:
+    """Database-view entries of one kind and with a term, as the filtered view exports them."""
+    kept = entries if data_type is None else entries.filter(F.col("data_type") == data_type)
+    return search_db_view(kept, term)
+
+
 def search_db_view(entries: DataFrame, term: str) -> DataFrame:
     """Database-view entries with the term in the URL or in their flattened data."""
     if not term:
@@ -86,8 +85,9 @@ def _json(df: DataFrame) -> Column:
 def lookup_keys(frontier: DataFrame, results: DataFrame, keys: DataFrame) -> DataFrame:
     """key, database, raw_value for every asked ``key``; database and value are NULL if it is unknown.
 
-    Keys are made distinct first, and stored keys are unique. Stored rows are
-    reduced to the asked keys before they are turned into JSON.
+    Keys are made distinct first. Stored rows are reduced to the asked keys
+    before they are turned into JSON. A dead-link row answers to its result key,
+    which holds the link.
     """
     asked = keys.select("key").distinct()
 
@@ -96,14 +96,14 @@ def lookup_keys(frontier: DataFrame, results: DataFrame, keys: DataFrame) -> Dat
         return kept.select("key", F.lit(name).alias("database"), _json(df).alias("raw_value"))
 
     urls = stored(frontier, frontier_key(F.col("url")), "URLs")
-    rows = stored(results, store_key(F.col("url"), F.col("processed_at")), "Results")
+    rows = stored(results, result_key(), "Results")
     return asked.join(urls.unionByName(rows), "key", "left")
 
 
 def lookup_key(frontier: DataFrame, results: DataFrame, key: str) -> DataFrame:
     """database, key, raw_value for one store key, no row if it is unknown.
 
-    The key fixes the URL, and the equality on the URL column reaches the scan.
+    The key of a frontier row fixes the URL, and the equality reaches the scan.
     """
     def found(df: DataFrame, url: str, own_key: Column, name: str) -> DataFrame:
         return df.filter((F.col("url") == url) & (own_key == key)).select(
@@ -111,8 +111,8 @@ def lookup_key(frontier: DataFrame, results: DataFrame, key: str) -> DataFrame:
             _json(df).alias("raw_value"))
 
     if key.startswith("result:"):
-        url = key[len("result:"):].rsplit("_", 1)[0]
-        return found(results, url, store_key(F.col("url"), F.col("processed_at")), "Results").limit(1)
+        return results.filter(result_key() == key).select(
+            F.lit("Results").alias("database"), F.lit(key).alias("key"), _json(results).alias("raw_value")).limit(1)
     return found(frontier, key[len("url:"):], frontier_key(F.col("url")), "URLs").limit(1)
 
 

@@ -6,11 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.urls import is_submittable_url
 from .lineage import cut
-from .skew import HOT_ROWS, SALTS, hot_keys
 
 _DAY = 86_400
-# A batch up to this size may be broadcast to find what it leaves behind.
-BROADCAST_BATCH = 100_000
 
 
 def priority(depth: Column, timestamp: Column) -> Column:
@@ -44,33 +41,18 @@ def priority_cutoff(frontier: DataFrame, k: int) -> DataFrame:
 def frontier_batch(frontier: DataFrame, k: int) -> DataFrame:
     """The best ``k`` rows by priority, ties by URL.
 
-    A top-k alone would hand k rows of every task to one task. For a batch of
-    thousands the cutoff is worked out first, so that only about k rows are
-    left to be ordered.
+    A top-k alone would hand k rows of every task to one task. The cutoff is
+    worked out first, so that only the k rows and those tied with the last one
+    are left to be ordered.
     """
     ranked = frontier.withColumn("priority", priority(F.col("depth"), F.col("timestamp")))
-    if k > 1000:
-        cutoff = F.broadcast(priority_cutoff(frontier, k))
-        ranked = ranked.crossJoin(cutoff).filter(
-            F.col("cutoff").isNull() | (F.col("priority") <= F.col("cutoff"))).drop("cutoff")
-    return ranked.orderBy("priority", "url").limit(k)
-
-
-def _without(frontier: DataFrame, batch: DataFrame, size: int) -> DataFrame:
-    keys = batch.select("url")
-    return frontier.join(F.broadcast(keys) if size <= BROADCAST_BATCH else keys, "url", "left_anti")
+    cutoff = priority_cutoff(frontier, k).scalar()
+    return ranked.filter(cutoff.isNull() | (F.col("priority") <= cutoff)).orderBy("priority", "url").limit(k)
 
 
 def frontier_spill(frontier: DataFrame, capacity: int) -> DataFrame:
     """What does not fit in a queue of that capacity; URLs must be unique (see ``upsert_frontier``)."""
-    return _without(frontier, frontier_batch(frontier, capacity), capacity)
-
-
-def frontier_refill(stored: DataFrame, queue_size: int, capacity: int) -> tuple[DataFrame, DataFrame]:
-    """The first ``capacity - queue_size`` stored rows in key order, and what stays stored."""
-    needed = max(capacity - queue_size, 0)
-    taken = stored.orderBy("url").limit(needed)
-    return taken, _without(stored, taken, needed)
+    return frontier.join(frontier_batch(frontier, capacity).select("url"), "url", "left_anti")
 
 
 def submit_urls(submitted: DataFrame, column: str = "url") -> DataFrame:
@@ -88,28 +70,20 @@ def submit_summary(labelled: DataFrame) -> DataFrame:
                         F.count_if(~F.col("valid")).alias("invalid"))
 
 
-def crawl_depths(seeds: DataFrame, links: DataFrame, max_depth: int,
-                 hot_rows: int = HOT_ROWS) -> DataFrame:
+def crawl_depths(seeds: DataFrame, links: DataFrame, max_depth: int) -> DataFrame:
     """url, depth: what is reachable from the seeds in at most ``max_depth`` steps, at least depth.
 
-    ``links`` has src and dst, ``seeds`` has url. One round per level; each
-    round's result is checkpointed, so the plan does not grow and a lost
-    executor costs one level at most. Sources with very many links are salted
-    once, before the loop, and targets are made distinct before they are
-    compared with what was visited.
+    ``links`` has src and dst, ``seeds`` has url. The distinct edges are written
+    once; each round joins the last level to them, and is checkpointed, so the
+    plan does not grow and a lost executor costs one level at most. Of a source
+    with very many links the adaptive planner splits the edges, and targets are
+    made distinct before they are compared with what was visited.
     """
-    hot = F.broadcast(cut(hot_keys(links, "src", hot_rows)).withColumn("_hot", F.lit(True)))
-    salt = F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int")
-    edges = (links.select("src", "dst").join(hot, "src", "left")
-                  .select("src", "dst", F.when(F.col("_hot"), salt).otherwise(-1).alias("_salt")))
-    slots = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(-1)))
-
+    edges = cut(links.select("src", "dst").distinct())
     level = cut(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     visited = level
     for depth in range(1, max_depth + 1):
-        sources = (level.select(F.col("url").alias("src")).join(hot, "src", "left")
-                        .select("src", F.explode(slots).alias("_salt")))
-        found = edges.join(sources, ["src", "_salt"]).select(F.col("dst").alias("url")).distinct()
+        found = edges.join(level.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
         level = cut(found.join(visited.select("url"), "url", "left_anti")
                          .withColumn("depth", F.lit(depth)))
         if level.isEmpty():

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import store_key
-from .skew import HOT_ROWS, balanced_lookup
-
-# Lists longer than about this are written in several rows.
-LIST_CHUNK = 100_000
+from .skew import balanced_lookup
 
 
 def mentions(results: DataFrame, items: Column) -> DataFrame:
@@ -58,28 +55,16 @@ def index_of(found: DataFrame, sources: int, limit: int | None = None) -> DataFr
     counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("pages"), F.sum("weight").alias("total"))
     if limit is not None:
         counts = counts.orderBy(F.col("total").desc(), "key").limit(limit)
-        # The keys are at most ``limit`` rows; small reports may be broadcast.
-        keys = counts.select("key")
-        found = found.join(F.broadcast(keys) if limit <= 10_000 else keys, "key", "left_semi")
+        found = balanced_lookup(found, counts.select("key"), "key", "left_semi")
     return counts.join(first_n_sources(found, sources), "key").select(
         "key", "pages", "total", "first_urls",
         F.greatest(F.col("pages") - sources, F.lit(0)).alias("more"))
 
 
-def source_lists(found: DataFrame, chunk: int = LIST_CHUNK, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """key, part, parts, total, urls: every source URL of every key, in store-key order.
+def source_rows(found: DataFrame) -> DataFrame:
+    """key, total, store_key, url: every source of every key, one row each, with the key's summed weight.
 
-    A key with at most ``chunk`` mentions has one row. A longer list is dealt
-    out by hash over as many parts as needed, so that no row and no task holds
-    it whole. ``total`` is the summed weight of the whole key; it travels with
-    the part count, so the lists are not moved again once they are built.
+    One layout for keys of any size: no row and no task holds a key's whole list.
     """
-    long_keys = (found.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("sum"))
-                      .filter(F.col("n") > chunk)
-                      .select("key", F.ceil(F.col("n") / chunk).cast("int").alias("parts"), "sum"))
-    dealt = (balanced_lookup(found, long_keys, "key", ["store_key"], min_rows=hot_rows)
-             .withColumn("parts", F.coalesce("parts", F.lit(1)))
-             .withColumn("part", F.pmod(F.xxhash64("store_key"), F.col("parts")).cast("int")))
-    urls = F.transform(F.array_sort(F.collect_list(F.struct("store_key", "url"))), lambda e: e["url"])
-    return dealt.groupBy("key", "part", "parts").agg(
-        F.coalesce(F.max("sum"), F.sum("weight")).alias("total"), urls.alias("urls"))
+    totals = found.groupBy("key").agg(F.sum("weight").alias("total"))
+    return balanced_lookup(found, totals, "key").select("key", "total", "store_key", "url")

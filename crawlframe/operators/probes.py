@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.urls import url_host
 from ..schemas import RESULT_COLUMNS
-from .skew import HOT_ROWS, balanced_lookup, hot_keys
+from .dedup import first_per_key
+from .skew import balanced_lookup
 
 
 def is_dead_status(status: Column) -> Column:
@@ -14,27 +15,33 @@ def is_dead_status(status: Column) -> Column:
     return status.isNull() | status.isin(404, 410) | (status >= 500)
 
 
+def last_outcome(probes: DataFrame, key: str, outcome: str) -> DataFrame:
+    """``key`` and ``outcome`` of the last probe per key, by ``probed_at`` if there is such a column.
+
+    Of probes with the same time the one with the larger outcome counts; no response is the smallest.
+    """
+    order = [F.col("probed_at").desc_nulls_last()] if "probed_at" in probes.columns else []
+    return first_per_key(probes, [key], [*order, F.col(outcome).desc_nulls_last()]).select(key, outcome)
+
+
 def domain_status(links: DataFrame, host_probes: DataFrame) -> DataFrame:
     """One verdict per linked host; a host that was never reached is dead."""
     hosts = (links.select(url_host(F.col("link_url")).alias("host"))
                   .filter("host <> ''").distinct())
-    probed = hosts.join(host_probes, "host", "left")
+    probed = hosts.join(last_outcome(host_probes, "host", "reachable"), "host", "left")
     return probed.select("host", (F.coalesce(F.col("reachable"), F.lit(0)) == 0).alias("is_dead"))
 
 
-def classify_links(links: DataFrame, host_probes: DataFrame, link_probes: DataFrame,
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+def classify_links(links: DataFrame, host_probes: DataFrame, link_probes: DataFrame) -> DataFrame:
     """Verdict per link: the domain decides first, then the URL itself.
 
     Adds ``host`` and ``verdict`` (dead_domain, dead_link or alive). A link
-    whose host cannot be told is dropped. Popular hosts and popular links are
-    salted, see ``balanced_lookup``.
+    whose host cannot be told is dropped. Of several probes of a host or link
+    the last counts, so no link is multiplied.
     """
     hosted = links.withColumn("host", url_host(F.col("link_url"))).filter("host <> ''")
-    by_host = balanced_lookup(hosted, host_probes.select("host", "reachable"), "host",
-                              ["link_url", "source_url"], hot=hot_keys(hosted, "host", hot_rows))
-    probed = balanced_lookup(by_host, link_probes.select("link_url", "http_status"), "link_url",
-                             ["source_url"], hot=hot_keys(hosted, "link_url", hot_rows))
+    by_host = balanced_lookup(hosted, last_outcome(host_probes, "host", "reachable"), "host")
+    probed = balanced_lookup(by_host, last_outcome(link_probes, "link_url", "http_status"), "link_url")
     verdict = (F.when(F.coalesce(F.col("reachable"), F.lit(0)) == 0, "dead_domain")
                 .when(is_dead_status(F.col("http_status")), "dead_link").otherwise("alive"))
     return probed.select(*links.columns, "host", verdict.alias("verdict"))

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.binding import let
 from ..functions.urls import url_host, url_path
 from ..schemas import RESULT_COLUMNS
-from .skew import HOT_ROWS, balanced_lookup
+from .dedup import first_per_key
+from .skew import balanced_lookup
 
 BLOCKED = "blocked by robots.txt"
 
@@ -45,8 +46,11 @@ def _values(records: Column, kind: str) -> Column:
 
 
 def _usable(robots: DataFrame) -> DataFrame:
-    """Only a 200 answer has rules; any other answer allows everything."""
-    return robots.filter(F.col("status") == 200)
+    """Only a 200 answer has rules; any other answer allows everything. Of several answers of a host the last counts, by
+    ``fetched_at`` if there is such a column."""
+    order = [F.col("fetched_at").desc_nulls_last()] if "fetched_at" in robots.columns else []
+    last = first_per_key(robots, ["host"], [*order, F.col("status"), F.col("body").desc_nulls_last()])
+    return last.filter(F.col("status") == 200)
 
 
 def robots_rules(robots: DataFrame) -> DataFrame:
@@ -107,17 +111,17 @@ def _matches(path: Column, pattern: Column) -> Column:
     return F.when(plain, F.startswith(path, pattern)).otherwise(F.like(path, glob))
 
 
-def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str,
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+def robots_allowed(urls: DataFrame, robots: DataFrame, agent: str) -> DataFrame:
     """Add ``host`` and ``allowed``; the longest matching pattern wins, allow wins a tie.
 
     Only the path is tested. The rules of a host travel as one array, so a URL
-    meets them in one row instead of being multiplied by them.
+    meets them in one row instead of being multiplied by them. All columns of
+    ``urls`` go through the join: hand over narrow rows, never page bodies.
     """
     hosted = (urls.withColumn("host", url_host(F.col("url")))
                   .withColumn("_path", url_path(F.col("url"))))
     policy = robots_policy(robots, agent).select("host", "rules")
-    joined = balanced_lookup(hosted, policy, "host", ["url"], min_rows=hot_rows)
+    joined = balanced_lookup(hosted, policy, "host")
     path = F.when(F.col("_path") == "", "/").otherwise(F.col("_path"))
     winner = F.array_max(F.transform(F.filter("rules", lambda r: _matches(path, r["pattern"])),
                                      lambda r: F.struct(r["pattern_len"], r["allow"].alias("allow"))))
@@ -145,5 +149,5 @@ def robots_sitemaps(robots: DataFrame) -> DataFrame:
 def robots_crawl_delay(robots: DataFrame, agent: str) -> DataFrame:
     """host, crawl_delay in seconds: that of the agent's own group, else of ``*``, else 0."""
     policy = robots_policy(robots, agent).select("host", "crawl_delay")
-    return robots.select("host").join(policy, "host", "left") \
+    return robots.select("host").distinct().join(policy, "host", "left") \
                  .select("host", F.coalesce("crawl_delay", F.lit(0.0)).alias("crawl_delay"))

@@ -2,53 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, functions as F
 
-# At most this many keys are ever treated as hot: it bounds the broadcast list, and any
-# other key then holds less than 1/MAX_HOT_KEYS of the rows.
-MAX_HOT_KEYS = 512
-# A key below this many rows fits in a task anyway.
-HOT_ROWS = 1_000_000
-# Hot keys are spread over this many tasks.
-SALTS = 256
-
-
-def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS,
-             max_keys: int = MAX_HOT_KEYS) -> DataFrame:
-    """The most frequent keys with at least ``min_rows`` rows, never more than ``max_keys``.
-
-    Counting is partially aggregated before its shuffle, and the top-k keeps
-    ``max_keys`` rows per task, so the list itself cannot become large.
-    """
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    return (counts.filter(F.col("_rows") >= min_rows)
-                  .orderBy(F.col("_rows").desc(), key).limit(max_keys).select(key))
-
-
-def balanced_lookup(left: DataFrame, right: DataFrame, key: str, spread_by: Sequence[str],
-                    how: str = "left", hot: DataFrame | None = None, min_rows: int = HOT_ROWS,
-                    max_keys: int = MAX_HOT_KEYS, salts: int = SALTS) -> DataFrame:
+def balanced_lookup(left: DataFrame, right: DataFrame, key: str, how: str = "left") -> DataFrame:
     """Join ``left`` with ``right``, which has at most one row per key.
 
-    Rows of hot keys get a salt from a hash of ``spread_by``, and the right row
-    of a hot key is repeated once per salt; all other rows carry salt 0. One
-    join then serves both kinds, and no row is lost or doubled. Only the list
-    of hot keys is broadcast, and ``max_keys`` bounds it. NULL keys cannot
-    match and are spread the same way. ``hot`` may give the result of
-    ``hot_keys`` over a simpler form of ``left``.
+    Both sides are shuffled by the key, and nothing else is read or counted. The adaptive planner splits a partition of
+    ``left`` that is far larger than the others over several tasks, each with the partition of ``right`` beside it; a
+    hot key costs its one right row once more per task. That holds for the joins allowed here, whose left rows can be
+    split, and only while no other operator asks for the same partitioning above the join.
     """
     if how not in ("left", "inner", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type: {how}")
-    hot = hot_keys(left, key, min_rows, max_keys) if hot is None else hot
-    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(salts)).cast("int")
-    salted_left = (left.join(hot, key, "left")
-                       .withColumn("_salt", F.when(F.col("_hot") | F.col(key).isNull(), salt)
-                                             .otherwise(0))
-                       .drop("_hot"))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted_right = (right.join(hot, key, "left")
-                         .withColumn("_salt", F.explode(copies)).drop("_hot"))
-    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")
+    return left.join(right, key, how)

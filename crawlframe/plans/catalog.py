@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import html, text, urls
-from ..operators import bloom, dedup, filters, frontier, index, links, probes, robots
-from ..schemas import LINK_PROBE, PAGE, TIMESTAMP_FORMAT
+from ..operators import dedup, filters, frontier, index, links, probes, robots
+from ..schemas import CRAWL_RESULT, FRONTIER, LINK_PROBE, PAGE, TIMESTAMP_FORMAT
 from ..session import configure
 from ..sources import sinks, store, views
 from ..sources.tables import Tables
@@ -34,8 +34,12 @@ def listed_sorted(array: Column | str) -> Column:
     return F.array_join(F.array_sort(array), "|")
 
 
+def stamp_of(column: str) -> Column:
+    return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
 def stamp(column: str) -> Column:
-    return F.date_format(column, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(column)
+    return stamp_of(column).alias(column)
 
 
 def flat_results(df: DataFrame) -> DataFrame:
@@ -57,15 +61,24 @@ def scan_results(t: Tables) -> DataFrame:
     return flat_results(store.scan_results(views.crawl_results(t)))
 
 
-def scan_results_lenient(t: Tables) -> DataFrame:
-    """The visits as JSON lines, every line of one hash bucket cut short, decoded leniently."""
+def _damaged_lines(t: Tables) -> DataFrame:
+    """The visits as JSON lines, every line of one hash bucket cut short."""
     rows = views.visit_results(t)
     line = F.to_json(F.struct(*[c for c in rows.columns if c != "event_id"]),
                      {"timestampFormat": TIMESTAMP_FORMAT})
     cut = views.bucket(F.col("event_id").cast("string")) < 16
-    lines = rows.select(F.when(cut, F.substring(line, F.lit(1), F.length(line) - 5)).otherwise(line)
-                         .alias("value"))
-    return flat_results(store.decode_lenient(lines)[0])
+    return rows.select(F.when(cut, F.substring(line, F.lit(1), F.length(line) - 5)).otherwise(line).alias("value"))
+
+
+def scan_results_lenient(t: Tables) -> DataFrame:
+    """What decodes of the damaged lines."""
+    return flat_results(store.decode_lenient(_damaged_lines(t))[0])
+
+
+def scan_results_rejects(t: Tables) -> DataFrame:
+    """What does not decode, by its URL."""
+    rejects = store.decode_lenient(_damaged_lines(t))[1]
+    return rejects.select(F.regexp_extract("value", '"url":"([^"]*)"', 1).alias("url"))
 
 
 def scan_frontier(t: Tables) -> DataFrame:
@@ -73,25 +86,26 @@ def scan_frontier(t: Tables) -> DataFrame:
         "store_key", "url", "depth", stamp("timestamp"), "retries")
 
 
-def export_urls(t: Tables) -> DataFrame:
-    return views.frontier(t).select("url", "depth", stamp("timestamp"), "retries")
+def _exported(t: Tables, name: str, df: DataFrame) -> DataFrame:
+    """``df`` written as JSON lines and read back."""
+    path = _written(t, name, partial(sinks.export_json, df))
+    return t.spark.read.schema(df.schema).option("mode", "FAILFAST").json(path)
 
 
-def export_results(t: Tables) -> DataFrame:
-    rows = sinks.omit_empty(views.crawl_results(t))
-    return flat_results(rows)
+def export_urls(t: Tables) -> DataFrame:
+    return _exported(t, "export_urls", views.frontier(t)).select("url", "depth", stamp("timestamp"), "retries")
 
 
-def _flat_export(df: DataFrame) -> DataFrame:
-    return df.withColumn("urls", listed("urls"))
+def export_results(t: Tables) -> DataFrame:
+    return flat_results(_exported(t, "export_results", views.crawl_results(t)))
 
 
 def export_emails(t: Tables) -> DataFrame:
-    return _flat_export(reports.export_emails(views.crawl_results(t)))
+    return _exported(t, "export_emails", reports.export_emails(views.crawl_results(t)))
 
 
 def export_keywords(t: Tables) -> DataFrame:
-    return _flat_export(reports.export_keywords(views.crawl_results(t)))
+    return _exported(t, "export_keywords", reports.export_keywords(views.crawl_results(t)))
 
 
 def _written(t: Tables, name: str, write: Callable[[str], None]) -> str:
@@ -107,19 +121,43 @@ def append_jsonl(t: Tables) -> DataFrame:
     return flat_results(store.read_results(t.spark, path))
 
 
-def export_findings_csv(t: Tables) -> DataFrame:
-    """All findings as CSV, read back."""
-    found = unpivoted.findings(views.crawl_results(t))
-    path = _written(t, "export_findings_csv", partial(sinks.export_findings_csv, found))
+def append_jsonl_urls(t: Tables) -> DataFrame:
+    """The frontier as JSON lines beside the results, read back strictly."""
+    path = _written(t, "append_jsonl_urls", partial(sinks.append_jsonl, views.frontier(t)))
+    return store.read_frontier(t.spark, path).select("url", "depth", stamp("timestamp"), "retries")
+
+
+def _findings_csv(t: Tables, name: str, found: DataFrame) -> DataFrame:
+    path = _written(t, name, partial(sinks.export_findings_csv, found))
     rows = t.spark.read.option("header", True).option("escape", '"').csv(path)
     return rows.withColumn("found_at", F.to_timestamp("found_at")).select(
         "type", "source_url", "data", stamp("found_at"))
 
 
+def export_findings_csv(t: Tables) -> DataFrame:
+    """All findings as CSV, read back."""
+    return _findings_csv(t, "export_findings_csv", unpivoted.findings(views.crawl_results(t)))
+
+
+def export_findings_csv_type(t: Tables) -> DataFrame:
+    """The findings of one type as CSV, read back."""
+    found = unpivoted.findings_by_type(views.crawl_results(t), "dead_link")
+    return _findings_csv(t, "export_findings_csv_type", found)
+
+
 def export_db_view(t: Tables) -> DataFrame:
     """The database view as JSON lines, read back."""
-    entries = unpivoted.db_view(views.crawl_results(t))
-    path = _written(t, "export_db_view", partial(sinks.export_db_view, entries))
+    return _db_view_file(t, "export_db_view", unpivoted.db_view(views.crawl_results(t)))
+
+
+def export_db_view_filtered(t: Tables) -> DataFrame:
+    """One kind of entry with a term, as JSON lines, read back."""
+    entries = filters.filter_db_view(unpivoted.db_view(views.crawl_results(t)), "keywords", "LICENSE")
+    return _db_view_file(t, "export_db_view_filtered", entries)
+
+
+def _db_view_file(t: Tables, name: str, entries: DataFrame) -> DataFrame:
+    path = _written(t, name, partial(sinks.export_db_view, entries))
     return _flat_entries(t.spark.read.schema(entries.drop("search_text").schema).json(path))
 
 
@@ -135,7 +173,7 @@ def fetched_pages(t: Tables) -> DataFrame:
 
 
 def html_content_filter(t: Tables) -> DataFrame:
-    return filters.html_content_filter(fetched_pages(t), max_bytes=4096).select(
+    return filters.html_content_filter(fetched_pages(t)).select(
         "page_id", "url", "content_type", "error",
         F.octet_length("body").alias("body_bytes"),
         (views.bucket(F.col("url")) % 5 != 4).alias("kept"))
@@ -169,6 +207,16 @@ def filter_results(t: Tables) -> DataFrame:
     return hit.select("url", "status_code", "error", stamp("processed_at"))
 
 
+# Fixed value: a host of the test pages.
+DOMAIN = "m.ththth.example.net"
+
+
+def filter_by_domain(t: Tables) -> DataFrame:
+    """What went well on one domain."""
+    hit = filters.filter_results(views.crawl_results(t), domain=DOMAIN, has_error=False)
+    return hit.select("url", "status_code", "title", stamp("processed_at"))
+
+
 def filter_by_content_type(t: Tables) -> DataFrame:
     return filters.filter_results(fetched_pages(t), content_type="TEXT/html").select(
         "page_id", "url", "content_type")
@@ -192,17 +240,22 @@ def search_db_view(t: Tables) -> DataFrame:
 
 
 def lookup_key(t: Tables) -> DataFrame:
-    """Keys of both tables for one hash bucket in four, and as many that are not stored."""
-    front, rows = views.frontier(t), views.visit_results(t).drop("event_id")
-    some = views.bucket(F.col("url")) % 4 == 0
-    keys = (front.filter(some).select(text.frontier_key(F.col("url")).alias("key"))
-            .unionByName(rows.filter(some).select(
-                text.store_key(F.col("url"), F.col("processed_at")).alias("key")))
-            .unionByName(front.filter(some).select(F.concat(F.lit("raw:"), F.col("url")).alias("key"))))
-    return filters.lookup_keys(front, rows, keys).select(
-        "key", "database", F.get_json_object("raw_value", "$.url").alias("url"),
-        F.get_json_object("raw_value", "$.depth").alias("depth"),
-        F.get_json_object("raw_value", "$.status_code").alias("status_code"))
+    """All keys of both tables, and as many that are not stored; the raw values are decoded field by field."""
+    front, rows = views.frontier(t), views.crawl_results(t)
+    keys = (front.select(text.frontier_key(F.col("url")).alias("key"))
+            .unionByName(rows.select(text.result_key().alias("key")))
+            .unionByName(front.select(F.concat(F.lit("raw:"), F.col("url")).alias("key"))))
+    options = {"timestampFormat": TIMESTAMP_FORMAT}
+    found = filters.lookup_keys(front, rows, keys).select(
+        "key", "database", F.from_json("raw_value", FRONTIER, options).alias("f"), F.from_json("raw_value", CRAWL_RESULT, options).alias("r"))
+    is_result = F.col("database") == "Results"
+    flat = flat_results(rows).columns
+    decoded = found.select("key", "database", "f", "r.*")
+    shown = {"emails": listed_sorted("emails"), "keywords": text.keyword_list_display(F.col("keywords")), "dead_links": listed("dead_links"),
+             "dead_domains": listed("dead_domains"), "new_urls": listed("new_urls"), "processed_at": stamp_of("processed_at")}
+    return decoded.select(
+        "key", "database", "url", F.col("f.depth").alias("depth"), stamp_of("f.timestamp").alias("timestamp"),
+        *[F.when(is_result, shown.get(c, F.col(c))).alias(c) for c in flat if c != "url"])
 
 
 def list_urls(t: Tables) -> DataFrame:
@@ -291,6 +344,13 @@ def extract_links(t: Tables) -> DataFrame:
                                       listed("links").alias("links"))
 
 
+def extract_links_parameters(t: Tables) -> DataFrame:
+    """Links with parameters behind every reference, some of them named like character references."""
+    spoiled = F.regexp_replace("html", '<a href="([^"]*)"', '<a href="$1?a=1&reg=eu&amp;copy=2&sect=3"')
+    found = t.pages.select("page_id", F.col("url").alias("source_url"), html.extract_links(spoiled, F.col("url")).alias("links"))
+    return found.select("page_id", "source_url", F.size("links").cast("bigint").alias("n"), listed("links").alias("links"))
+
+
 def extract_title(t: Tables) -> DataFrame:
     return t.pages.select("page_id", html.extract_title(F.col("html")).alias("title"))
 
@@ -374,9 +434,9 @@ def robots_crawl_delay(t: Tables) -> DataFrame:
 
 
 def crawl_depths(t: Tables) -> DataFrame:
-    seeds = t.pages.filter("page_id = 0").select(F.col("page_id").alias("url"))
-    return frontier.crawl_depths(seeds, views.link_graph(t), max_depth=5).select(
-        F.col("url").alias("page_id"), "depth")
+    """Depths from the first page over links and hosts, up to eight steps."""
+    seeds = t.pages.orderBy("page_id").limit(1).select("url")
+    return frontier.crawl_depths(seeds, views.link_graph(t), max_depth=8)
 
 
 # --- aggregations ------------------------------------------------------------------------------
@@ -394,7 +454,7 @@ def keyword_index(t: Tables) -> DataFrame:
 
 
 def deadlink_index(t: Tables) -> DataFrame:
-    return flat_sources(reports.deadlink_index(views.crawl_results(t), 30))
+    return flat_sources(reports.deadlink_index(views.crawl_results(t)))
 
 
 def analyze_totals(t: Tables) -> DataFrame:
@@ -492,12 +552,6 @@ def frontier_spill(t: Tables) -> DataFrame:
     return _flat_tasks(frontier.frontier_spill(views.frontier(t), 500))
 
 
-def frontier_refill(t: Tables) -> DataFrame:
-    taken, rest = frontier.frontier_refill(views.frontier(t), queue_size=400, capacity=500)
-    return _flat_tasks(taken).withColumn("place", F.lit("queue")).unionByName(
-        _flat_tasks(rest).withColumn("place", F.lit("store")))
-
-
 def top_domains(t: Tables) -> DataFrame:
     return reports.top_domains(views.crawl_results(t))
 
@@ -526,11 +580,6 @@ def dedup_urls(t: Tables) -> DataFrame:
     return dedup.distinct_urls(views.links(t), "link_url")
 
 
-def bloom_stats(t: Tables) -> DataFrame:
-    every = dedup.distinct_urls(views.links(t), "link_url").unionByName(t.pages.select("url"))
-    return bloom.bloom_stats(every)
-
-
 def union_results(t: Tables) -> DataFrame:
     rows = dedup.union_results(views.visit_results(t).drop("event_id"), views.dead_rows(t))
     return flat_results(rows)
@@ -545,30 +594,34 @@ def _finished(t: Tables, name: str, start: Callable[[str, str], StreamingQuery])
     return f"{folder}/out"
 
 
-def _visit_stream(t: Tables) -> DataFrame:
-    path = t.staged_path("visit_results", views.derive_visit_results)
-    schema = t.spark.read.parquet(path).schema
-    return jobs.read_stream(t.spark, path, schema)
+def _result_stream(t: Tables) -> DataFrame:
+    """Visits and dead-link rows as they arrive in their two folders."""
+    def arriving(name: str, build: Callable[[Tables], DataFrame]) -> DataFrame:
+        path = t.staged_path(name, build)
+        return jobs.read_stream(t.spark, path, t.spark.read.parquet(path).schema)
+
+    return arriving("visit_results", views.derive_visit_results).drop("event_id").unionByName(
+        arriving("dead_rows", views.derive_dead_rows))
 
 
 def stream_new_urls(t: Tables) -> DataFrame:
-    out = _finished(t, "stream_new_urls", partial(jobs.start_new_urls, _visit_stream(t)))
-    return t.spark.read.parquet(out)
+    out = _finished(t, "stream_new_urls", partial(jobs.start_new_urls, _result_stream(t)))
+    return t.spark.read.parquet(out).select("url")
 
 
 def stream_counters(t: Tables) -> DataFrame:
-    out = _finished(t, "stream_counters", partial(jobs.start_counters, _visit_stream(t)))
+    out = _finished(t, "stream_counters", partial(jobs.start_counters, _result_stream(t)))
     return jobs.latest(t.spark.read.parquet(out), [])
 
 
 def stream_timeline(t: Tables) -> DataFrame:
-    out = _finished(t, "stream_timeline", partial(jobs.start_timeline, _visit_stream(t), lateness="3650 days"))
+    out = _finished(t, "stream_timeline", partial(jobs.start_timeline, _result_stream(t), lateness="3650 days"))
     rows = jobs.latest(t.spark.read.parquet(out), ["window_start"])
     return rows.withColumn("window_start", stamp("window_start"))
 
 
 def stream_rate(t: Tables) -> DataFrame:
-    out = _finished(t, "stream_rate", partial(jobs.start_rate, _visit_stream(t), lateness="3650 days"))
+    out = _finished(t, "stream_rate", partial(jobs.start_rate, _result_stream(t), lateness="3650 days"))
     rows = jobs.latest(t.spark.read.parquet(out), ["window_start"])
     return rows.withColumn("window_start", stamp("window_start"))
 
@@ -588,19 +641,19 @@ def stream_dead_links(t: Tables) -> DataFrame:
     path = t.staged_path("link_probes", views.derive_link_probes)
     outcomes = jobs.read_stream(t.spark, path, LINK_PROBE)
     out = _finished(t, "stream_dead_links", partial(
-        jobs.start_dead_links, outcomes, views.sampled_links(t), views.host_probes(t),
-        F.lit(views.DEAD_ROW_TIME).cast("timestamp")))
-    return flat_results(t.spark.read.parquet(out))
+        jobs.start_dead_links, outcomes, views.judged_links(t), views.host_probes(t)))
+    return flat_results(jobs.current_dead_links(t.spark.read.parquet(out), F.lit(views.DEAD_ROW_TIME).cast("timestamp")))
 
 
 BATCH = {f.__name__: f for f in (
-    scan_results, scan_results_lenient, scan_frontier, append_jsonl, export_urls, export_results,
-    export_emails, export_keywords, export_findings_csv, export_db_view,
+    scan_results, scan_results_lenient, scan_results_rejects, scan_frontier, append_jsonl, append_jsonl_urls,
+    export_urls, export_results, export_emails, export_keywords, export_findings_csv, export_findings_csv_type,
+    export_db_view, export_db_view_filtered,
     html_content_filter, valid_urls, submit_urls, submit_summary, filter_results,
-    filter_by_content_type, search_results, search_db_view, lookup_key, list_urls, list_results,
+    filter_by_domain, filter_by_content_type, search_results, search_db_view, lookup_key, list_urls, list_results,
     hunt_mode, hunt_mode_email, hunt_mode_keywords, hunt_mode_domains, crawl_step, db_view,
     db_view_first, findings, findings_by_type,
-    extract_emails, count_keywords, extract_links, extract_title, resolve_url, url_host,
+    extract_emails, count_keywords, extract_links, extract_links_parameters, extract_title, resolve_url, url_host,
     report_domain, error_category, truncate_text, keyword_display, process_time_ms,
     new_urls, classify_links, dead_link_rows, domain_status, robots_rules, robots_allowed,
     robots_blocked_rows, robots_sitemaps, robots_crawl_delay, crawl_depths,
@@ -609,8 +662,8 @@ BATCH = {f.__name__: f for f in (
     timeline_span, domain_stats, db_view_stats, data_type_distribution, findings_timeline,
     metrics_summary, processing_rate, mode_counters,
     upsert_results, upsert_frontier, frontier_batch, frontier_batch_large, frontier_spill,
-    frontier_refill, top_domains, sample_links, rate_between_snapshots, first_n_sources,
-    distinct_links, dedup_urls, bloom_stats, union_results,
+    top_domains, sample_links, rate_between_snapshots, first_n_sources,
+    distinct_links, dedup_urls, union_results,
 )}
 
 STREAMS = {f.__name__: f for f in (

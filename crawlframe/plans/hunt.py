@@ -24,6 +24,7 @@ class Hunt:
     keywords: Sequence[str] = field(default_factory=tuple)
     domains: bool = False
     max_depth: int = 5
+    check_fraction: float = 1.0
 
     @property
     def mode(self) -> str:
@@ -51,8 +52,8 @@ def hunt_pages(pages: DataFrame, hunt: Hunt) -> DataFrame:
     """Findings per page (url, body, depth): only the columns the mode asks for are worked out.
 
     ``links_checked`` counts the links of pages whose links are checked, and
-    ``links_queued`` those sampled for probing. ``new_links`` is empty at the
-    depth limit.
+    ``links_queued`` those to be probed, all unless ``check_fraction`` says
+    otherwise. ``new_links`` is empty at the depth limit.
     """
     no_links = F.array().cast("array<string>")
     expandable = F.col("depth") < hunt.max_depth
@@ -61,7 +62,7 @@ def hunt_pages(pages: DataFrame, hunt: Hunt) -> DataFrame:
     located = pages.withColumn("_links", links if hunt.checks_dead_links
                                else F.when(expandable, links).otherwise(no_links))
     checked = F.size("_links") if hunt.checks_dead_links else F.lit(0)
-    queued = sample_size(F.size("_links"), 0.2) if hunt.checks_dead_links else F.lit(0)
+    queued = sample_size(F.size("_links"), hunt.check_fraction) if hunt.checks_dead_links else F.lit(0)
     emails = text.extract_emails(F.col("body")) if hunt.wants_emails else no_links
     keywords = (text.count_keywords(F.col("body"), hunt.keywords) if hunt.wants_keywords
                 else F.create_map().cast("map<string,int>"))
@@ -78,17 +79,17 @@ def crawl_step(fetched: DataFrame, robots: DataFrame, agent: str, hunt: Hunt) ->
 
     ``fetched``: url, depth, status_code, content_type, body, fetch_error,
     processed_at, process_time. Robots come first, then the fetch error, then
-    the content type; only what passes all three is read. ``new_urls`` holds
-    the page's valid links; which of them are new to the crawl is settled by
-    ``operators.links.new_urls`` over the whole table.
+    the content type. Bodies are read at the scan and go no further: the robots
+    verdict is joined to what was found, and takes it away from blocked pages.
+    ``new_urls`` holds the page's valid links; which of them are new to the
+    crawl is settled by ``operators.links.new_urls`` over the whole table.
     """
-    judged = robots_allowed(fetched, robots, agent)
-    filtered = html_content_filter(judged)
-    error = (F.when(~F.col("allowed"), BLOCKED).when(F.col("fetch_error") != "", F.col("fetch_error"))
-              .otherwise(F.col("error")))
+    filtered = html_content_filter(fetched)
+    error = F.when(F.col("fetch_error") != "", F.col("fetch_error")).otherwise(F.col("error"))
     settled = filtered.withColumn("error", error).withColumn(
         "body", F.when(F.col("error") == "", F.col("body")).otherwise(""))
-    found = hunt_pages(settled, hunt)
+    found = robots_allowed(hunt_pages(settled, hunt), robots, agent).withColumn(
+        "error", F.when(F.col("allowed"), F.col("error")).otherwise(BLOCKED))
     ok = F.col("error") == ""
     empty = {"title": F.lit(""), "emails": F.array().cast("array<string>"),
              "keywords": F.create_map().cast("map<string,int>"),

@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import error_category
 from ..functions.urls import report_domain
-from ..operators.index import (dead_mentions, email_mentions, index_of, keyword_mentions,
-                               source_lists)
+from ..operators.index import dead_mentions, email_mentions, index_of, keyword_mentions, source_rows
 from ..operators.robots import BLOCKED
 from .views import distinct_counts
 
@@ -52,16 +51,16 @@ def deadlink_index(results: DataFrame, limit: int | None = None) -> DataFrame:
         F.col("key").alias("dead_link"), "pages", "first_urls", "more")
 
 
-def export_emails(results: DataFrame, **options) -> DataFrame:
-    """email, part, parts, urls: every source URL of every address."""
-    return source_lists(email_mentions(results), **options).select(
-        F.col("key").alias("email"), "part", "parts", "urls")
+def export_emails(results: DataFrame) -> DataFrame:
+    """email, pages, store_key, url: every source of every address, with the number of results that have it."""
+    return source_rows(email_mentions(results)).select(
+        F.col("key").alias("email"), F.col("total").alias("pages"), "store_key", "url")
 
 
-def export_keywords(results: DataFrame, **options) -> DataFrame:
-    """keyword, part, parts, frequency, urls: total frequency and every source URL."""
-    return source_lists(keyword_mentions(results), **options).select(
-        F.col("key").alias("keyword"), "part", "parts", F.col("total").alias("frequency"), "urls")
+def export_keywords(results: DataFrame) -> DataFrame:
+    """keyword, frequency, store_key, url: every source of every keyword, with its total frequency."""
+    return source_rows(keyword_mentions(results)).select(
+        F.col("key").alias("keyword"), F.col("total").alias("frequency"), "store_key", "url")
 
 
 def analyze_totals(frontier: DataFrame, results: DataFrame) -> DataFrame:

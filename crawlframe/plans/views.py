@@ -6,14 +6,12 @@ from collections.abc import Collection
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import keyword_finding, process_time_ms, store_key
+from ..functions.text import keyword_finding, process_time_ms, result_key, store_key
 
-DEFAULT_LIMIT = 100
-
-
-def first_results(results: DataFrame, limit: int | None) -> DataFrame:
-    """The first results in store-key order; a limit that is not positive means the default."""
-    limit = limit if limit is not None and limit > 0 else DEFAULT_LIMIT
+def first_results(results: DataFrame, limit: int) -> DataFrame:
+    """The first results in store-key order."""
+    if limit < 1:
+        raise ValueError(f"a limit must be positive, not {limit}; leave it out for all results")
     key = store_key(F.col("url"), F.col("processed_at"))
     return results.withColumn("store_key", key).orderBy("store_key", "dead_links").limit(limit)
 
@@ -61,12 +59,12 @@ def findings_by_type(results: DataFrame, finding_type: str) -> DataFrame:
 def db_view(results: DataFrame, limit: int | None = None) -> DataFrame:
     """One entry per result and kind of finding, else one ``general`` entry.
 
-    Without a limit the id is the store key. With one, the limit applies to
+    Without a limit the id is the result key, which is unique. With one, the limit applies to
     results before they are unpivoted, and ids count them: ``result_1`` and on.
     ``search_text`` is the flattened data the search looks at.
     """
     if limit is None:
-        rows = results.withColumn("id", store_key(F.col("url"), F.col("processed_at")))
+        rows = results.withColumn("id", result_key())
     else:
         # At most ``limit`` rows reach this window.
         order = Window.orderBy("store_key", "dead_links")

@@ -138,18 +138,28 @@ def sampled_links(t: Tables) -> DataFrame:
     return sample_links(page_links(t))
 
 
+def judged_links(t: Tables) -> DataFrame:
+    """Every link of every page; none is left out of the dead-link check."""
+    return links(t).select("page_id", "source_url", "link_url")
+
+
 def verdicts(t: Tables) -> DataFrame:
-    return classify_links(sampled_links(t), host_probes(t), link_probes(t))
+    return classify_links(judged_links(t), host_probes(t), link_probes(t))
 
 
-def dead_rows(t: Tables) -> DataFrame:
-    """Result rows of the dead links and domains among the sampled links."""
+def derive_dead_rows(t: Tables) -> DataFrame:
+    """Result rows of the dead links and domains."""
     return dead_link_rows(verdicts(t), F.lit(DEAD_ROW_TIME).cast("timestamp"))
 
 
+def dead_rows(t: Tables) -> DataFrame:
+    return t.stage("dead_rows", derive_dead_rows)
+
+
 def crawl_results(t: Tables) -> DataFrame:
-    """All result rows: the visits, then the dead-link findings as rows of their own."""
-    return t.stage("crawl_results", lambda t: visit_results(t).drop("event_id").unionByName(dead_rows(t)))
+    """All result rows: the visits, then the dead-link findings as rows of their own. Both are stored once and read
+    together."""
+    return visit_results(t).drop("event_id").unionByName(dead_rows(t))
 
 
 def robots(t: Tables) -> DataFrame:
@@ -167,12 +177,15 @@ def robots(t: Tables) -> DataFrame:
 
 
 def link_graph(t: Tables) -> DataFrame:
-    """src, dst: two edges per page, to pages (2p+1) and (3p+2) modulo the page count."""
-    total = t.pages.agg(F.count(F.lit(1)).alias("_n"))
-    p = F.col("page_id")
-    return (t.pages.select("page_id").crossJoin(total)
-            .select(p.alias("src"), F.explode(F.array((2 * p + 1) % F.col("_n"),
-                                                      (3 * p + 2) % F.col("_n"))).alias("dst")))
+    """src, dst: a page leads to its links, a link to its host, a host to its pages."""
+    def hosted(column: str) -> Column:
+        return F.concat(F.lit("host:"), urls.url_host(F.col(column)))
+
+    found = links(t)
+    to_links = found.select(F.col("source_url").alias("src"), F.col("link_url").alias("dst"))
+    to_hosts = found.select(F.col("link_url").alias("src"), hosted("link_url").alias("dst"))
+    to_pages = t.pages.select(hosted("url").alias("src"), F.col("url").alias("dst"))
+    return to_links.unionByName(to_hosts).unionByName(to_pages).filter("src <> 'host:' AND dst <> 'host:'")
 
 
 def derive_frontier(t: Tables) -> DataFrame:

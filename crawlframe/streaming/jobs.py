@@ -73,16 +73,10 @@ def latest(written: DataFrame, keys: Sequence[str]) -> DataFrame:
     return first_per_key(written, keys, [F.col("batch").desc()]).drop("batch")
 
 
-def new_urls(results: DataFrame, delay: str | None = None) -> DataFrame:
-    """Each valid URL the first time it is linked.
-
-    Without a delay every URL is remembered for good. With one, state is
-    dropped after it, and a URL seen again later passes again.
-    """
+def new_urls(results: DataFrame, delay: str) -> DataFrame:
+    """Each valid URL the first time it is linked; after the delay it may pass again."""
     found = results.select(F.explode("new_urls").alias("url"), "processed_at") \
                    .filter(is_valid_url(F.col("url")))
-    if delay is None:
-        return found.select("url").dropDuplicates(["url"])
     return found.withWatermark("processed_at", delay).dropDuplicatesWithinWatermark(["url"])
 
 
@@ -107,7 +101,25 @@ def rate(results: DataFrame, seconds: int = 5, lateness: str = "1 hour") -> Data
 
 def start_new_urls(results: DataFrame, out: str, checkpoint: str, delay: str | None = None,
                    trigger: dict | None = None) -> StreamingQuery:
-    return append_files(new_urls(results, delay), out, checkpoint, trigger=trigger)
+    """Each valid URL once, in the batch that linked it first.
+
+    A batch's URLs are made distinct before they are shuffled, so a URL that
+    every page links goes through one row per task, and are compared with what
+    earlier batches wrote: the output is the memory. With a delay, state that
+    is dropped after it stands in for that memory.
+    """
+    if delay is not None:
+        return append_files(new_urls(results, delay), out, checkpoint, trigger=trigger)
+    found = results.select(F.explode("new_urls").alias("url")).filter(is_valid_url(F.col("url")))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fresh = batch.distinct()
+        if batch_id > 0:
+            known = batch.sparkSession.read.schema("url string, batch long").parquet(out).filter(F.col("batch") < batch_id)
+            fresh = fresh.join(known.select("url"), "url", "left_anti")
+        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return _writer(found, checkpoint, trigger).outputMode("append").foreachBatch(write).start()
 
 
 def start_counters(results: DataFrame, out: str, checkpoint: str,
@@ -134,20 +146,22 @@ def start_extract(pages: DataFrame, out: str, checkpoint: str, keywords: Sequenc
                         timestampFormat=TIMESTAMP_FORMAT)
 
 
-def start_dead_links(outcomes: DataFrame, links: DataFrame, host_probes: DataFrame, found_at: Column,
-                     out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Probe outcomes (link_url, http_status) as they arrive, turned into dead-link result rows.
+def start_dead_links(outcomes: DataFrame, links: DataFrame, host_probes: DataFrame, out: str, checkpoint: str,
+                     trigger: dict | None = None) -> StreamingQuery:
+    """Probe outcomes (link_url, http_status) as they arrive, turned into verdicts on the stored links.
 
     Of several outcomes for a link in one batch the last by ``probed_at``
-    counts, if there is such a column. Each batch meets the stored links (page_id, source_url, link_url) as a
-    batch job, with the same balanced joins.
+    counts, if there is such a column. Each batch meets the stored links
+    (page_id, source_url, link_url) as a batch job. Verdicts of links that are
+    alive are written too: see ``current_dead_links``.
     """
     def judge(batch: DataFrame) -> DataFrame:
-        last = ([F.col("probed_at").desc()] if "probed_at" in batch.columns else []) + [
-            F.col("http_status").desc_nulls_last()]
-        probed = first_per_key(batch, ["link_url"], last)
-        affected = balanced_lookup(links, probed.select("link_url"), "link_url", ["source_url"],
-                                   how="left_semi")
-        return dead_link_rows(classify_links(affected, host_probes, probed), found_at)
+        affected = balanced_lookup(links, batch.select("link_url").distinct(), "link_url", "left_semi")
+        return classify_links(affected, host_probes, batch)
 
     return write_batches(outcomes, out, checkpoint, "append", judge, trigger)
+
+
+def current_dead_links(written: DataFrame, found_at: Column) -> DataFrame:
+    """Dead-link result rows by the last verdict on each link of each page: a link that recovered is gone."""
+    return dead_link_rows(latest(written, ["source_url", "link_url"]), found_at)

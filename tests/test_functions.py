@@ -140,3 +140,12 @@ def test_long_markup_does_not_exhaust_the_stack(spark):
     page += "<title>" + "t" * 1000
     got = one(spark, html.extract_links(F.col("h"), F.col("b")), h=page, b="http://h.org/")
     assert got == ["http://h.org/end"]
+
+
+def test_references_in_attributes_and_text(spark):
+    page = """<a href="/p?a=1&reg=eu&copy=2&sect=3">1</a><a href="/q?x&amp;y&lt;z">2</a><a href="/r?a&copy">3</a>
+    <a href="/s?&ampb&#x41;&notit;">4</a><img src="/t?z=">"""
+    got = one(spark, html.raw_references(F.col("v")), v=page)
+    assert got == ["/p?a=1&reg=eu&copy=2&sect=3", "/q?x&y<z", "/r?a©", "/s?&ampbA&notit;", "/t?z="]
+    titles = ["<title>&ampb &copy2 &notin; &amp;amp; &zzz;</title>", "<title>a &amp; b</title>", "<title>plain</title>"]
+    assert many(spark, titles, html.extract_title) == ["&b ©2 ∉ &amp; &zzz;", "a & b", "plain"]

@@ -105,7 +105,14 @@ def test_extraction_and_dead_link_streams(spark, tmp_path):
     links = spark.createDataFrame([(1, "http://p.org/", f"http://{x}") for x in ("d.org/1", "d.org/2", "u.org/", "n.org/")],
                                   "page_id int, source_url string, link_url string")
     hosts = spark.createDataFrame([("d.org", 1), ("u.org", 0)], "host string, reachable int")
-    jobs.start_dead_links(jobs.read_stream(spark, str(tmp_path / "probes"), LINK_PROBE), links, hosts,
-                          F.lit(T0), str(tmp_path / "dead"), str(tmp_path / "c2")).awaitTermination()
-    dead = {r["dead_links"][0]: r["dead_domains"] for r in spark.read.parquet(str(tmp_path / "dead")).collect()}
-    assert dead == {"http://d.org/1": [], "http://u.org/": ["u.org"]}
+
+    def dead():
+        jobs.start_dead_links(jobs.read_stream(spark, str(tmp_path / "probes"), LINK_PROBE), links, hosts,
+                              str(tmp_path / "dead"), str(tmp_path / "c2")).awaitTermination()
+        rows = jobs.current_dead_links(spark.read.parquet(str(tmp_path / "dead")), F.lit(T0)).collect()
+        return {r["dead_links"][0]: r["dead_domains"] for r in rows}
+
+    assert dead() == {"http://d.org/1": [], "http://u.org/": ["u.org"]}
+    spark.createDataFrame([("http://d.org/1", 200), ("http://d.org/2", 410)], LINK_PROBE).write.mode("append").parquet(
+        str(tmp_path / "probes"))
+    assert dead() == {"http://d.org/2": [], "http://u.org/": ["u.org"]}  # one recovered, one died
