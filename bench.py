@@ -14,6 +14,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from crawlframe.operators.lineage import clear  # noqa: E402
 from crawlframe.plans import catalog  # noqa: E402
 from crawlframe.session import build_session  # noqa: E402
 from crawlframe.sources import views  # noqa: E402
@@ -67,6 +68,7 @@ def main() -> None:
         "queries": {k: round(v, 3) for k, v in seconds.items()},
         "sf": float(directory.rstrip("/").rsplit("sf", 1)[-1]) if "sf" in directory else None,
     }))
+    clear(spark)
     spark.stop()
 
 

@@ -22,6 +22,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def application_folder(spark: SparkSession) -> str:
+    """Where this application puts what it stores between jobs."""
+    return f"{shared_folder(spark)}/crawlframe/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application stored between jobs; results that were read from there are gone too."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(application_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and return it with a fresh plan."""
     context = df.sparkSession.sparkContext

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.lineage import shared_folder
+from ..operators.lineage import application_folder
 
 _lock = threading.RLock()  # one staged table may be built from another
 _staged: set[str] = set()
@@ -46,6 +46,5 @@ class Tables:
 
     def working_folder(self) -> str:
         """Folder for what this application derives from this directory."""
-        app = self.spark.sparkContext.applicationId
         source = hashlib.md5(self.directory.encode()).hexdigest()[:12]
-        return f"{shared_folder(self.spark)}/crawlframe/{app}/{source}"
+        return f"{application_folder(self.spark)}/{source}"

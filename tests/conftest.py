@@ -1,5 +1,6 @@
 import pytest
 
+from crawlframe.operators.lineage import clear
 from crawlframe.session import build_session
 
 
@@ -12,6 +13,7 @@ def spark():
     })
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear(session)
     session.stop()
 
 
