@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import exchange
 from .common import LAST_ID, in_blocks, stored, table
-from .substring_dedup import word_hashes
+from .substring_dedup import BYTE_ROOTS, word_hashes
 
 ORDER = 3
 BACKOFF = 0.4
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 #: Bits of an n-gram's hash beyond those of the corpus' size in bytes: about one n-gram in 2^22 shares its hash.
 SPARE_BITS = 20
 _STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -35,10 +35,11 @@ class Grams:
     """The n-grams of one order in a block: distinct hashes, their counts, and by position the place and own count."""
 
     def __init__(self, words: np.ndarray, row: np.ndarray, start: np.ndarray, order: int, bits: int):
-        self.at = np.flatnonzero(start >= order - 1)  # positions with enough words before them in their row
+        self.at = np.flatnonzero(start >= order - 1).astype(np.int32)  # positions with enough words before them in their row
         hashes = ngram_hashes(words, order, bits)[self.at]
-        by = np.argsort(hashes, kind="stable")  # equal hashes stay in the order of rows
+        by = np.argsort(hashes, kind="stable").astype(np.int32)  # equal hashes stay in the order of rows
         sorted_, rows = hashes[by], row[self.at][by]
+        del hashes
         new = np.ones(len(by), bool)
         new[1:] = sorted_[1:] != sorted_[:-1]
         run = new.copy()
@@ -47,16 +48,17 @@ class Grams:
         first = np.flatnonzero(new)
         self.counts = np.diff(np.append(first, len(by)))
         sizes = np.diff(np.append(np.flatnonzero(run), len(by)))
-        self.place, self.own = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+        self.place, self.own = np.empty(len(by), np.int32), np.empty(len(by), np.int32)
         self.place[by] = np.cumsum(new) - 1
         self.own[by] = np.repeat(sizes, sizes)
 
 
 def _positions(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of a block, and of each word its row and place in the row; words of each row."""
-    words, _, sizes = word_hashes(pdf["text"].tolist())
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    return words, row, np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes), sizes
+    (words,), sizes = word_hashes(pdf["text"].tolist(), BYTE_ROOTS[:1])
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    start = np.arange(len(words), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+    return words, row, start, sizes
 
 
 def _narrow(counts: np.ndarray) -> bytes:
@@ -127,6 +129,7 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_
             for owner, a, b in exchange.slices(grams.distinct, span):
                 hashes = exchange.golomb_encode(grams.distinct[a:b] - np.uint64(owner * span))
                 out.append((block, owner, n, _packed(hashes, grams.counts[a:b])))
+            del grams
         return exchange.as_frame(out)
 
     def add_up(pdf: pd.DataFrame, joined: pd.DataFrame) -> pd.DataFrame:
@@ -153,6 +156,7 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_
                 logs[at] = np.log(others[at]) - np.log(contexts[at - 1])
                 alone[at] = False
             contexts = others
+            del grams, corpus
         return pd.DataFrame({"key": pdf["key"].to_numpy(), "n_words": sizes, "log_counts": np.bincount(row, logs, len(sizes)),
                              "alone": np.bincount(row, alone, len(sizes)).astype(np.int64)})[columns]
 

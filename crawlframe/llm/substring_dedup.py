@@ -15,7 +15,7 @@ BLOCK_BYTES = 8 << 20
 CELLS_PER_BYTE = 2.5
 #: The two multipliers of a window's 128-bit digest, odd and else arbitrary.
 _ROOTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-_BYTE_ROOTS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+BYTE_ROOTS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Bytes of text hashed at a time.
 CHUNK = 1 << 20
 _SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
@@ -29,14 +29,14 @@ def _powers(root: int, size: int) -> tuple[np.ndarray, np.ndarray]:
                  for r in (root, pow(root, -1, 1 << 64)))
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two 64-bit hashes of every word of all texts, end to end, and the number of words of each text.
+def word_hashes(texts: list[bytes], roots: tuple[int, ...] = BYTE_ROOTS) -> tuple[list[np.ndarray], np.ndarray]:
+    """A 64-bit hash for each root of every word of all texts, end to end, and the number of words of each text.
 
     Hashes are polynomials over a word's bytes, from prefix sums over some texts at a time, then mixed.
     """
     parts, sizes, at = [], [], 0
     longest = max([CHUNK, *map(len, texts)]) + 2
-    powers = [_powers(root, longest) for root in _BYTE_ROOTS]
+    powers = [_powers(root, longest) for root in roots]
     while at < len(texts):
         upto, size = at, 0
         while upto < len(texts) and (upto == at or size + len(texts[upto]) < CHUNK):
@@ -48,18 +48,18 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
         limits = np.cumsum([0] + [len(t) + 1 for t in texts[at:upto]])
         sizes.append(np.diff(np.searchsorted(starts - 1, limits)))
-        values, pair = buffer.astype(np.uint64) + np.uint64(1), []
+        values, found = buffer.astype(np.uint64) + np.uint64(1), []
         for up, down in powers:
             sums = np.cumsum(values * up[:len(buffer)], dtype=np.uint64)
             word = (sums[ends - 1] - sums[starts - 1]) * down[starts]
             word ^= word >> np.uint64(29)
             word *= np.uint64(0xBF58476D1CE4E5B9)
-            pair.append(word ^ (word >> np.uint64(32)))
-        parts.append(pair)
+            found.append(word ^ (word >> np.uint64(32)))
+        parts.append(found)
         at = upto
     if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate(sizes)
+        return [np.zeros(0, np.uint64) for _ in roots], np.zeros(0, np.int64)
+    return [np.concatenate(own) for own in zip(*parts)], np.concatenate(sizes)
 
 
 def window_digests(hashes: np.ndarray, window: int, root: int) -> np.ndarray:
@@ -77,7 +77,7 @@ class Block:
 
     def __init__(self, pdf: pd.DataFrame, window: int):
         self.rows = pdf.sort_values("key", kind="stable").reset_index(drop=True)
-        one, two, self.sizes = word_hashes(self.rows["text"].tolist())
+        (one, two), self.sizes = word_hashes(self.rows["text"].tolist())
         ends = np.cumsum(self.sizes)
         at = np.arange(max(0, len(one) - window + 1))
         at = at[np.repeat(ends, self.sizes)[:len(at)] - at >= window]  # windows lie in one row
