@@ -13,6 +13,8 @@ from .common import fresh, table, text_of
 ENTROPY_SHARE, MOST_PASSES = 0.95, 4.0
 #: Documents in one stretch of a source's permutation, on average.
 STRETCH = 4_000
+#: Rows of the plan, one per source, that are broadcast at most; a longer plan is joined by a shuffle.
+BROADCAST_SOURCES = 50_000
 #: Tokens in one block of the mix.
 BLOCK_TOKENS = 1_000_000
 
@@ -93,7 +95,8 @@ def mixture(docs: DataFrame, budget_share: float = 1.0, entropy_share: float = E
     """
     place = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     own_id, source, text = (F.col(place[c]) for c in ("doc_id", "source", "text"))
-    counted = docs.toDF(*place.values()).withColumn("tokens", token_count(text_of(text)))
+    counted = docs.toDF(*place.values()).withColumns(
+        {"tokens": token_count(text_of(text)), "hash": F.xxhash64(own_id, text_of(text))})
     facts = {r["source"]: (r["tokens"], r["rows"]) for r in counted.groupBy(source.cast("string").alias("source"))
              .agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")).collect()}
     total = sum(t for t, _ in facts.values())
@@ -102,23 +105,24 @@ def mixture(docs: DataFrame, budget_share: float = 1.0, entropy_share: float = E
     exponent = temperature(shares, entropy_share, most_passes, budget_share)
     weights = mix_of(shares, exponent) if names else []
     blocks = max(1, round(budget_share * total / block_tokens))
-    plan = [(s, float(w * budget_share * total), math.ceil(w * budget_share * total / facts[s][0] - 1e-9),
-             max(1, math.ceil(facts[s][1] / STRETCH))) for s, w in zip(names, weights)]
-    plan = docs.sparkSession.createDataFrame(plan, "name string, budget double, passes int, stretches int")
-    drawn = (counted.join(plan, source.cast("string").eqNullSafe(F.col("name")))
+    plan = [(i, s, float(w * budget_share * total), math.ceil(w * budget_share * total / facts[s][0] - 1e-9),
+             max(1, math.ceil(facts[s][1] / STRETCH))) for i, (s, w) in enumerate(zip(names, weights))]
+    few = len(plan) <= BROADCAST_SOURCES
+    plan = docs.sparkSession.createDataFrame(plan, "number int, name string, budget double, passes int, stretches int")
+    drawn = (counted.join(F.broadcast(plan) if few else plan, source.cast("string").eqNullSafe(F.col("name")))
              .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
-             .withColumn("order", F.xxhash64(F.lit(seed), "epoch", own_id, text_of(text)))
+             .withColumn("order", F.xxhash64(F.lit(seed), "epoch", "hash"))
              # 31 bits of the hash give the stretch, in the order of the hash
              .withColumn("stretch", F.floor(F.shiftrightunsigned(F.col("order").bitwiseXOR(F.lit(-1 << 63)), 33)
                                             * F.col("stretches") / F.lit(float(1 << 31))).cast("int")))
-    sums = drawn.groupBy("name", "epoch", "stretch").agg(F.sum("tokens").alias("sum"))
-    before = Window.partitionBy("name").orderBy("epoch", "stretch").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("name").alias("n"), F.col("epoch").alias("e"), F.col("stretch").alias("s"),
-                          F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset"))
-    near = Window.partitionBy("name", "epoch", "stretch").orderBy("order", own_id).rowsBetween(Window.unboundedPreceding, -1)
-    placed = (drawn.withColumn("near", F.coalesce(F.sum("tokens").over(near), F.lit(0)))
-              .join(offsets, F.col("name").eqNullSafe(F.col("n")) & (F.col("epoch") == F.col("e")) & (F.col("stretch") == F.col("s")))
-              .withColumn("at", F.col("offset") + F.col("near")).where(F.col("at") < F.col("budget")))
+    cut = ["number", "epoch", "stretch"]
+    before = Window.partitionBy("number").orderBy("epoch", "stretch").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (drawn.groupBy(cut).agg(F.sum("tokens").alias("sum"))
+               .select(*cut, F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("offset")))
+    near = Window.partitionBy(cut).orderBy("order", own_id).rowsBetween(Window.unboundedPreceding, -1)
+    # join and window share one exchange of the rows
+    placed = (drawn.join(offsets, cut).withColumn("at", F.col("offset") + F.coalesce(F.sum("tokens").over(near), F.lit(0)))
+              .where(F.col("at") < F.col("budget")))
     added = fresh(docs, "n_tokens", "epoch", "block", "slot")
     return placed.select(
         *[F.col(place[c]).alias(c) for c in docs.columns], F.col("tokens").alias(added[0]), F.col("epoch").alias(added[1]),
