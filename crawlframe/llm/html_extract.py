@@ -251,9 +251,16 @@ def main_texts(model: TreeModel, pages: list[str]) -> list[tuple[str, int, int]]
 
 
 def fitted(pages: DataFrame, most: int = TRAIN_PAGES) -> TreeModel:
-    """A model fitted on at most ``most`` pages of at most TRAIN_CHARS characters, in the order of a hash of the page."""
-    some = (pages.select(F.col("html").cast("string").alias("html")).where(F.length("html").between(1, TRAIN_CHARS))
-            .where(F.lower("html").rlike("<(article|main)[ >]")).orderBy(F.xxhash64("html"), "html").limit(most).collect())
+    """A model fitted on at most ``most`` pages of at most TRAIN_CHARS characters, by a hash of the page.
+
+    Only as large a share of the hash values is looked at as holds four times ``most`` pages, so that tasks together
+    send a bounded number of pages, however many there are.
+    """
+    share = min(1.0, 4.0 * most / max(1, pages.count()))
+    some = (pages.select(F.col("html").cast("string").alias("html"))
+            .where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+            .where(F.length("html").between(1, TRAIN_CHARS) & F.lower("html").rlike("<(article|main)[ >]"))
+            .orderBy(F.xxhash64("html"), "html").limit(most).collect())
     return fit(*labelled_pages([r["html"] for r in some]))
 
 
