@@ -61,6 +61,12 @@ def scan_results(t: Tables) -> DataFrame:
     return flat_results(store.scan_results(views.crawl_results(t)))
 
 
+def scan_results_first(t: Tables) -> DataFrame:
+    """The first fifty in key order, from JSON lines that are read strictly."""
+    path = _written(t, "scan_results_first", partial(sinks.append_jsonl, views.crawl_results(t)))
+    return flat_results(store.scan_results(store.read_results(t.spark, path), limit=50))
+
+
 def _damaged_lines(t: Tables) -> DataFrame:
     """The visits as JSON lines, every line of one hash bucket cut short."""
     rows = views.visit_results(t)
@@ -581,7 +587,7 @@ def dedup_urls(t: Tables) -> DataFrame:
 
 
 def union_results(t: Tables) -> DataFrame:
-    rows = dedup.union_results(views.visit_results(t).drop("event_id"), views.dead_rows(t))
+    rows = dedup.union_results(views.visit_results(t).drop("event_id", "links_checked"), views.dead_rows(t))
     return flat_results(rows)
 
 
@@ -601,7 +607,7 @@ def _result_stream(t: Tables) -> DataFrame:
         return jobs.read_stream(t.spark, path, t.spark.read.parquet(path).schema)
 
     return arriving("visit_results", views.derive_visit_results).drop("event_id").unionByName(
-        arriving("dead_rows", views.derive_dead_rows))
+        arriving("dead_rows", views.derive_dead_rows), allowMissingColumns=True)
 
 
 def stream_new_urls(t: Tables) -> DataFrame:
@@ -666,7 +672,7 @@ def stream_dead_links(t: Tables) -> DataFrame:
 
 
 BATCH = {f.__name__: f for f in (
-    scan_results, scan_results_lenient, scan_results_rejects, scan_frontier, append_jsonl, append_jsonl_urls,
+    scan_results, scan_results_first, scan_results_lenient, scan_results_rejects, scan_frontier, append_jsonl, append_jsonl_urls,
     export_urls, export_results, export_emails, export_keywords, export_findings_csv, export_findings_csv_type,
     export_db_view, export_db_view_filtered,
     html_content_filter, valid_urls, submit_urls, submit_summary, filter_results,

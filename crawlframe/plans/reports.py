@@ -157,9 +157,10 @@ def metrics_summary(results: DataFrame, links_checked: Column | None = None) ->
     """
     occurrences = F.aggregate(F.map_values("keywords"), F.lit(0).cast("bigint"), lambda a, n: a + n)
     is_page = (F.size("dead_links") == 0) & (F.size("dead_domains") == 0)
-    links = F.size("new_urls") if links_checked is None else links_checked
+    if links_checked is None:  # the stored number, where the hunt kept it
+        links_checked = F.col("links_checked") if "links_checked" in results.columns else F.size("new_urls")
     rows = results.select(is_page.alias("page"), F.size("emails").alias("e"), occurrences.alias("k"),
-                          F.when(is_page, links).otherwise(0).alias("l"),
+                          F.when(is_page, links_checked).otherwise(0).alias("l"),
                           F.size("dead_links").alias("dl"), F.size("dead_domains").alias("dd"), "error")
     totals = rows.agg(
         F.count_if("page").alias("urls_processed"), _total(F.col("e")).alias("emails_found"),

@@ -20,7 +20,7 @@ def read_table(spark: SparkSession, path: str, schema: StructType, fmt: str = "j
 def scan_results(results: DataFrame, limit: int | None = None) -> DataFrame:
     """Results with their store key, in key order if a limit has to pick the first ones."""
     keyed = results.withColumn("store_key", store_key(F.col("url"), F.col("processed_at")))
-    return keyed if limit is None else keyed.orderBy("store_key").limit(limit)
+    return keyed if limit is None else keyed.orderBy("store_key", "dead_links").limit(limit)
 
 
 def scan_frontier(frontier: DataFrame, limit: int | None = None) -> DataFrame:

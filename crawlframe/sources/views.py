@@ -19,6 +19,7 @@ from .tables import Tables
 
 KEYWORDS = ("the", "und", "que", "license", "password")
 BOT = "crawlframe-bot"
+MAX_DEPTH = 5
 # Dead links are found by a later pass; the derived rows all carry this time.
 DEAD_ROW_TIME = "2024-02-01 00:00:00"
 
@@ -90,7 +91,7 @@ def links(t: Tables) -> DataFrame:
 
 
 def derive_visit_results(t: Tables) -> DataFrame:
-    """Result rows of the visits, with ``event_id`` as write order.
+    """Result rows of the visits, with ``event_id`` as write order and the number of links checked.
 
     Titles, links, e-mails and keywords are worked out once per page and
     document and then joined to the visits; no text is shuffled.
@@ -102,14 +103,18 @@ def derive_visit_results(t: Tables) -> DataFrame:
         empty = (F.create_map() if name == "keywords" else F.array()).cast(types[name])
         return F.when(found, F.col(name)).otherwise(empty).alias(name)
 
-    new_urls = page_links(t).select("page_id", F.col("links").alias("new_urls"))
+    # a page at the depth limit passes no links on, but they are checked
+    expandable = bucket(F.col("source_url")) % 7 < MAX_DEPTH
+    new_urls = page_links(t).select("page_id", F.size("links").cast("bigint").alias("_links"), F.when(
+        expandable, F.col("links")).otherwise(F.array().cast("array<string>")).alias("new_urls"))
     rows = page_visits(t).join(new_urls, "page_id")
     rows = _numbered(rows, t.documents, "doc_id").join(document_findings(t), "doc_id")
     none = F.array().cast("array<string>")
     return rows.select(
         "event_id", "url", "status_code", "title", finding("emails"), finding("keywords"),
         none.alias("dead_links"), none.alias("dead_domains"), finding("new_urls"),
-        "processed_at", "process_time", "error")
+        "processed_at", "process_time", "error",
+        F.when(found, F.col("_links")).otherwise(0).alias("links_checked"))
 
 
 def visit_results(t: Tables) -> DataFrame:
@@ -159,7 +164,7 @@ def dead_rows(t: Tables) -> DataFrame:
 def crawl_results(t: Tables) -> DataFrame:
     """All result rows: the visits, then the dead-link findings as rows of their own. Both are stored once and read
     together."""
-    return visit_results(t).drop("event_id").unionByName(dead_rows(t))
+    return visit_results(t).drop("event_id").unionByName(dead_rows(t), allowMissingColumns=True)
 
 
 def robots(t: Tables) -> DataFrame:
