@@ -102,7 +102,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     tops = (prints.join(suspicious, "fp", "left_semi").groupBy("fp", "sha")
             .agg(F.max(F.struct("doc_id", "row")).alias("top"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
             .join(verified.select("fp", "sha"), ["fp", "sha"]))
-    joined = prints.join(tops, ["fp", "sha"], "left")
+    # stored, so that both sides of the join are plain exchanges and a hot text's rows can be split over tasks
+    joined = prints.join(stored(tops, "tops"), ["fp", "sha"], "left")
     alone = F.col("top").isNull()
     return joined.select(
         "doc_id", "row", "fp", F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"),
