@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators.lineage import shared_folder
+from ..operators.lineage import application_folder
 
 #: A NULL id is handled as the largest one.
 LAST_ID = (1 << 63) - 1
@@ -32,7 +32,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The stored rows, row ids included, stay the same whatever executor is lost later.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/corpus/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = f"{application_folder(spark)}/corpus/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
