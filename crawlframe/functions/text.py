@@ -8,7 +8,8 @@ from pyspark.sql import Column, functions as F
 
 from .binding import let
 
-# The e-mail pattern and the error labels every report uses.
+# The e-mail pattern and the error labels every report uses. The pattern's dot stands in brackets, not
+# behind a backslash, so that the text is the same in both SQL dialects.
 EMAIL_PATTERN = "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+[.][a-zA-Z]{2,}"
 ERROR_CATEGORIES = (
     ("Timeout", ("timeout",)),
