@@ -38,16 +38,38 @@ def priority_cutoff(frontier: DataFrame, k: int) -> DataFrame:
         F.col("slot").alias("cutoff"))
 
 
+def _first_by_url(tied: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` rows by URL: whole ranges of URLs, and of the range where ``k`` falls the rows up to it.
+
+    The ranges are fixed by a checkpoint; one count per range comes to the driver.
+    """
+    dealt = cut(tied.repartitionByRange(F.col("url")).withColumn("_range", F.spark_partition_id()))
+    last, divided, left = -1, -1, k
+    for row in dealt.groupBy("_range").count().orderBy("_range").collect():
+        if row["count"] > left:
+            divided = row["_range"]
+            break
+        last, left = row["_range"], left - row["count"]
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy("url"))
+    part = dealt.filter(F.col("_range") == divided).withColumn("_rank", rank).filter(F.col("_rank") <= left).drop("_rank")
+    return dealt.filter(F.col("_range") <= last).unionByName(part).drop("_range")
+
+
 def frontier_batch(frontier: DataFrame, k: int) -> DataFrame:
     """The best ``k`` rows by priority, ties by URL.
 
-    A top-k alone would hand k rows of every task to one task. The cutoff is
-    worked out first, so that only the k rows and those tied with the last one
-    are left to be ordered.
+    A top-k alone would hand k rows of every task to one task. The priority of
+    the k-th row is worked out from counts first: rows before it are taken
+    whole, and of those tied with it the first by URL. The result is sorted
+    over several tasks.
     """
     ranked = frontier.withColumn("priority", priority(F.col("depth"), F.col("timestamp")))
-    cutoff = priority_cutoff(frontier, k).scalar()
-    return ranked.filter(cutoff.isNull() | (F.col("priority") <= cutoff)).orderBy("priority", "url").limit(k)
+    cutoff = priority_cutoff(frontier, k).first()["cutoff"]
+    if cutoff is None:
+        return ranked.orderBy("priority", "url")
+    sooner = ranked.filter(F.col("priority") < cutoff)
+    tied = _first_by_url(ranked.filter(F.col("priority") == cutoff), k - sooner.count())
+    return sooner.unionByName(tied).orderBy("priority", "url")
 
 
 def frontier_spill(frontier: DataFrame, capacity: int) -> DataFrame:
