@@ -117,3 +117,10 @@ def test_backoff_scores(spark, odd_dir, order, block):
         expected.append((i, len(w), round(score, 3)))
     found = lm_score.scored(docs, order, block_bytes=block).collect()
     assert Counter((r["doc_id"], r["n_words"], round(r["log_score"], 3)) for r in found) == Counter(expected)
+
+
+def test_counts_travel_whole():
+    import numpy as np
+
+    for counts in ([], [1, 2, 3], [255, 254, 256, 10**12, 0], [300] * 7):
+        assert lm_score._wide(lm_score._narrow(np.array(counts, np.int64))).tolist() == counts
