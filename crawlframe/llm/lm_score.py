@@ -62,13 +62,18 @@ def _positions(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 
 def _narrow(counts: np.ndarray) -> bytes:
-    """Whole numbers in as few bytes each as the largest needs, with that width first."""
-    width = next(w for w in (1, 2, 4, 8) if int(counts.max(initial=0)) < 1 << (8 * w))
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+    """Whole numbers as one byte each; places and values of those from 255 on come first, with their number."""
+    large = np.flatnonzero(counts >= 255)
+    return b"".join((len(large).to_bytes(8, "little"), large.astype("<i8").tobytes(), counts[large].astype("<i8").tobytes(),
+                     np.minimum(counts, 255).astype(np.uint8).tobytes()))
 
 
 def _wide(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, f"<u{data[0]}", -1, 1).astype(np.int64)
+    n = int.from_bytes(data[:8], "little")
+    places, values = np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<i8", n, 8 + 8 * n)
+    out = np.frombuffer(data, np.uint8, -1, 8 + 16 * n).astype(np.int64)
+    out[places] = values
+    return out
 
 
 def _packed(hashes: bytes, counts: np.ndarray) -> bytes:
