@@ -67,9 +67,12 @@ def frontier_batch(frontier: DataFrame, k: int) -> DataFrame:
     cutoff = priority_cutoff(frontier, k).first()["cutoff"]
     if cutoff is None:
         return ranked.orderBy("priority", "url")
-    sooner = ranked.filter(F.col("priority") < cutoff)
-    tied = _first_by_url(ranked.filter(F.col("priority") == cutoff), k - sooner.count())
-    return sooner.unionByName(tied).orderBy("priority", "url")
+    upto = ranked.filter(F.col("priority") <= cutoff)
+    before, tied = upto.agg(F.count_if(F.col("priority") < cutoff), F.count_if(F.col("priority") == cutoff)).first()
+    if before + tied > k:  # not all of the tied rows belong to the batch
+        upto = upto.filter(F.col("priority") < cutoff).unionByName(
+            _first_by_url(upto.filter(F.col("priority") == cutoff), k - before))
+    return upto.orderBy("priority", "url")
 
 
 def frontier_spill(frontier: DataFrame, capacity: int) -> DataFrame:
