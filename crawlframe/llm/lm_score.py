@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -15,36 +16,63 @@ from .substring_dedup import BYTE_ROOTS, word_hashes
 ORDER = 3
 BACKOFF = 0.4
 BLOCK_BYTES = 8 << 20
-#: Bits of an n-gram's hash beyond those of the corpus' size in bytes: about one n-gram in 2^22 shares its hash.
-SPARE_BITS = 20
+#: Bits of an n-gram's hash beyond twice those of the corpus' size in bytes. Some N = size / 3 n-grams make N^2 / 2 pairs, so
+#: that two of them anywhere share a hash in one corpus of 20,000, whatever its size.
+SPARE_BITS = 10
 _STEPS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def ngram_hashes(words: np.ndarray, order: int, bits: int) -> np.ndarray:
-    """Hash of the n-gram that ends at each word; the first ``order`` - 1 values are of no use."""
+def ngram_hashes(words: np.ndarray, order: int) -> np.ndarray:
+    """64-bit hash of the n-gram that ends at each word; the first ``order`` - 1 values are of no use."""
     value = words.copy()
     for back in range(1, order):
         value[back:] = value[back:] * np.uint64(_STEPS[0]) + words[:-back] * np.uint64(pow(_STEPS[1], back, 1 << 64))
     value ^= value >> np.uint64(31)
     value *= np.uint64(0xD6E8FEB86659FD93)
-    value ^= value >> np.uint64(32)
-    return value >> np.uint64(64 - bits)
+    return value ^ (value >> np.uint64(32))
+
+
+def extra_bytes(total: int) -> int:
+    """Bytes of an n-gram's second hash that go beside the first for a corpus of ``total`` bytes."""
+    return min(8, max(0, math.ceil((2 * math.log2(max(total, 2)) + SPARE_BITS - 64) / 8)))
+
+
+def in_order(hashes: np.ndarray, seconds: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order by both hashes, and in that order whether an n-gram differs from the one before it."""
+    def differs(by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new, first = np.ones(len(by), bool), hashes[by]
+        new[1:] = first[1:] != first[:-1]
+        if seconds is None:
+            return new, np.zeros(0, bool)
+        second = seconds[by]
+        return new, ~new[1:] & (second[1:] != second[:-1])
+
+    by = np.argsort(hashes, kind="stable").astype(np.int32)
+    new, shared = differs(by)
+    if shared.any():  # different n-grams share the first hash
+        by = np.lexsort((seconds, hashes)).astype(np.int32)
+        new, shared = differs(by)
+        new[1:] |= shared
+    return by, new
 
 
 class Grams:
-    """The n-grams of one order in a block: distinct hashes, their counts, and by position the place and own count."""
+    """The n-grams of one order in a block: distinct hashes in order, their counts, and by position the place and own count.
+
+    ``words`` has the words' hashes, and a second one where ``extra`` bytes of the n-grams' second hash are used.
+    """
 
-    def __init__(self, words: np.ndarray, row: np.ndarray, start: np.ndarray, order: int, bits: int):
+    def __init__(self, words: list[np.ndarray], row: np.ndarray, start: np.ndarray, order: int, extra: int):
         self.at = np.flatnonzero(start >= order - 1).astype(np.int32)  # positions with enough words before them in their row
-        hashes = ngram_hashes(words, order, bits)[self.at]
-        by = np.argsort(hashes, kind="stable").astype(np.int32)  # equal hashes stay in the order of rows
-        sorted_, rows = hashes[by], row[self.at][by]
-        del hashes
-        new = np.ones(len(by), bool)
-        new[1:] = sorted_[1:] != sorted_[:-1]
+        hashes = ngram_hashes(words[0], order)[self.at]
+        seconds = ngram_hashes(words[1], order)[self.at] >> np.uint64(64 - 8 * extra) if extra else None
+        by, new = in_order(hashes, seconds)  # equal n-grams stay in the order of rows
+        rows = row[self.at][by]
+        self.distinct = hashes[by[new]]
+        self.seconds = seconds[by[new]] if extra else None
+        del hashes, seconds
         run = new.copy()
         run[1:] |= rows[1:] != rows[:-1]
-        self.distinct = sorted_[new]
         first = np.flatnonzero(new)
         self.counts = np.diff(np.append(first, len(by)))
         sizes = np.diff(np.append(np.flatnonzero(run), len(by)))
@@ -53,22 +81,24 @@ class Grams:
         self.own[by] = np.repeat(sizes, sizes)
 
 
-def _positions(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _positions(pdf: pd.DataFrame, extra: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of a block, and of each word its row and place in the row; words of each row."""
-    (words,), sizes = word_hashes(pdf["text"].tolist(), BYTE_ROOTS[:1])
+    words, sizes = word_hashes(pdf["text"].tolist(), BYTE_ROOTS[:2 if extra else 1])
     row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    start = np.arange(len(words), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
+    start = np.arange(len(row), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
     return words, row, start, sizes
 
 
 def _narrow(counts: np.ndarray) -> bytes:
-    """Whole numbers as one byte each; places and values of those from 255 on come first, with their number."""
+    """Whole numbers as one byte each, compressed, since most are one; places and values of those from 255 on come first,
+    with their number."""
     large = np.flatnonzero(counts >= 255)
-    return b"".join((len(large).to_bytes(8, "little"), large.astype("<i8").tobytes(), counts[large].astype("<i8").tobytes(),
-                     np.minimum(counts, 255).astype(np.uint8).tobytes()))
+    return zlib.compress(b"".join((len(large).to_bytes(8, "little"), large.astype("<i8").tobytes(), counts[large].astype("<i8").tobytes(),
+                     np.minimum(counts, 255).astype(np.uint8).tobytes())), 1)
 
 
 def _wide(data: bytes) -> np.ndarray:
+    data = zlib.decompress(data)
     n = int.from_bytes(data[:8], "little")
     places, values = np.frombuffer(data, "<i8", n, 8), np.frombuffer(data, "<i8", n, 8 + 8 * n)
     out = np.frombuffer(data, np.uint8, -1, 8 + 16 * n).astype(np.int64)
@@ -76,8 +106,31 @@ def _wide(data: bytes) -> np.ndarray:
     return out
 
 
-def _packed(hashes: bytes, counts: np.ndarray) -> bytes:
-    return len(hashes).to_bytes(8, "little") + hashes + _narrow(counts)
+def _packed(hashes: np.ndarray, seconds: np.ndarray | None, counts: np.ndarray, extra: int) -> bytes:
+    """Layout: size of the coded hashes (8 bytes), bytes of a second hash (1), coded hashes, second hashes, counts."""
+    coded = exchange.golomb_encode(hashes)
+    beside = seconds.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :extra].tobytes() if extra else b""
+    return b"".join((len(coded).to_bytes(8, "little"), bytes([extra]), coded, beside, _narrow(counts)))
+
+
+def _unpacked(payload: bytes) -> tuple[np.ndarray, np.ndarray | None, np.ndarray]:
+    at, extra = 9 + int.from_bytes(payload[:8], "little"), payload[8]
+    hashes, seconds = exchange.golomb_decode(payload[9:at]), None
+    if extra:
+        wide = np.zeros((len(hashes), 8), np.uint8)
+        wide[:, :extra] = np.frombuffer(payload, np.uint8, len(hashes) * extra, at).reshape(-1, extra)
+        seconds = wide.view("<u8")[:, 0]
+    return hashes, seconds, _wide(payload[at + len(hashes) * extra:])
+
+
+def others_of(grams: Grams, corpus: np.ndarray, contexts: np.ndarray | None, size: int) -> np.ndarray:
+    """By position, the count of its n-gram in the other rows. It is never above that of the context, which is true of
+    counts and stays true where hashes meet."""
+    out = np.zeros(size, np.int64)
+    out[grams.at] = corpus[grams.place] - grams.own
+    if contexts is not None:
+        out[grams.at] = np.minimum(out[grams.at], contexts[grams.at - 1])
+    return out
 
 
 def count_and_join(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -85,15 +138,9 @@ def count_and_join(pdf: pd.DataFrame) -> pd.DataFrame:
     n-grams, in the order sent."""
     rows = []
     for kind, group in pdf.groupby("kind", sort=True):
-        hashes, counts = [], []
-        for payload in group["payload"]:
-            size = int.from_bytes(payload[:8], "little")
-            hashes.append(exchange.golomb_decode(payload[8:8 + size]))
-            counts.append(_wide(payload[8 + size:]))
+        hashes, seconds, counts = zip(*map(_unpacked, group["payload"]))
         every, own = np.concatenate(hashes), np.concatenate(counts)
-        by = np.argsort(every)
-        new = np.ones(len(by), bool)
-        new[1:] = every[by][1:] != every[by][:-1]
+        by, new = in_order(every, None if seconds[0] is None else np.concatenate(seconds))
         place = np.empty(len(by), np.int64)
         place[by] = np.cumsum(new) - 1
         table_ = np.bincount(place, own).astype(np.int64)
@@ -115,7 +162,8 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_
     Blocks of documents explode their texts into n-grams and count them, before anything is shuffled; the count tables
     are partitioned by ranges of the n-grams' hashes, where blocks' counts are summed and joined back to each block's
     n-grams, and a block sums the scores per document. An n-gram in a third of all texts comes once per block. What is
-    exchanged grows with the text.
+    exchanged grows with the text. Hashes have 64 bits, and as many bytes more as the size of the corpus asks for
+    (``extra_bytes``); an n-gram never counts as seen more often than its context.
 
     Words are runs without white space, unchanged. NULL and empty texts have no words and log_score 0. A NULL doc_id
     stays NULL. Repeated rows are scored one by one, each against the other. An empty table gives no rows. Other
@@ -123,17 +171,17 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_
     """
     rows, blocks = in_blocks(docs, block_bytes=block_bytes)
     total = blocks * block_bytes
-    bits = min(64, math.ceil(math.log2(total)) + SPARE_BITS)
-    span = exchange.owner_span(bits, total // 3)
+    extra = extra_bytes(total)
+    span = exchange.owner_span(64, total // 3)
 
     def explode(pdf: pd.DataFrame) -> pd.DataFrame:
         block, out = int(pdf["block"].iloc[0]), []
-        words, row, start, _ = _positions(pdf)
+        words, row, start, _ = _positions(pdf, extra)
         for n in range(1, order + 1):
-            grams = Grams(words, row, start, n, bits)
+            grams = Grams(words, row, start, n, extra)
             for owner, a, b in exchange.slices(grams.distinct, span):
-                hashes = exchange.golomb_encode(grams.distinct[a:b] - np.uint64(owner * span))
-                out.append((block, owner, n, _packed(hashes, grams.counts[a:b])))
+                hashes, seconds = grams.distinct[a:b] - np.uint64(owner * span), grams.seconds[a:b] if extra else None
+                out.append((block, owner, n, _packed(hashes, seconds, grams.counts[a:b], extra)))
             del grams
         return exchange.as_frame(out)
 
@@ -141,16 +189,15 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_
         columns = ["key", "n_words", "log_counts", "alone"]
         if pdf.empty:
             return pd.DataFrame([], columns=columns)
-        words, row, start, sizes = _positions(pdf)
-        logs, alone, contexts = np.zeros(len(words)), np.ones(len(words), bool), None
+        words, row, start, sizes = _positions(pdf, extra)
+        logs, alone, contexts = np.zeros(len(row)), np.ones(len(row), bool), None
         for n in range(1, order + 1):
-            grams = Grams(words, row, start, n, bits)
+            grams = Grams(words, row, start, n, extra)
             own = dict(zip(joined.loc[joined["kind"] == n, "owner"], joined.loc[joined["kind"] == n, "payload"]))
             corpus = np.zeros(len(grams.distinct), np.int64)
             for owner, a, b in exchange.slices(grams.distinct, span):
                 corpus[a:b] = _wide(own[owner])
-            others = np.zeros(len(words), np.int64)
-            others[grams.at] = corpus[grams.place] - grams.own
+            others = others_of(grams, corpus, contexts, len(row))
             if n == 1:
                 logs = np.log(np.maximum(others, 1)) + np.where(others > 0, 0.0, math.log(backoff))
             else:

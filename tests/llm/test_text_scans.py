@@ -124,3 +124,31 @@ def test_counts_travel_whole():
 
     for counts in ([], [1, 2, 3], [255, 254, 256, 10**12, 0], [300] * 7):
         assert lm_score._wide(lm_score._narrow(np.array(counts, np.int64))).tolist() == counts
+
+
+def test_ngrams_that_share_a_hash_are_told_apart():
+    import numpy as np
+    import pandas as pd
+
+    first, second = np.array([9, 4, 4, 9, 4], np.uint64), np.array([1, 7, 2, 1, 7], np.uint64)
+    by, new = lm_score.in_order(first, second)
+    assert by.tolist() == [2, 1, 4, 0, 3] and new.tolist() == [True, True, False, True, False]
+    send = lambda a, b, c: lm_score._packed(np.array(a, np.uint64), np.array(b, np.uint64), np.array(c), 2)
+    sent = pd.DataFrame([(0, 0, 3, send([4, 4, 9], [2, 700, 1], [1, 2, 3])), (1, 0, 3, send([4, 9], [700, 5], [10, 20]))],
+                        columns=["block", "owner", "kind", "payload"])
+    assert [lm_score._wide(p).tolist() for p in lm_score.count_and_join(sent)["payload"]] == [[1, 12, 3], [12, 20]]
+
+
+@pytest.mark.parametrize("power", [20, 29, 35, 45])
+def test_hashes_are_wide_enough_for_any_corpus(power):
+    ngrams, bits = 2**power / 3, 64 + 8 * lm_score.extra_bytes(2**power)
+    assert ngrams**2 / 2 / 2**bits < 1e-4
+
+
+def test_ngram_of_an_unseen_context_is_unseen():
+    import numpy as np
+
+    row, start = np.zeros(4, np.int32), np.arange(4, dtype=np.int32)
+    grams = lm_score.Grams([np.array([5, 6, 7, 8], np.uint64)], row, start, 2, 0)
+    stranger = np.full(len(grams.distinct), 8)  # as if each hash were shared with an n-gram of count 7
+    assert lm_score.others_of(grams, stranger, np.array([0, 3, 50, 0]), 4).tolist() == [0, 0, 3, 7]
