@@ -7,10 +7,15 @@ import re
 from dataclasses import dataclass, field
 
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rb rp rt ruby s samp "
-                   "small span strike strong sub sup time tt u var wbr".split())
+                   "small span strike strong sub sup time tt u var wbr "
+                   "math merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub "
+                   "msubsup msup mtable mtd mtext mtr munder munderover semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is never text of the page.
-SILENT = frozenset("script style noscript template iframe object svg math canvas audio video select button textarea title".split())
+#: Elements whose content is never text of the page. Of the first, nothing but the own end tag is markup, and without one
+#: they run to the end of the page; those of the third nest.
+RAW = frozenset("script style iframe textarea title".split())
+SILENT = RAW | frozenset("noscript template object svg canvas audio video select button annotation annotation-xml".split())
+NESTING = frozenset("template object svg".split())
 CLOSES_P = frozenset("address article aside blockquote details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                      "header hr main menu nav ol p pre section table ul".split())
 #: A start tag ends an open element of these names, unless one of the second lies between.
@@ -19,7 +24,9 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _HINT = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in SILENT}
+_CLOSING = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in RAW}
+#: Where a silent element without an end tag ends: at the next tag of a block.
+_BLOCK = re.compile(rf"</?(?:{'|'.join(sorted(CLOSES_P | set(ENDS) | {'body', 'html', 'tbody', 'tfoot', 'thead'}))})(?=[\s/>])", re.I)
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
@@ -41,12 +48,37 @@ def name_parts(attributes: str) -> frozenset[str]:
     return frozenset(parts)
 
 
+def silent_ends(page: str, at: int) -> dict[int, int]:
+    """From the end of each silent element's start tag from ``at`` on, the place behind its own end tag, where it has one."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {name: [] for name in SILENT - RAW}
+    while token := _TOKEN.search(page, at):
+        at, name = token.end(), (token[2] or token[5] or "").lower()
+        if name not in SILENT:
+            continue
+        closing, empty = token[1] or token[4], (token[3] or token[6] or "").endswith("/")
+        if name in RAW:
+            if not closing and not (empty and opened["svg"]):
+                end = _CLOSING[name].search(page, at)
+                at = end.end() if end else len(page)
+        elif closing:
+            if opened[name]:
+                ends[opened[name].pop()] = at
+        elif not (empty and name == "svg"):
+            if name not in NESTING:
+                opened[name].clear()
+            opened[name].append(at)
+    return ends
+
+
 def parse(page: str) -> Tree:
     """The tree of a page. Comments, silent elements and markup give no text; character references are decoded and
-    white space is one space inside a block. Unclosed and stray tags are taken as browsers would in the plain cases."""
+    white space is one space inside a block. Unclosed and stray tags are taken as browsers would in the plain cases; a
+    silent element without an end tag, other than the raw ones, ends at the next tag of a block."""
     tree, stack = Tree(), [(0, "#root")]  # stack: (node, tag); inline elements share their block's node
     pieces: list[str] = []
     linked, depth_of_links = 0, 0
+    ends_of: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal linked
@@ -92,8 +124,19 @@ def parse(page: str) -> Tree:
             continue
         if name in SILENT:
             pieces.append(" ")
-            end = _CLOSING[name].search(page, at)
-            at = end.end() if end else len(page)
+            if name == "svg" and attributes.endswith("/"):
+                continue
+            if name in RAW:
+                end = _CLOSING[name].search(page, at)
+                at = end.end() if end else len(page)
+                continue
+            if ends_of is None:
+                ends_of = silent_ends(page, at - len(token[0]))
+            if at in ends_of:
+                at = ends_of[at]
+            else:
+                end = _BLOCK.search(page, at)
+                at = end.start() if end else len(page)
             continue
         if name in VOID:
             if name == "hr":
@@ -102,6 +145,8 @@ def parse(page: str) -> Tree:
                 pieces.append(" ")
             continue
         if name in INLINE:
+            if name in ("mtd", "mtr"):
+                pieces.append(" ")
             if name == "a":
                 if depth_of_links:  # links do not nest
                     for depth in range(len(stack) - 1, 0, -1):
@@ -128,7 +173,6 @@ def parse(page: str) -> Tree:
         tree.tags.append(name)
         tree.names.append(name_parts(attributes) if attributes else frozenset())
         tree.parents.append(stack[-1][0])
-        if not (attributes.endswith("/") and name in ("svg", "math")):
-            stack.append((len(tree.tags) - 1, name))
+        stack.append((len(tree.tags) - 1, name))
     flush()
     return tree

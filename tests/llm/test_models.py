@@ -145,3 +145,29 @@ def test_messages_give_exact_marginals():
     assert np.allclose(belief[:n, 1], brute_marginals(model, tree)) and np.allclose(belief[:n], belief[n:])
     child = [i for i, p in enumerate(tree.parents) if p >= 0]
     assert np.allclose(joint[child].sum(1), belief[child])
+
+
+@pytest.mark.parametrize("page,text", [
+    ('<p>One <svg class="icon"/> two</p><p>three</p><p><svg><title/><path d="x"/></svg>four', "One two|three|four"),
+    ('<p>a<svg><svg></svg>no</svg>b</p><svg/><p>c', "a b|c"),
+    ("<div><button>Share<p>One</p><p>two <button>no</button> three</p></div><p>four", "One|two three|four"),
+    ("<div><select><option>no<option>no<p>One</p></div><select><option>no</select><p>two", "One|two"),
+    ("<article><video src=x><p>One</p><canvas><h2>two</h2><audio><ul><li>three</ul><object><p>four</article>", "One|two|three|four"),
+    ("<p>One</p><object>no<object>no</object>no</object><p>two<!-- <button> --> <button>no<!-- </button> -->no</button> three", "One|two three"),
+    ("<p>As <math><mi>x</mi><mo>=</mo><mn>2</mn><mspace/></math> holds, <math/> too</p><p>next", "As x=2 holds, too|next"),
+    ("<p>A <math><semantics><mi>y</mi><annotation>no</annotation></semantics></math> b</p>", "A y b"),
+    ("<p>One<script>'</p><p>no'</script> two<style>no", "One two"),
+    ("<noscript><p>no</noscript><p>One<template><p>no</p></template><p>two", "One|two"),
+    ("<p>One<svg><path><p>two</p><textarea>no <p>no</textarea>three", "One|two|three"),
+])
+def test_silent_elements_end_where_they_should(page, text):
+    assert [t for _, t, _ in parse(page).blocks] == text.split("|")
+
+
+def test_icons_buttons_and_formulas_lose_no_article_text(spark, sf_dir):
+    model = html_extract.fitted(table(spark, sf_dir, "pages"))
+    page = PAGE.replace("First paragraph", '<svg class="icon"/>First paragraph').replace("<p>Short.</p>", "<button>Share<p>Short.</p>")
+    plain, marked = (text for text, _, _ in html_extract.main_texts(model, [PAGE, page]))
+    assert marked == plain and "Short." in plain
+    formula = html_extract.main_texts(model, [PAGE.replace("a second sentence", "<math><mi>a</mi></math> second sentence")])[0][0]
+    assert formula == plain
