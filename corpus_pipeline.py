@@ -21,7 +21,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by SimHash the one with the smallest doc_id stays."""
+    """Of documents linked by SimHash the one with the smallest doc_id stays, one of each component."""
     bounded_batches(spark)
     return simhash.without_near_duplicates(docs)
 

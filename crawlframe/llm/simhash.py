@@ -8,7 +8,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import LAST_ID, all_columns, fold_table, fresh, stored, table, text_of, words
 from .components import components
@@ -43,13 +43,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint of each row."""
+def fingerprint_of(column: str) -> Column:
+    """Fingerprint of a text column, its 64 bits as a long."""
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(bytes(t)) for t in texts], np.uint64).view(np.int64))
 
-    return docs.select("doc_id", of(text_of("text").cast("binary")).alias("fp"))
+    return of(text_of(column).cast("binary"))
+
+
+def with_fingerprints(docs: DataFrame) -> DataFrame:
+    """doc_id and fingerprint of each row."""
+    return docs.select("doc_id", fingerprint_of("text").alias("fp"))
 
 
 def segment_counts(halves: np.ndarray) -> np.ndarray:
@@ -164,7 +169,8 @@ def links(prints: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp (64 bits as a long) and component_id.
+    """One row per row of ``docs``: doc_id, fp (64 bits as a long), component_id and root, a fingerprint that names the
+    component even where ids are missing or repeated.
 
     The fingerprint is over lower-cased (A-Z) three-word shingles; fingerprints at most three bits apart are linked,
     and component_id is the smallest doc_id reachable. Equal fingerprints meet as one before cells are formed. Each
@@ -180,26 +186,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = components(links(nodes.select("fp")), "near")
     placed = nodes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = placed.join(named, "root").select("fp", F.nullif("component_id", F.lit(LAST_ID)).alias("component_id"))
-    return prints.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = placed.join(named, "root").select("fp", F.nullif("component_id", F.lit(LAST_ID)).alias("component_id"), "root")
+    return prints.join(labels, "fp").select("doc_id", "fp", "component_id", "root")
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with the row of the smallest doc_id of each component; all columns stay.
+    """``docs`` with one row of each component, that of the smallest doc_id, NULL counting as the largest; all columns stay.
 
-    Where several rows have that doc_id, any one of them stays.
+    Where several rows of a component have that doc_id, the one of the smallest fingerprint stays, then that of the
+    smallest hash of its text. Rows that share a doc_id, or have none, go only as members of a component.
     """
     found = stored(near_duplicates(docs), "simhash-found")
-    sizes = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
-    grouped = found.join(sizes.withColumnRenamed("component_id", "c"), F.col("component_id").eqNullSafe(F.col("c")), "left_semi")
+    sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+    grouped = found.join(sizes, "root", "left_semi")
     key = lambda c: F.xxhash64(F.col(c).cast("long"))  # noqa: E731  a hash, so that the filter's cells are even
     passes = membership_filter(grouped.select(key("doc_id").alias("fp")).distinct())
-    suspect, own_id = fresh(docs, "__suspect", "__id")
+    suspect, own_id, own_fp, row = fresh(docs, "__suspect", "__id", "__own_fp", "__row")
+    id_of = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+    chosen = (found.groupBy("root").agg(F.min(F.struct(id_of.alias("i"), "fp")).alias("first"))
+              .select(F.col("first.i").alias(own_id), F.col("first.fp").alias(own_fp)))
     marked = docs.withColumn(suspect, passes(key("doc_id")))
-    chosen = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(own_id)).distinct()
-    kept = (marked.where(suspect).join(chosen, F.col("doc_id").eqNullSafe(F.col(own_id)), "left_semi")
-            .dropDuplicates(["doc_id"]))
-    return marked.where(~F.col(suspect)).unionByName(kept).select(all_columns(docs))
+    # one row of each id and fingerprint before the join, so that rows without an id do not meet in one task
+    single = (marked.where(suspect).select(id_of.alias(own_id), fingerprint_of("text").alias(own_fp),
+                                           F.xxhash64(text_of("text")).alias(suspect), F.struct(*all_columns(docs)).alias(row))
+              .groupBy(own_id, own_fp).agg(F.min_by(row, suspect).alias(row)))
+    kept = single.join(chosen, [own_id, own_fp], "left_semi").select(f"{row}.*")
+    return marked.where(~F.col(suspect)).select(all_columns(docs)).unionByName(kept)
 
 
 def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

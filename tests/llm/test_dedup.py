@@ -163,6 +163,20 @@ def test_simhash_filter_keeps_the_smallest_id(spark, odd_dir):
     assert all(c in kept.columns for c in CLASHING)
 
 
+def test_simhash_filter_keeps_one_row_of_each_component(spark):
+    long = " ".join(f"v{i * 13 % 71}" for i in range(400))
+    rows = [(None, "no id one and more words"), (None, "no id two is another text"), (None, "no id one and more words"), (None, None),
+            (None, ""), (7, "seven is here once"), (7, "seven is there with another text"), (7, "seven is here once"),
+            (3, long), (3, "three has a text that stands alone"), (9, long), (9, "nine again in words of its own"), (None, long), (11, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    roots, best = brute_components([brute_fingerprint(t or "") for _, t in rows]), {}
+    for root, (i, t) in zip(roots, rows):
+        best[root] = min(best.get(root, (LAST_ID, "~")), (LAST_ID if i is None else i, t or ""))
+    kept = simhash.without_near_duplicates(docs).collect()
+    assert Counter((LAST_ID if r["doc_id"] is None else r["doc_id"], r["text"] or "") for r in kept) == Counter(best.values())
+    assert len(kept) == 9
+
+
 def test_components_of_paths_stars_and_nothing(spark):
     edges = [(i + 1, i) for i in range(40)] + [(200 + i, 100) for i in range(50)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
