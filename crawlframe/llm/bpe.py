@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
@@ -10,22 +11,23 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import public_tokenizers
-import regex
 import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import fresh, table, text_of
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Pieces a task remembers with their ids, none of them longer than so many characters.
-CACHE_PIECES, CACHE_LENGTH = 500_000, 50
+#: Pieces in either generation of those a worker remembers with their ids, none of them longer than so many characters.
+CACHE_PIECES, CACHE_LENGTH = 400_000, 50
 #: Texts beyond so many characters are split into pieces a part at a time; so many pieces are looked up at once.
 LONG_TEXT, PIECES_AT_ONCE = 1 << 20, 100_000
 #: Bits of a word of the rank queue.
 WORD = 256
 _BITS = [1 << i for i in range(WORD)]
-#: Stands for a character that only this machine's tables call a letter or number: it is neither, nor white space.
-_NEITHER = "\ue000"
+#: Classes a pattern may name, and the last code point of the two bytes that most texts keep to.
+_CLASSES, _TWO_BYTES = (r"\p{L}", r"\p{N}", r"\s"), 0xFFFF
+#: Up to so many bytes lists, which are quicker, hold the linked list; beyond, arrays, which are smaller.
+LISTED = 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -70,17 +72,22 @@ class RankQueue:
 class Encoder:
     """Ids of pieces of text, four bytes each, by merging the pair of the lowest rank, the leftmost one of these.
 
-    Short pieces are remembered with their ids, until there are too many and it starts anew.
+    Short pieces are remembered with their ids, in two generations: when the younger one is full it becomes the older
+    one, whose pieces are forgotten unless they were met again.
     """
 
-    def __init__(self, ranks: dict[bytes, int], odd: frozenset[str] = frozenset(), pattern: str = public_tokenizers.PATTERN):
+    def __init__(self, ranks: dict[bytes, int], patterns: tuple[str, str]):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks {len(missing)} of the 256 bytes")
         self.ranks, self.longest, self.size = ranks, max(map(len, ranks)), max(ranks.values()) + 1
-        self.pattern = regex.compile(pattern)
-        self.odd, self.shadow = odd, {ord(c): _NEITHER for c in odd}
+        self.patterns = patterns
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.first = np.full(1 << 16, -1, np.int32)  # ranks of pairs of bytes
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.first[token[0] << 8 | token[1]] = rank
 
     def merged(self, pieces: list[bytes]) -> list[list[int]]:
         """Ids of each piece. Tokens are a linked list of their first bytes' positions; a pair's rank is that of its bytes.
@@ -93,21 +100,24 @@ class Encoder:
         rank_of, longest, queue = self.ranks.get, self.longest, RankQueue(self.size)
         buckets, add, take = queue.buckets, queue.add, queue.take
         data = b" ".join(pieces) + b" "
-        after, before = array("q", range(1, len(data) + 1)), array("q", range(-1, len(data)))
-        current = array("i", [-1]) * len(data)  # rank of the pair that starts here, -1 for none
-        start = 0
-        for piece in pieces:
-            before[start] = -1
-            for i in range(start, start + len(piece) - 1):
-                rank = rank_of(data[i:i + 2])
-                if rank is not None:
-                    current[i] = rank
-                    if rank in buckets:
-                        buckets[rank].append(i)
-                    else:
-                        add(rank, [i])
-            start += len(piece) + 1
-            after[start - 1] = start + longest  # so far that nothing from before it is a token
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)) + 1)
+        octets = np.frombuffer(data, np.uint8).astype(np.int64)
+        ranks = np.append(self.first[octets[:-1] << 8 | octets[1:]], np.int32(-1))  # of the pair that starts here, -1 for none
+        ranks[ends - 1] = -1
+        ranks[ends[ends > 1] - 2] = -1
+        after, before = np.arange(1, len(data) + 1), np.arange(-1, len(data))
+        after[ends - 1] = ends + longest  # so far that nothing from before it is a token
+        before[np.append(0, ends[:-1])] = -1
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks[order], 0):]
+        found, cuts = np.unique(ranks[order], return_index=True)
+        for rank, positions in zip(found.tolist(), np.split(order, cuts[1:])):
+            add(rank, positions.tolist())
+        del octets, order
+        if len(data) <= LISTED:
+            after, before, current = after.tolist(), before.tolist(), ranks.tolist()
+        else:
+            after, before, current = array("q", after.tobytes()), array("q", before.tobytes()), array("i", ranks.tobytes())
         while (entry := take()) is not None:
             rank, bucket = entry
             bucket.sort(reverse=True)
@@ -143,11 +153,11 @@ class Encoder:
                             lowest = found
             if bucket:
                 add(rank, bucket)
-        out, ranks, start = [], self.ranks, 0
+        out, tokens, start = [], self.ranks, 0
         for piece in pieces:
             ids, i, end = [], start, start + len(piece)
             while i < end:
-                ids.append(ranks[data[i:after[i]]])
+                ids.append(tokens[data[i:after[i]]])
                 i = after[i]
             out.append(ids)
             start = end + 1
@@ -166,21 +176,14 @@ class Encoder:
             known[piece] = np.array(ids, "<u4").tobytes() if len(ids) > 50 else b"".join([i.to_bytes(4, "little") for i in ids])
 
     def pieces(self, text: str) -> Iterator[list[str]]:
-        """The text's matches of the pattern, in lists of bounded length; together they are the text."""
-        plain = text.isascii() or self.odd.isdisjoint(text)
-        seen = text if plain else text.translate(self.shadow)
+        """The text's matches of the pattern, in lists of bounded length."""
+        narrow = text.isascii() or len(text.encode("utf-16-le")) == 2 * len(text)
+        pattern = re.compile(self.patterns[0 if narrow else 1])
         if len(text) <= LONG_TEXT:
-            lists: Iterable[list[str]] = [self.pattern.findall(seen)]
+            yield pattern.findall(text)
         else:
-            found = (m.group() for m in self.pattern.finditer(seen))
-            lists = iter(lambda: list(islice(found, PIECES_AT_ONCE)), [])
-        at = 0
-        for some in lists:
-            if not plain:  # the same cuts in the text itself
-                cuts = np.cumsum([at, *map(len, some)]).tolist()
-                some = [text[a:b] for a, b in zip(cuts, cuts[1:])]
-                at = cuts[-1]
-            yield some
+            found = (m.group() for m in pattern.finditer(text))
+            yield from iter(lambda: list(islice(found, PIECES_AT_ONCE)), [])
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
@@ -189,13 +192,18 @@ class Encoder:
         size = 0
 
         def look_up() -> None:
-            self.learn(set().union(*(some for _, some in held)).difference(self.known))
+            unknown = set().union(*(some for _, some in held)).difference(self.known)
+            met = unknown & self.older.keys()
+            self.known.update((piece, self.older[piece]) for piece in met)
+            unknown -= met
+            self.learn(unknown)
             for parts, some in held:
                 parts.append(b"".join(map(self.known.__getitem__, some)))
+            for piece in unknown:
+                if len(piece) > CACHE_LENGTH:
+                    self.known.pop(piece, None)
             if len(self.known) > CACHE_PIECES:
-                self.known.clear()
-            for piece in {p for _, some in held for p in some if len(p) > CACHE_LENGTH}:
-                self.known.pop(piece, None)
+                self.known, self.older = {}, self.known
             held.clear()
 
         for text in texts:
@@ -210,30 +218,54 @@ class Encoder:
         return [b"".join(parts) for parts in out]
 
 
-def odd_characters() -> frozenset[str]:
-    """Characters that ``regex`` takes for letters or numbers and the library's own pattern engine does not.
+def _ranges(points: list[int]) -> str:
+    """Ascending code points as the inside of a character class."""
+    values = np.array(points, np.int64)
+    starts = np.flatnonzero(np.diff(values, prepend=-2) > 1)
+    stops = np.append(starts[1:], len(values)) - 1
+    return "".join(rf"\U{a:08x}-\U{b:08x}" for a, b in zip(values[starts].tolist(), values[stops].tolist()))
+
 
-    The two know different versions of the character tables. One encoding per class over all characters tells which
-    ones the engine matches; white space is the same in both.
+def spelled_out(pattern: str) -> tuple[str, str]:
+    """The pattern with its classes as ranges of code points: over two-byte characters alone, and over all.
+
+    Engines know different versions of the character tables. What is a letter, a number or white space is asked of the
+    engine of the library whose results are wanted: one encoding per class, over all characters, keeps those that match.
     """
     every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
     single = {bytes([b]): b for b in range(256)}
-    odd: set[str] = set()
-    for kind in (r"\p{L}", r"\p{N}"):
+    points = {}
+    for kind in _CLASSES:
         engine = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks=single, special_tokens={})
-        odd ^= set(bytes(engine.encode_ordinary(every)).decode()) ^ set(regex.findall(kind, every))
-    return frozenset(odd)
+        points[kind] = list(map(ord, bytes(engine.encode_ordinary(every)).decode()))
+    out = []
+    for top in (_TWO_BYTES, 0x10FFFF):
+        text, inside = "", False
+        for part in re.findall(r"\\p\{\w\}|\\.|.", pattern, re.S):
+            inside = part == "[" or inside and part != "]"
+            kind = part.replace(r"\S", r"\s")
+            if kind in points:
+                ranges = _ranges([c for c in points[kind] if c <= top])
+                if kind != part and inside:
+                    raise ValueError("a negated class inside a class")
+                text += ranges if inside else f"[{'^' if kind != part else ''}{ranges}]"
+            else:
+                text += part
+        out.append(text)
+    return out[0], out[1]
 
 
 def encoder_of(spark: SparkSession, vocabulary: str):
-    """A function for tasks that gives each Python worker one ``Encoder``. The file, of bounded size, is read here."""
-    shared = spark.sparkContext.broadcast((read_ranks(vocabulary), odd_characters()))
-    made: list[Encoder] = []
+    """A function for tasks that gives each Python worker one ``Encoder``. The file, of bounded size, is read here.
+
+    A worker keeps what was broadcast from task to task, and with it the encoder and the pieces it knows.
+    """
+    shared = spark.sparkContext.broadcast({"parts": (read_ranks(vocabulary), spelled_out(public_tokenizers.PATTERN))})
 
     def get() -> Encoder:
-        if not made:
-            made.append(Encoder(*shared.value))
-        return made[0]
+        if "encoder" not in shared.value:
+            shared.value["encoder"] = Encoder(*shared.value["parts"])
+        return shared.value["encoder"]
 
     return get
 
