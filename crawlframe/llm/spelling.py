@@ -209,9 +209,10 @@ def near_words(words: DataFrame, count: int) -> DataFrame:
 
     placed = words.select("word", "n").mapInPandas(place, "cell string, role int, word string, n long")
     home = F.col("role") == 0
-    sizes = (placed.groupBy("cell").agg(F.count_if(home).alias("own"), F.count_if(~home).alias("guests")).where(F.col("own") > 0)
-             .select("cell", F.ceil(F.col("own") / OWN_BLOCK).cast("int").alias("own_blocks"),
-                     F.ceil(F.col("guests") / GUEST_BLOCK).cast("int").alias("guest_blocks")))
+    # stored, so that both sides of the join are plain exchanges and a large cell's rows can be split over tasks
+    sizes = stored(placed.groupBy("cell").agg(F.count_if(home).alias("own"), F.count_if(~home).alias("guests")).where(F.col("own") > 0)
+                   .select("cell", F.ceil(F.col("own") / OWN_BLOCK).cast("int").alias("own_blocks"),
+                           F.ceil(F.col("guests") / GUEST_BLOCK).cast("int").alias("guest_blocks")), "spelling-cells")
 
     def block(blocks: str) -> Column:
         return F.pmod(F.xxhash64("word"), F.col(blocks)).cast("int")
