@@ -38,6 +38,9 @@ def odd_dir(tmp_path_factory):
     write(folder, "labels", {"doc_id": pa.array([1, 2, 6, 10, 13, 14, None, 99, 1], pa.int64()),
                              "quality": pa.array([1, 1, 0, 1, 0, None, 1, 0, 1], pa.int64()),
                              "toxic": pa.array([0, 0, 1, 0, 1, None, 1, 0, 0], pa.int64())})
+    vectors = [[0.5, 0.25, -1.0], [0.5, 0.25, -1.0], None, [], [1.0, None, 2.0], [1.0, float("nan"), 2.0], [2.0, 1.0, 0.5], [0.0, -3.0, 0.25]]
+    write(folder, "embeddings", {"vec_id": pa.array([1, 1, 2, 3, 4, 5, None, -7], pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())),
+                                 "component": list(range(8)), "v": list(range(8)), "whitened": list(range(8))})
     pages = [(1, "http://a/", None), (2, None, ""), (None, "http://b/", "<p>unclosed"), (4, "u", "<article><h1>A &amp; b</h1><p>C\n d.</article>"),
              (4, "u", "<article><h1>A &amp; b</h1><p>C\n d.</article>"), (5, "u", "<div>" * 3000 + "deep"), (6, "u", "<article><p>" + "long words here. " * 40_000 + "</article>")]
     write(folder, "pages", {"page_id": pa.array([p[0] for p in pages], pa.int64()), "url": pa.array([p[1] for p in pages]),
@@ -48,7 +51,7 @@ def odd_dir(tmp_path_factory):
 @pytest.fixture(scope="session")
 def empty_dir(tmp_path_factory, odd_dir):
     folder = tmp_path_factory.mktemp("empty")
-    for name in ("documents", "benchmark", "labels", "pages"):
+    for name in ("documents", "benchmark", "labels", "pages", "embeddings"):
         table = pq.read_table(f"{odd_dir}/{name}.parquet")
         pq.write_table(table.slice(0, 0), f"{folder}/{name}.parquet")
     return str(folder)
