@@ -37,6 +37,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_alone(df: DataFrame, name: str) -> DataFrame:
+    """Like ``stored``, and what was shuffled for it goes from the disks at once, not when the driver's garbage is collected."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return stored(df, name)
+    finally:
+        conf.set(key, before)
+
+
 def fresh(docs: DataFrame, *names: str) -> list[str]:
     """``names``, with underscores put before those that ``docs`` already has as columns."""
     taken, out = {c.lower() for c in docs.columns}, []

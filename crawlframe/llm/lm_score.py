@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import math
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import exchange
-from .common import LAST_ID, in_blocks, stored, table
-from .substring_dedup import BYTE_ROOTS, word_hashes
+from .common import LAST_ID, in_blocks, stored, stored_alone, table
+from .substring_dedup import word_hashes
 
 ORDER = 3
 BACKOFF = 0.4
@@ -83,7 +84,7 @@ class Grams:
 
 def _positions(pdf: pd.DataFrame, extra: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of a block, and of each word its row and place in the row; words of each row."""
-    words, sizes = word_hashes(pdf["text"].tolist(), BYTE_ROOTS[:2 if extra else 1])
+    words, sizes = word_hashes(pdf["text"].tolist(), 2 if extra else 1)
     row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     start = np.arange(len(row), dtype=np.int32) - np.repeat((np.cumsum(sizes) - sizes).astype(np.int32), sizes)
     return words, row, start, sizes
@@ -162,7 +163,7 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_
     Blocks of documents explode their texts into n-grams and count them, before anything is shuffled; the count tables
     are partitioned by ranges of the n-grams' hashes, where blocks' counts are summed and joined back to each block's
     n-grams, and a block sums the scores per document. An n-gram in a third of all texts comes once per block. What is
-    exchanged grows with the text. Hashes have 64 bits, and as many bytes more as the size of the corpus asks for
+    exchanged grows with the text; orders follow one another, so that only one of them is on the disks at a time. Hashes have 64 bits, and as many bytes more as the size of the corpus asks for
     (``extra_bytes``); an n-gram never counts as seen more often than its context.
 
     Words are runs without white space, unchanged. NULL and empty texts have no words and log_score 0. A NULL doc_id
@@ -174,16 +175,17 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_
     extra = extra_bytes(total)
     span = exchange.owner_span(64, total // 3)
 
-    def explode(pdf: pd.DataFrame) -> pd.DataFrame:
-        block, out = int(pdf["block"].iloc[0]), []
-        words, row, start, _ = _positions(pdf, extra)
-        for n in range(1, order + 1):
+    def exploded(n: int):
+        def explode(pdf: pd.DataFrame) -> pd.DataFrame:
+            block, out = int(pdf["block"].iloc[0]), []
+            words, row, start, _ = _positions(pdf, extra)
             grams = Grams(words, row, start, n, extra)
             for owner, a, b in exchange.slices(grams.distinct, span):
                 hashes, seconds = grams.distinct[a:b] - np.uint64(owner * span), grams.seconds[a:b] if extra else None
                 out.append((block, owner, n, _packed(hashes, seconds, grams.counts[a:b], extra)))
-            del grams
-        return exchange.as_frame(out)
+            return exchange.as_frame(out)
+
+        return explode
 
     def add_up(pdf: pd.DataFrame, joined: pd.DataFrame) -> pd.DataFrame:
         columns = ["key", "n_words", "log_counts", "alone"]
@@ -212,9 +214,12 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_
         return pd.DataFrame({"key": pdf["key"].to_numpy(), "n_words": sizes, "log_counts": np.bincount(row, logs, len(sizes)),
                              "alone": np.bincount(row, alone, len(sizes)).astype(np.int64)})[columns]
 
-    by_block = rows.groupBy("block")
-    joined = by_block.applyInPandas(explode, exchange.MESSAGE).groupBy("owner").applyInPandas(count_and_join, exchange.MESSAGE)
-    sums = stored(by_block.cogroup(joined.groupBy("block")).applyInPandas(add_up, "key long, n_words long, log_counts double, alone long"), "lm")
+    by_block, message = rows.groupBy("block"), exchange.MESSAGE
+    # one order after another, each off the disks when its counts are joined
+    parts = [stored_alone(by_block.applyInPandas(exploded(n), message).groupBy("owner").applyInPandas(count_and_join, message), f"lm-{n}")
+             for n in range(1, order + 1)]
+    joined = reduce(DataFrame.unionByName, parts)
+    sums = stored_alone(by_block.cogroup(joined.groupBy("block")).applyInPandas(add_up, "key long, n_words long, log_counts double, alone long"), "lm")
     n = sums.agg(F.sum("n_words")).first()[0] or 0
     return sums.select(F.nullif("key", F.lit(LAST_ID)).alias("doc_id"), "n_words",
                        (F.col("log_counts") - F.col("alone") * F.log(F.greatest(F.lit(n) - F.col("n_words"), F.lit(1)))).alias("log_score"))
