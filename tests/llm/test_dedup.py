@@ -84,6 +84,44 @@ def test_repeated_passages_over_many_blocks(spark, sf_dir):
     assert Counter((r["doc_id"], r["text"], r["n_words"], r["n_removed"]) for r in found) == brute_repeats(rows_of(spark, sf_dir), 8)
 
 
+def thue_morse(steps, zero, one):
+    """Two words that every polynomial over their letters modulo 2^64 takes for equal."""
+    word = [0]
+    for _ in range(steps):
+        word += [1 - x for x in word]
+    return "".join(zero if x == 0 else one for x in word), "".join(one if x == 0 else zero for x in word)
+
+
+def test_words_made_to_collide_are_told_apart(spark):
+    a, b = thue_morse(11, "a", "b")
+    rest = " ".join(f"common{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} {rest}")], "doc_id long, text string")
+    found = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()}
+    assert found == {1: 0, 2: 0, 3: 20}
+    with pytest.raises(ValueError):
+        substring_dedup.remove_repeats(docs, window=substring_dedup.MOST_WORDS + 1)
+
+
+def test_hashes_of_a_text_above_a_chunk(monkeypatch):
+    texts = [b"one two\tthree  \n", b"", b"x" * 300 + b" y " + b"z" * 500, b" \v\f\r ", "é ñ ß\u00a0ü".encode()]
+    whole, sizes = substring_dedup.word_hashes(texts)
+    assert sizes.tolist() == [3, 0, 3, 0, 3]
+    for size in (1, 7, 100):
+        monkeypatch.setattr(substring_dedup, "CHUNK", size)
+        parts, again = substring_dedup.word_hashes(texts)
+        assert again.tolist() == sizes.tolist() and all((x == y).all() for x, y in zip(whole, parts))
+
+
+def test_a_long_text_is_hashed_in_bounded_memory():
+    import tracemalloc
+    text = b"some words of a very long text " * 1_600_000  # 50 MB
+    tracemalloc.start()
+    (one, two), sizes = substring_dedup.word_hashes([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes.tolist() == [11_200_000] and len(np.unique(one)) == len(np.unique(two)) == 7 and peak < 600 << 20
+
+
 def brute_fingerprint(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
     if not words:
