@@ -11,13 +11,19 @@ from .urls import resolve_all
 
 # Elements whose content is text to a browser: tags in there are not tags.
 _RAW_TEXT = "script|style|textarea|title|noscript|iframe|noembed|noframes|xmp"
-_RAW_OR_COMMENT = rf"(?is)<(?:!--.*?(?:-->|\z)|({_RAW_TEXT})\b([^>]*)>.*?(?:</\1\s*>|\z))"
+# One that is not closed before the page ends takes the rest with it, as does a comment; so every pattern here goes on
+# where its last match ended, and none looks at the rest of the page again and again.
+_RAW_OR_COMMENT = (rf"(?is)<(?:!--.*?(?:-->|\z)|(?:{_RAW_TEXT})\b[^>]*+\z"
+                   rf"|({_RAW_TEXT})\b([^>]*+)>.*?(?:</\1\s*>|\z))")
 # Walks from the start of the page to the first title outside comments and raw text.
-_TITLE = (r"(?is)^(?:[^<]++|<!--.*?(?:-->|\z)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\z)"
-          r"|<(?!title\b))*+<title\b[^>]*>(.*?)(?:</title|\z)")
-# A tag with at least one attribute. Possessive, so long tags cannot exhaust the stack.
-_TAG = r"""<[A-Za-z][^\s/>]*+[\s/][^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>"""
-_ATTRIBUTE = r"""[^\s=/>"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*))?"""
+_TITLE = (r"(?is)^(?:[^<]++|<!--.*?(?:-->|\z)|<(script|style|textarea)\b[^>]*+(?:>.*?(?:</\1\s*>|\z)|\z)"
+          r"|<(?!title\b))*+<title\b[^>]*+>(.*?)(?:</title|\z)")
+# An attribute: a quote opens a value only behind "=", and elsewhere is part of a name. A value that is not closed goes
+# on to the end of the page.
+_ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^\s>"'][^\s>]*+)?+)?+"""
+# A tag, its first group, or the rest of the page from one that is never closed. Possessive, so long tags cannot exhaust
+# the stack.
+_TAG = rf"(<[A-Za-z][^\s/>]*+(?:[\s/]++|{_ATTRIBUTE})*+>)|(?s:<[A-Za-z].*+)"
 _ATTRIBUTE_VALUE = r"""(?s)^[^\s=]+\s*=\s*(?:"(.*)"|'(.*)'|(.*))$"""
 
 # Names that are references without a semicolon too, longest first. In text the longest such name at the place is
@@ -86,8 +92,7 @@ def extract_title(html: Column) -> Column:
 
 def _attribute(tag: Column, name: str) -> Column:
     """Value of the first attribute of that name, not decoded, NULL if the tag has none."""
-    attributes = F.regexp_extract_all(F.regexp_replace(tag, r"^<[^\s/>]+|>$", ""),
-                                      F.lit(_ATTRIBUTE), F.lit(0))
+    attributes = F.regexp_extract_all(F.regexp_replace(tag, r"^<[^\s/>]++|>$", ""), F.lit(_ATTRIBUTE), F.lit(0))
     named = F.filter(attributes, lambda a: F.rlike(a, F.lit(rf"(?i)^{name}(\s*=|$)")))
     return let(F.try_element_at(named, F.lit(1)), lambda a: F.concat(*[
         F.regexp_extract(a, _ATTRIBUTE_VALUE, i) for i in (1, 2, 3)]))
@@ -103,9 +108,12 @@ def _references(tags: Column) -> Column:
 
 
 def raw_references(html: Column) -> Column:
-    """``a[href]`` values in document order, then all ``[src]`` values, unresolved."""
+    """``a[href]`` values in document order, then all ``[src]`` values, unresolved; in time near the page's length.
+
+    A tag that the page ends in is dropped with all that it swallows, as a parser does.
+    """
     live = F.regexp_replace(html, _RAW_OR_COMMENT, "<$1$2>")
-    return let(F.regexp_extract_all(live, F.lit(_TAG), F.lit(0)), _references)
+    return let(F.regexp_extract_all(live, F.lit(_TAG), F.lit(1)), _references)
 
 
 def extract_links(html: Column, base_url: Column) -> Column:

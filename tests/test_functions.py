@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +152,63 @@ def test_references_in_attributes_and_text(spark):
     assert got == ["/p?a=1&reg=eu&copy=2&sect=3", "/q?x&y<z", "/r?a©", "/s?&ampbA&notit;", "/t?z="]
     titles = ["<title>&ampb &copy2 &notin; &amp;amp; &zzz;</title>", "<title>a &amp; b</title>", "<title>plain</title>"]
     assert many(spark, titles, html.extract_title) == ["&b ©2 ∉ &amp; &zzz;", "a & b", "plain"]
+
+
+def seconds(spark, expression, value):
+    """Time and result of the expression over one row."""
+    df = spark.createDataFrame([(value,)], "v string")
+    start = time.perf_counter()
+    found = df.select(expression(F.col("v")).alias("x")).first()["x"]
+    return time.perf_counter() - start, found
+
+
+LONG = {
+    "letters before an address": (text.extract_emails, lambda n: "x" * n + " a@b.org", ["a@b.org"]),
+    "letters that end in nothing": (text.extract_emails, lambda n: "@" + "x" * n, []),
+    "a domain without an end": (text.extract_emails, lambda n: "a@" + "b." * (n // 2) + "1", []),
+    "many signs": (text.extract_emails, lambda n: "a@" * (n // 2), []),
+    "tags in open quotes": (html.raw_references, lambda n: '<a href="x ' * (n // 11), None),
+    "tags that never end": (html.raw_references, lambda n: "<a " * (n // 3), []),
+    "names that never end": (html.raw_references, lambda n: "<a" * (n // 2), []),
+    "names up to one end": (html.raw_references, lambda n: "<a" * (n // 2) + ">", []),
+    "a last quote that is open": (html.raw_references, lambda n: '<a href="/x">' + "<b c='d" * (n // 7) + "<p>" * 9, ["/x"]),
+    "raw text without an end": (html.raw_references, lambda n: '<img src="/i">' + "<script " * (n // 8), ["/i"]),
+    "raw text that is not closed": (html.raw_references, lambda n: '<img src="/i">' + "<style>" * (n // 7), ["/i"]),
+    "comments that are open": (html.raw_references, lambda n: '<img src="/i">' + "<!--" * (n // 4), ["/i"]),
+    "titles in open raw text": (html.extract_title, lambda n: "<script " * (n // 8), ""),
+    "one tag of many attributes": (html.raw_references, lambda n: "<a " + "b " * (n // 2) + "href=/x>", ["/x"]),
+}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_time_is_near_linear_in_the_length(spark, name):
+    """A page of 1 MB takes seconds, and twice the length about twice the time."""
+    expression, page, expected = LONG[name]
+    seconds(spark, expression, page(1_000))
+    half, _ = seconds(spark, expression, page(500_000))
+    whole, found = seconds(spark, expression, page(1_000_000))
+    assert expected is None or found == expected
+    assert whole < 10 and whole < 3 * half + 1
+
+
+def brute_emails(value):
+    import re
+    return list(dict.fromkeys(m.lower() for m in re.findall(text.EMAIL_PATTERN, value)))
+
+
+def test_addresses_are_those_of_the_plain_pattern(spark):
+    rng = random.Random(3)
+    values = ["a@b.com_x@y.org", "a@b.com.x@y.org", "a@b.co@c.de", "..a@b..cc", "a@b.c1.dd-e@f.gg", "x@y.z a@@b.cc", "a@b.com+c@d.ee@f.gg"]
+    values += ["".join(rng.choice("aB1.@_-+% é") for _ in range(rng.randrange(40))) for _ in range(3000)]
+    assert many(spark, values, text.extract_emails) == [brute_emails(v) for v in values]
+
+
+def test_broken_markup(spark):
+    pages = [
+        """<a href="/1">x</a><p class=it's><a href='/2'>y</a><b title=don't a="><a href=/no>">""",
+        """<a href="/1" <a href="/2">z</a><img src=/3 alt="open><a href=/4>""",
+        """<a/href=/1><a href = "/2"/><a =href="/no" href=/3 >""", """<a href=/1><iframe src=/no""", """<a href=/1><a href=/no""",
+        """<a "href=/no" href='/1'><A\nHREF\n=\n/2\n><a href=/x"y'>""", """<a href="/1><a href=/2>"><a href=/3>""",
+    ]
+    assert many(spark, pages, html.raw_references) == [
+        ["/1", "/2"], ["/1"], ["/1", "/2", "/3"], ["/1"], ["/1"], ["/1", "/2", "/x\"y'"], ["/1><a href=/2>", "/3"]]
