@@ -38,7 +38,7 @@ def priority_cutoff(frontier: DataFrame, k: int) -> DataFrame:
         F.col("slot").alias("cutoff"))
 
 
-def _first_by_url(tied: DataFrame, k: int) -> DataFrame:
+def first_by_url(tied: DataFrame, k: int) -> DataFrame:
     """The first ``k`` rows by URL: whole ranges of URLs, and of the range where ``k`` falls the rows up to it.
 
     The ranges are fixed by a checkpoint; one count per range comes to the driver.
@@ -71,7 +71,7 @@ def frontier_batch(frontier: DataFrame, k: int) -> DataFrame:
     before, tied = upto.agg(F.count_if(F.col("priority") < cutoff), F.count_if(F.col("priority") == cutoff)).first()
     if before + tied > k:  # not all of the tied rows belong to the batch
         upto = upto.filter(F.col("priority") < cutoff).unionByName(
-            _first_by_url(upto.filter(F.col("priority") == cutoff), k - before))
+            first_by_url(upto.filter(F.col("priority") == cutoff), k - before))
     return upto.orderBy("priority", "url")
 
 

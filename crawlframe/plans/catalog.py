@@ -19,6 +19,7 @@ from ..schemas import CRAWL_RESULT, FRONTIER, LINK_PROBE, PAGE, TIMESTAMP_FORMAT
 from ..session import configure
 from ..sources import sinks, store, views
 from ..sources.tables import Tables
+from ..sources.waiting import WaitingUrls
 from ..streaming import jobs
 from . import hunt, reports, views as unpivoted
 
@@ -558,6 +559,16 @@ def frontier_spill(t: Tables) -> DataFrame:
     return _flat_tasks(frontier.frontier_spill(views.frontier(t), 500))
 
 
+def frontier_refill(t: Tables) -> DataFrame:
+    """The spilled rows after two refills from disk: the number of the refill that took a row, 0 where it still waits."""
+    table = WaitingUrls(t.spark, f"{t.working_folder()}/waiting-{uuid.uuid4().hex[:8]}")
+    table.spill(frontier.frontier_spill(views.frontier(t), 500))
+    table.refill(300)
+    table.refill(200)
+    rows = table.waiting().withColumn("batch", F.lit(0)).unionByName(table.batches().withColumn("batch", F.col("batch") - 1))
+    return rows.select("url", "depth", stamp("timestamp"), "retries", "batch")
+
+
 def top_domains(t: Tables) -> DataFrame:
     return reports.top_domains(views.crawl_results(t))
 
@@ -687,7 +698,7 @@ BATCH = {f.__name__: f for f in (
     error_histogram, processing_time_stats, depth_histogram, keyword_totals, timeline_hourly,
     timeline_span, domain_stats, db_view_stats, data_type_distribution, findings_timeline,
     metrics_summary, processing_rate, mode_counters,
-    upsert_results, upsert_frontier, frontier_batch, frontier_batch_large, frontier_spill,
+    upsert_results, upsert_frontier, frontier_batch, frontier_batch_large, frontier_spill, frontier_refill,
     top_domains, sample_links, rate_between_snapshots, first_n_sources,
     distinct_links, dedup_urls, union_results,
 )}
