@@ -8,8 +8,9 @@ overwrites its own folder, so each result is there once.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
@@ -80,6 +81,18 @@ def new_urls(results: DataFrame, delay: str) -> DataFrame:
     return found.withWatermark("processed_at", delay).dropDuplicatesWithinWatermark(["url"])
 
 
+def distinct_nearby(urls: DataFrame) -> DataFrame:
+    """``urls`` without what repeats within some thousand rows of a task; a stream has no grouping without state.
+
+    Arrow batches are made distinct as columns; no row is looked at in Python.
+    """
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0).unique()], ["url"])
+
+    return urls.mapInArrow(distinct, "url string")
+
+
 def counters(results: DataFrame) -> DataFrame:
     """Running totals of the live counters; for complete or update mode."""
     return reports.metrics_summary(results)
@@ -103,23 +116,15 @@ def start_new_urls(results: DataFrame, out: str, checkpoint: str, delay: str | N
                    trigger: dict | None = None) -> StreamingQuery:
     """Each valid URL once, in the batch that linked it first.
 
-    A batch's URLs are made distinct before they are shuffled, so a URL that
-    every page links goes through one row per task, and are compared with what
-    earlier batches wrote: the output is the memory. With a delay, state that
-    is dropped after it stands in for that memory.
+    What was seen is keyed state, kept by RocksDB on the executors' disks with its changes in the checkpoint folder: a
+    batch looks up its own URLs there and reads nothing that earlier batches wrote, however long the history. A page's
+    links are made distinct in its row and those of many pages before they are shuffled (``distinct_nearby``), so a
+    URL that every page links is not one task's load. With a delay, state is dropped after it.
     """
     if delay is not None:
         return append_files(new_urls(results, delay), out, checkpoint, trigger=trigger)
-    found = results.select(F.explode("new_urls").alias("url")).filter(is_valid_url(F.col("url")))
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.distinct()
-        if batch_id > 0:
-            known = batch.sparkSession.read.schema("url string, batch long").parquet(out).filter(F.col("batch") < batch_id)
-            fresh = fresh.join(known.select("url"), "url", "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    return _writer(found, checkpoint, trigger).outputMode("append").foreachBatch(write).start()
+    found = results.select(F.explode(F.array_distinct("new_urls")).alias("url")).filter(is_valid_url(F.col("url")))
+    return write_batches(distinct_nearby(found).dropDuplicates(["url"]), out, checkpoint, "append", trigger=trigger)
 
 
 def start_counters(results: DataFrame, out: str, checkpoint: str,
