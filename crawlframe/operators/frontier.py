@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.urls import is_submittable_url
-from .lineage import cut
+from .lineage import application_folder, cut
 
 _DAY = 86_400
 
@@ -95,23 +97,58 @@ def submit_summary(labelled: DataFrame) -> DataFrame:
                         F.count_if(~F.col("valid")).alias("invalid"))
 
 
+class StoredEdges:
+    """Distinct edges (src, dst) in buckets by source, so that a join by source reads them without a shuffle.
+
+    A source with more than one in ``HOT_PART`` of all edges is dealt over SALTS buckets by its targets. There are
+    fewer than HOT_PART such sources, whatever the graph, so the list of them is broadcast.
+    """
+
+    HOT_PART, SALTS, LEAST_HOT = 1_000, 16, 10_000
+
+    def __init__(self, links: DataFrame):
+        self.spark = links.sparkSession
+        edges = cut(links.select("src", "dst").distinct())
+        limit = max(self.LEAST_HOT, edges.count() // self.HOT_PART)
+        self.hot = cut(edges.groupBy("src").count().filter(F.col("count") > limit).select("src"))
+        self.name = f"edges_{uuid.uuid4().hex}"
+        salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("dst"), F.lit(self.SALTS)).cast("int")).otherwise(0)
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # one writing task per bucket, and so one file each
+        dealt = (edges.join(F.broadcast(self.hot.withColumn("_hot", F.lit(True))), "src", "left")
+                 .select("src", "dst", salt.alias("salt")).repartition(self.buckets, "src", "salt"))
+        (dealt.write.bucketBy(self.buckets, "src", "salt").sortBy("src", "salt")
+         .option("path", f"{application_folder(self.spark)}/{self.name}").saveAsTable(self.name))
+
+    def targets(self, sources: DataFrame) -> DataFrame:
+        """url: distinct targets of the distinct ``sources`` (url). Only the sources are shuffled."""
+        level = (sources.select(F.col("url").alias("src")).join(F.broadcast(self.hot.withColumn("_hot", F.lit(True))), "src", "left")
+                 .withColumn("salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(self.SALTS - 1))).otherwise(F.array(F.lit(0)))))
+                 .drop("_hot"))
+        # merged, since a side that grows with the crawl is not to be broadcast
+        edges = self.spark.table(self.name)
+        return edges.join(level.hint("merge"), ["src", "salt"], "left_semi").select(F.col("dst").alias("url")).distinct()
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
 def crawl_depths(seeds: DataFrame, links: DataFrame, max_depth: int) -> DataFrame:
     """url, depth: what is reachable from the seeds in at most ``max_depth`` steps, at least depth.
 
-    ``links`` has src and dst, ``seeds`` has url. The distinct edges are written
-    once; each round joins the last level to them, and is checkpointed, so the
-    plan does not grow and a lost executor costs one level at most. Of a source
-    with very many links the adaptive planner splits the edges, and targets are
-    made distinct before they are compared with what was visited.
+    ``links`` has src and dst, ``seeds`` has url. The distinct edges are written once, in buckets by source; each
+    round joins the last level to them without shuffling them, and is checkpointed, so the plan does not grow and a
+    lost executor costs one level at most. Targets are made distinct before they are compared with what was visited.
     """
-    edges = cut(links.select("src", "dst").distinct())
+    edges = StoredEdges(links)
     level = cut(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     visited = level
-    for depth in range(1, max_depth + 1):
-        found = edges.join(level.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
-        level = cut(found.join(visited.select("url"), "url", "left_anti")
-                         .withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
-            break
-        visited = visited.unionByName(level)
+    try:
+        for depth in range(1, max_depth + 1):
+            level = cut(edges.targets(level).join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(depth)))
+            if level.isEmpty():
+                break
+            visited = visited.unionByName(level)
+    finally:
+        edges.drop()
     return visited
