@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import error_category, frontier_key, result_key, store_key, truncate_text
@@ -82,38 +84,60 @@ def _json(df: DataFrame) -> Column:
     return F.to_json(F.struct(*df.columns), {"timestampFormat": TIMESTAMP_FORMAT})
 
 
+_RESULT, _URL = "result:", "url:"
+#: Where the second of a result key may stand: digits between underscores or at the end.
+_SECOND = r"_-?[0-9]+(?=_|%s)"
+
+
+def possible_urls(key: str) -> list[str]:
+    """URLs a store key can belong to. A URL may itself hold an underscore and digits, so there can be several."""
+    if key.startswith(_RESULT):
+        return [key[len(_RESULT):m.start()] for m in re.finditer(_SECOND % r"\Z", key) if m.start() >= len(_RESULT)]
+    return [key[len(_URL):]] if key.startswith(_URL) else []
+
+
+def _possible_urls(key: Column) -> Column:
+    """``possible_urls`` as an expression: what stands before each place where the second may stand."""
+    rest = F.substring(key, len(_RESULT) + 1, 1 << 30)
+    # the texts between such places, put together again from the left with the seconds they were cut at
+    cuts = F.regexp_extract_all(rest, F.lit("(?s).*?" + _SECOND % r"\z"), F.lit(0))
+    fronts = F.transform(cuts, lambda c, i: F.regexp_replace(F.array_join(F.slice(cuts, 1, i + 1), ""), r"_-?[0-9]+\z", ""))
+    return F.when(F.startswith(key, F.lit(_RESULT)), fronts).when(
+        F.startswith(key, F.lit(_URL)), F.array(F.substring(key, len(_URL) + 1, 1 << 30))).otherwise(F.array().cast("array<string>"))
+
+
 def lookup_keys(frontier: DataFrame, results: DataFrame, keys: DataFrame) -> DataFrame:
     """key, database, raw_value for every asked ``key``; database and value are NULL if it is unknown.
 
-    Keys are made distinct first. Stored rows are reduced to the asked keys
-    before they are turned into JSON. A dead-link row answers to its result key,
-    which holds the link.
+    Keys are made distinct first. A key says which URLs it can belong to, and rows are joined by URL, so that keys are
+    worked out, and rows turned into JSON, only for URLs that are asked for. A dead-link row answers to its result
+    key, which holds the link.
     """
     asked = keys.select("key").distinct()
+    urls = asked.select("key", F.explode(_possible_urls(F.col("key"))).alias("_asked")).distinct()
 
-    def stored(df: DataFrame, key: Column, name: str) -> DataFrame:
-        kept = df.withColumn("key", key).join(asked, "key", "left_semi")
-        return kept.select("key", F.lit(name).alias("database"), _json(df).alias("raw_value"))
+    def stored(df: DataFrame, key: Column, prefix: str, name: str) -> DataFrame:
+        wanted = urls.filter(F.startswith("key", F.lit(prefix)))
+        rows = df.withColumn("_key", key).withColumn("_value", _json(df))
+        kept = rows.join(wanted, (rows["url"] == wanted["_asked"]) & (rows["_key"] == wanted["key"]))
+        return kept.select("key", F.lit(name).alias("database"), F.col("_value").alias("raw_value"))
 
-    urls = stored(frontier, frontier_key(F.col("url")), "URLs")
-    rows = stored(results, result_key(), "Results")
-    return asked.join(urls.unionByName(rows), "key", "left")
+    found = stored(frontier, frontier_key(F.col("url")), _URL, "URLs").unionByName(stored(results, result_key(), _RESULT, "Results"))
+    return asked.join(found, "key", "left")
 
 
 def lookup_key(frontier: DataFrame, results: DataFrame, key: str) -> DataFrame:
     """database, key, raw_value for one store key, no row if it is unknown.
 
-    The key of a frontier row fixes the URL, and the equality reaches the scan.
+    The key says which URLs it can belong to, and that reaches the scan: with the layout of ``sinks.store_by_url``
+    only files, row groups and pages that can hold them are read.
     """
-    def found(df: DataFrame, url: str, own_key: Column, name: str) -> DataFrame:
-        return df.filter((F.col("url") == url) & (own_key == key)).select(
-            F.lit(name).alias("database"), F.lit(key).alias("key"),
-            _json(df).alias("raw_value"))
-
-    if key.startswith("result:"):
-        return results.filter(result_key() == key).select(
-            F.lit("Results").alias("database"), F.lit(key).alias("key"), _json(results).alias("raw_value")).limit(1)
-    return found(frontier, key[len("url:"):], frontier_key(F.col("url")), "URLs").limit(1)
+    urls = possible_urls(key)
+    database, df, own_key = ("Results", results, result_key()) if key.startswith(_RESULT) else ("URLs", frontier, frontier_key(F.col("url")))
+    if not urls:
+        return df.limit(0).select(F.lit(database).alias("database"), F.lit(key).alias("key"), _json(df).alias("raw_value"))
+    return df.filter(F.col("url").isin(urls) & (own_key == key)).select(
+        F.lit(database).alias("database"), F.lit(key).alias("key"), _json(df).alias("raw_value")).limit(1)
 
 
 def list_urls(frontier: DataFrame, limit: int) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -265,6 +265,19 @@ def lookup_key(t: Tables) -> DataFrame:
         *[F.when(is_result, shown.get(c, F.col(c))).alias(c) for c in flat if c != "url"])
 
 
+def lookup_key_stored(t: Tables) -> DataFrame:
+    """The first, by key, of the results with a dead link and of those without, and a frontier row, from tables stored by URL."""
+    results, front = (f"{t.working_folder()}/{name}-{uuid.uuid4().hex[:8]}" for name in ("results", "frontier"))
+    sinks.store_by_url(views.crawl_results(t), results)
+    sinks.store_by_url(views.frontier(t), front)
+    rows, urls = t.spark.read.schema(CRAWL_RESULT).parquet(results), t.spark.read.schema(FRONTIER).parquet(front)
+    dead = F.size("dead_links") > 0
+    keys = rows.agg(F.min(F.when(dead, text.result_key())), F.min(F.when(~dead, text.result_key()))).first()
+    keys = [*keys, urls.agg(F.min(text.frontier_key(F.col("url")))).first()[0], "url:unknown", "neither"]
+    found = reduce(DataFrame.unionByName, [filters.lookup_key(urls, rows, k) for k in keys if k is not None])
+    return found.select("database", "key", F.get_json_object("raw_value", "$.url").alias("url"))
+
+
 def list_urls(t: Tables) -> DataFrame:
     return filters.list_urls(views.frontier(t), 20).select("url", "depth", "retries", stamp("timestamp"))
 
@@ -687,7 +700,7 @@ BATCH = {f.__name__: f for f in (
     export_urls, export_results, export_emails, export_keywords, export_findings_csv, export_findings_csv_type,
     export_db_view, export_db_view_filtered,
     html_content_filter, valid_urls, submit_urls, submit_summary, filter_results,
-    filter_by_domain, filter_by_content_type, search_results, search_db_view, lookup_key, list_urls, list_results,
+    filter_by_domain, filter_by_content_type, search_results, search_db_view, lookup_key, lookup_key_stored, list_urls, list_results,
     hunt_mode, hunt_mode_email, hunt_mode_keywords, hunt_mode_domains, crawl_step, db_view,
     db_view_first, findings, findings_by_type,
     extract_emails, count_keywords, extract_links, extract_links_parameters, extract_title, resolve_url, url_host,

@@ -45,3 +45,9 @@ def export_db_view(entries: DataFrame, path: str, files: int | None = None) -> N
     shown = entries.drop("search_text").withColumn(
         "error_message", F.when(F.col("error_message") != "", F.col("error_message")))
     _write(shown, path, "json", "overwrite", files, ignoreNullFields="true")
+
+
+def store_by_url(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write rows for lookup by URL: sorted by it over all files, so that each holds a range, and with a Bloom filter."""
+    ordered = df.repartitionByRange("url").sortWithinPartitions("url")
+    ordered.write.mode(mode).option("parquet.bloom.filter.enabled#url", "true").parquet(path)

@@ -374,3 +374,25 @@ def test_last_probe_and_last_robots_answer_count(spark):
                                     "host string, status int, body string, fetched_at int")
     urls = spark.createDataFrame([("http://h/a",)], "url string")
     assert [r["allowed"] for r in robots.robots_allowed(urls, answers, "bot").collect()] == [True]
+
+
+def test_rounds_of_depths_do_not_shuffle_the_edges(spark, monkeypatch):
+    monkeypatch.setattr(frontier.StoredEdges, "LEAST_HOT", 200)
+    rng = random.Random(5)
+    pairs = {(0 if rng.random() < 0.4 else rng.randrange(3000), rng.randrange(3000)) for _ in range(6000)}
+    links = spark.createDataFrame(sorted(pairs), "src int, dst int")
+    edges = frontier.StoredEdges(links)
+    try:
+        assert [r["src"] for r in edges.hot.collect()] == [0]
+        stored = spark.table(edges.name)
+        assert stored.filter("src = 0").select("salt").distinct().count() == edges.SALTS
+        found = edges.targets(spark.createDataFrame([(0,), (7,), (2999,)], "url int"))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        scan = [line for line in plan.splitlines() if "FileScan parquet" in line and edges.name in line]
+        assert len(scan) == 1 and f"SelectedBucketsCount: {edges.buckets} out of {edges.buckets}" in scan[0]
+        above = plan[plan.index("SortMergeJoin"):plan.index(scan[0])].split("Exchange")
+        assert len(above) == 1  # none between the join and the scan of the edges
+        assert {r["url"] for r in found.collect()} == {b for a, b in pairs if a in (0, 7, 2999)}
+    finally:
+        edges.drop()
+    assert not spark.catalog.tableExists(edges.name)

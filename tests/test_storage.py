@@ -2,11 +2,14 @@
 
 import json
 import os
+import re
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from crawlframe.functions import text
+from crawlframe.operators import filters
 from crawlframe.plans import views
 from crawlframe.schemas import CRAWL_RESULT, LINK_PROBE, PAGE
 from crawlframe.sources import sinks, store
@@ -116,3 +119,45 @@ def test_extraction_and_dead_link_streams(spark, tmp_path):
     spark.createDataFrame([("http://d.org/1", 200), ("http://d.org/2", 410)], LINK_PROBE).write.mode("append").parquet(
         str(tmp_path / "probes"))
     assert dead() == {"http://d.org/2": [], "http://u.org/": ["u.org"]}  # one recovered, one died
+
+
+def test_new_urls_need_no_earlier_output(spark, tmp_path):
+    """State knows what was seen: earlier output may be gone, and a batch reads its own rows alone."""
+    source, checkpoint = str(tmp_path / "in"), str(tmp_path / "checkpoint")
+    seen: set[str] = set()
+    for step in range(4):
+        links = [f"http://x{step}/{i}" for i in range(5)] + [f"http://x{s}/0" for s in range(step)] + ["http://hot/"] * 3
+        results(spark, *[result(f"http://p{step}-{i}/", new_urls=links) for i in range(6)]).write.mode("append").parquet(source)
+        out = str(tmp_path / f"out{step}")  # a new folder each time
+        stream = jobs.read_stream(spark, source, CRAWL_RESULT)
+        query = jobs.start_new_urls(stream, out, checkpoint)
+        query.awaitTermination()
+        rows = [r["url"] for r in spark.read.parquet(out).collect()]
+        assert len(rows) == len(set(rows)) and set(rows) == set(links) - seen
+        assert sum(p["numInputRows"] for p in query.recentProgress) == 6
+        seen |= set(links)
+
+
+def test_lookup_by_key_reaches_the_scan(spark, tmp_path):
+    rows = results(spark, *[result(f"http://h{i}.org/a_{i}", processed_at=T0) for i in range(300)],
+                   result("http://h.org/x_17_y", processed_at=T0, dead_links=["http://d/_1_2", "http://e/"]))
+    sinks.store_by_url(rows, str(tmp_path / "results"))
+    stored = spark.read.schema(CRAWL_RESULT).parquet(str(tmp_path / "results"))
+    front = stored.select("url", F.lit(1).alias("depth"), F.col("processed_at").alias("timestamp"), F.lit(0).alias("retries"))
+    for key in [r["k"] for r in stored.select(text.result_key().alias("k")).collect()][::60] + [
+            stored.filter(F.size("dead_links") > 0).select(text.result_key()).first()[0], "url:http://h7.org/a_7"]:
+        found = filters.lookup_key(front, stored, key)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PushedFilters: \[[^\]]*(In|EqualTo)\(url", plan), plan
+        assert [r["key"] for r in found.collect()] == [key]
+        assert filters.lookup_keys(front, stored, spark.createDataFrame([(key,)], "key string")).collect()[0]["raw_value"] == found.first()["raw_value"]
+    for key in ("result:http://h1.org/a_1", "result:", "result:_5", "url:", "other"):
+        assert filters.lookup_key(front, stored, key).collect() == []
+        assert filters.lookup_keys(front, stored, spark.createDataFrame([(key,)], "key string")).first()["database"] is None
+
+
+def test_possible_urls_of_a_key(spark):
+    keys = ["result:http://a/b_1_2_-3_http://d_4", "result:x_1", "result:nothing", "url:http://u_1/", "url:", "result:_7", "z", "result:a_1b_2\n_3"]
+    df = spark.createDataFrame([(k,) for k in keys], "key string")
+    got = df.select("key", filters._possible_urls(F.col("key")).alias("u")).collect()
+    assert {r["key"]: r["u"] for r in got} == {k: filters.possible_urls(k) for k in keys}
