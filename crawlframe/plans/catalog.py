@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import html, text, urls
 from ..operators import dedup, filters, frontier, index, links, probes, robots
+from ..operators.search_index import TrigramIndex
 from ..schemas import CRAWL_RESULT, FRONTIER, LINK_PROBE, PAGE, TIMESTAMP_FORMAT
 from ..session import configure
 from ..sources import sinks, store, views
@@ -229,8 +230,30 @@ def filter_by_content_type(t: Tables) -> DataFrame:
         "page_id", "url", "content_type")
 
 
+def _indexed(t: Tables) -> TrigramIndex:
+    """The results stored by URL, with an index of their files."""
+    folder = f"{t.working_folder()}/indexed-{uuid.uuid4().hex[:8]}"
+    sinks.store_by_url(views.crawl_results(t), f"{folder}/results")
+    index = TrigramIndex(t.spark, f"{folder}/results", f"{folder}/index")
+    index.update()
+    return index
+
+
+def search_results_indexed(t: Tables) -> DataFrame:
+    """The same rows as ``search_results``, from files that can hold the term."""
+    return _flat_hits(filters.search_results(_indexed(t).rows(SEARCH_TERM), SEARCH_TERM))
+
+
+def search_db_view_indexed(t: Tables) -> DataFrame:
+    """The same rows as ``search_db_view``, from files that can hold the term."""
+    return _flat_entries(filters.search_db_view(unpivoted.db_view(_indexed(t).rows("LICENSE")), "LICENSE"))
+
+
 def search_results(t: Tables) -> DataFrame:
-    hits = filters.search_results(views.crawl_results(t), SEARCH_TERM)
+    return _flat_hits(filters.search_results(views.crawl_results(t), SEARCH_TERM))
+
+
+def _flat_hits(hits: DataFrame) -> DataFrame:
     return hits.select("url", text.truncate_text(F.col("title"), 60).alias("title"), stamp("processed_at"),
                        listed_sorted("matching_emails").alias("matching_emails"),
                        text.keyword_list_display(F.col("matching_keywords")).alias("matching_keywords"))
@@ -700,7 +723,7 @@ BATCH = {f.__name__: f for f in (
     export_urls, export_results, export_emails, export_keywords, export_findings_csv, export_findings_csv_type,
     export_db_view, export_db_view_filtered,
     html_content_filter, valid_urls, submit_urls, submit_summary, filter_results,
-    filter_by_domain, filter_by_content_type, search_results, search_db_view, lookup_key, lookup_key_stored, list_urls, list_results,
+    filter_by_domain, filter_by_content_type, search_results, search_results_indexed, search_db_view, search_db_view_indexed, lookup_key, lookup_key_stored, list_urls, list_results,
     hunt_mode, hunt_mode_email, hunt_mode_keywords, hunt_mode_domains, crawl_step, db_view,
     db_view_first, findings, findings_by_type,
     extract_emails, count_keywords, extract_links, extract_links_parameters, extract_title, resolve_url, url_host,
