@@ -19,6 +19,7 @@ from ..operators.search_index import TrigramIndex
 from ..schemas import CRAWL_RESULT, FRONTIER, LINK_PROBE, PAGE, TIMESTAMP_FORMAT
 from ..session import configure
 from ..sources import sinks, store, views
+from ..sources.hourly import SKETCHES, STANDARD_ERROR, HourlyTotals
 from ..sources.tables import Tables
 from ..sources.waiting import WaitingUrls
 from ..streaming import jobs
@@ -529,6 +530,33 @@ def timeline_hourly(t: Tables) -> DataFrame:
     return hours.select(F.date_format("hour", "yyyy-MM-dd HH:mm").alias("hour"), "pages")
 
 
+def _kept_totals(t: Tables) -> HourlyTotals:
+    """Totals per hour in two steps: without some rows of every third day, then those days anew with them."""
+    rows = views.crawl_results(t)
+    day = F.to_date("processed_at")
+    late = (F.dayofmonth("processed_at") % 3 == 0) & (views.bucket(F.col("url")) % 4 == 0)
+    kept = HourlyTotals(t.spark, f"{t.working_folder()}/hourly-{uuid.uuid4().hex[:8]}")
+    kept.update(rows.filter(~late), [r[0] for r in rows.select(day).distinct().collect()])
+    kept.update(rows, [r[0] for r in rows.filter(late).select(day).distinct().collect()])
+    return kept
+
+
+def timeline_hourly_kept(t: Tables) -> DataFrame:
+    """The hours of ``timeline_hourly`` from stored totals."""
+    return _kept_totals(t).timeline().select(F.date_format("hour", "yyyy-MM-dd HH:mm").alias("hour"), "pages")
+
+
+def analyze_totals_sketched(t: Tables) -> DataFrame:
+    """The distinct counts of ``analyze_totals``, and whether those merged from stored sketches are within four standard errors."""
+    exact = reports.analyze_totals(views.frontier(t), views.crawl_results(t))
+    both = exact.crossJoin(_kept_totals(t).totals().select("pages", *[F.col(f"unique_{n}").alias(f"about_{n}") for n in SKETCHES]))
+    found = [F.struct(F.lit(n).alias("measure"), F.col(f"unique_{n}").alias("exact"),
+                      (F.abs(F.col(f"about_{n}") - F.col(f"unique_{n}")) <= F.ceil(F.col(f"unique_{n}") * (4 * STANDARD_ERROR))).alias("within"))
+             for n in SKETCHES]
+    found.append(F.struct(F.lit("pages").alias("measure"), F.col("total_results").alias("exact"), (F.col("pages") == F.col("total_results")).alias("within")))
+    return both.select(F.explode(F.array(*found)).alias("f")).select("f.*")
+
+
 def timeline_span(t: Tables) -> DataFrame:
     span = reports.timeline_span(views.crawl_results(t))
     return span.select(stamp("first_at"), stamp("last_at"), "total", "duration_us")
@@ -731,7 +759,7 @@ BATCH = {f.__name__: f for f in (
     new_urls, classify_links, dead_link_rows, domain_status, robots_rules, robots_allowed,
     robots_blocked_rows, robots_sitemaps, robots_crawl_delay, crawl_depths,
     db_stats, email_index, keyword_index, deadlink_index, analyze_totals, status_code_histogram,
-    error_histogram, processing_time_stats, depth_histogram, keyword_totals, timeline_hourly,
+    error_histogram, processing_time_stats, depth_histogram, keyword_totals, timeline_hourly, timeline_hourly_kept, analyze_totals_sketched,
     timeline_span, domain_stats, db_view_stats, data_type_distribution, findings_timeline,
     metrics_summary, processing_rate, mode_counters,
     upsert_results, upsert_frontier, frontier_batch, frontier_batch_large, frontier_spill, frontier_refill,
