@@ -79,14 +79,26 @@ def _damaged_lines(t: Tables) -> DataFrame:
     return rows.select(F.when(cut, F.substring(line, F.lit(1), F.length(line) - 5)).otherwise(line).alias("value"))
 
 
+def _split_lines(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Both parts of the damaged lines, from one pass over them per application."""
+    path = f"{t.working_folder()}/damaged_lines"
+    if path not in _split:
+        store.split_lenient(_damaged_lines(t), path)
+        _split.add(path)
+    return store.read_split(t.spark, path)
+
+
+_split: set[str] = set()
+
+
 def scan_results_lenient(t: Tables) -> DataFrame:
     """What decodes of the damaged lines."""
-    return flat_results(store.decode_lenient(_damaged_lines(t))[0])
+    return flat_results(_split_lines(t)[0])
 
 
 def scan_results_rejects(t: Tables) -> DataFrame:
     """What does not decode, by its URL."""
-    rejects = store.decode_lenient(_damaged_lines(t))[1]
+    rejects = _split_lines(t)[1]
     return rejects.select(F.regexp_extract("value", '"url":"([^"]*)"', 1).alias("url"))
 
 

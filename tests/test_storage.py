@@ -161,3 +161,18 @@ def test_possible_urls_of_a_key(spark):
     df = spark.createDataFrame([(k,) for k in keys], "key string")
     got = df.select("key", filters._possible_urls(F.col("key")).alias("u")).collect()
     assert {r["key"]: r["u"] for r in got} == {k: filters.possible_urls(k) for k in keys}
+
+
+def test_lenient_reads_split_in_one_pass(spark, tmp_path):
+    good = '{"url":"http://a/","status_code":200,"emails":["a@b.org"],"keywords":{"k":2}}'
+    texts = [good, good[:-5], "", "  ", "[1]", "null", '{"url": 5', "{}", "text"]
+    lines = spark.createDataFrame([(t,) for t in texts], "value string")
+    plain, parts = store.decode_lenient(lines), store.split_lenient(lines, str(tmp_path / "split"))
+    for a, b in zip(plain, parts):
+        assert a.schema.names == b.schema.names and sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    assert parts[0].count() == 2 and parts[1].count() == 5
+    plan = store.mark_lenient(spark.read.parquet(str(tmp_path / "split")).select("value"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    assert "PartitionFilters: [isnotnull(rejected" in parts[0]._jdf.queryExecution().executedPlan().toString()
+    none, rejects = store.split_lenient(lines.limit(0), str(tmp_path / "empty"))
+    assert none.count() == rejects.count() == 0
