@@ -17,27 +17,26 @@ def priority(depth: Column, timestamp: Column) -> Column:
     return depth.cast("bigint") * 1000 + F.unix_seconds(timestamp)
 
 
-def _cumulative_cut(counts: DataFrame, k: int | Column) -> DataFrame:
-    """First ``slot`` at which the running total reaches ``k``, with the total before it."""
-    running = F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
+def _cumulative_cut(counts: DataFrame, k: int, start: Column) -> DataFrame:
+    """First ``slot`` at which the running total, from ``start`` on, reaches ``k``, with the total before it and its own count."""
+    running = start + F.sum("n").over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0))
     return (counts.withColumn("upto", running).filter(F.col("upto") >= k)
-                  .agg(F.min_by(F.struct("slot", (F.col("upto") - F.col("n")).alias("before")), "slot")
-                        .alias("cut")).select("cut.slot", "cut.before"))
+                  .agg(F.min_by(F.struct("slot", (F.col("upto") - F.col("n")).alias("before"), F.col("n").alias("tied")), "slot")
+                        .alias("cut")).select("cut.*"))
 
 
 def priority_cutoff(frontier: DataFrame, k: int) -> DataFrame:
-    """One row ``cutoff``: the priority of the k-th best row, NULL when there are fewer.
+    """One row: ``cutoff``, the priority of the k-th best row, and how many rows come before it and are tied at it.
 
-    Found from counts per day and then per second of one day, which are tiny,
+    NULLs where there are fewer rows. Found from counts per day and then per second of one day, which are tiny,
     instead of from a sort of the frontier.
     """
     ranked = frontier.select(priority(F.col("depth"), F.col("timestamp")).alias("p"))
     per_day = ranked.groupBy(F.floor(F.col("p") / _DAY).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    day = _cumulative_cut(per_day, k).select(F.col("slot").alias("day"), F.col("before").alias("day_before"))
+    day = _cumulative_cut(per_day, k, F.lit(0)).select(F.col("slot").alias("day"), F.col("before").alias("day_before"))
     inside = ranked.join(F.broadcast(day), F.floor(F.col("p") / _DAY) == F.col("day"))
     per_second = inside.groupBy(F.col("p").alias("slot"), "day_before").agg(F.count(F.lit(1)).alias("n"))
-    return _cumulative_cut(per_second, F.lit(k) - F.col("day_before")).select(
-        F.col("slot").alias("cutoff"))
+    return _cumulative_cut(per_second, k, F.col("day_before")).withColumnRenamed("slot", "cutoff")
 
 
 def first_by_url(tied: DataFrame, k: int) -> DataFrame:
@@ -66,11 +65,10 @@ def frontier_batch(frontier: DataFrame, k: int) -> DataFrame:
     over several tasks.
     """
     ranked = frontier.withColumn("priority", priority(F.col("depth"), F.col("timestamp")))
-    cutoff = priority_cutoff(frontier, k).first()["cutoff"]
+    cutoff, before, tied = priority_cutoff(frontier, k).first()
     if cutoff is None:
         return ranked.orderBy("priority", "url")
     upto = ranked.filter(F.col("priority") <= cutoff)
-    before, tied = upto.agg(F.count_if(F.col("priority") < cutoff), F.count_if(F.col("priority") == cutoff)).first()
     if before + tied > k:  # not all of the tied rows belong to the batch
         upto = upto.filter(F.col("priority") < cutoff).unionByName(
             first_by_url(upto.filter(F.col("priority") == cutoff), k - before))
