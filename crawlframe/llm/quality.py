@@ -18,7 +18,7 @@ FACTORS = 8
 #: Upper bounds of the bins each structure statistic falls in.
 BINS = (0.0, 0.002, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 SIZE_BINS = tuple(2.0 ** k for k in range(0, 24))
-#: Labelled rows of either class the machine is fitted on, and their longest text.
+#: Labelled rows of either class the machine is fitted on, and the characters learnt of a text.
 TRAIN_ROWS, TRAIN_CHARS = 3_000, 20_000
 STEPS, BATCH, RATE, DECAY = 600, 128, 0.02, 1e-4
 THRESHOLD = 0.7
@@ -167,8 +167,8 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Machine | float
 def with_quality(docs: DataFrame, labels: DataFrame, column: str = "__score", per_class: int = TRAIN_ROWS) -> DataFrame:
     """``docs`` with the quality score of each text, between 0 and 1, in ``column``; other columns are kept.
 
-    The machine is fitted on at most ``per_class`` labelled rows of either class that are not held out, and scores
-    whole texts. Its metadata are sizes of the text itself; ids, languages and sources are no inputs. NULL counts as
+    The machine is fitted on at most ``per_class`` labelled rows of either class that are not held out, of long ones on
+    stretches of TRAIN_CHARS characters together, and scores whole texts. Its metadata are sizes of the text itself; ids, languages and sources are no inputs. NULL counts as
     the empty text, which is scored like others: it has no words, and a bin of each statistic. Without labels, or with
     one class only, each text gets the share of label 1. Repeated rows get equal scores. An empty table gives no rows.
     """

@@ -13,12 +13,12 @@ from .common import all_columns, fold_table, fresh, table, text_of
 from .labelled import held_out, labelled_sample
 
 #: Words in a window, and from one window's start to the next.
-WINDOW, STRIDE = 64, 48
+WINDOW, STRIDE = 64, 32
 WORD_BUCKETS, CHAR_BUCKETS = 1 << 14, 1 << 15
 WORD_DIM, CHAR_DIM, HIDDEN = 8, 8, 8
 #: Lengths of the character sequences of a word, its start and end counting as a character.
 GRAMS = (3, 4, 5)
-#: Labelled rows of either class that the network is fitted on, and their longest text.
+#: Labelled rows of either class that the network is fitted on, and the characters learnt of a text.
 TRAIN_ROWS, TRAIN_CHARS = 1_500, 20_000
 #: Steps of the fit, windows in a step, and rate of the first steps.
 STEPS, BATCH, RATE = 400, 128, 0.01
@@ -353,8 +353,9 @@ class Scorer:
 def with_toxicity(docs: DataFrame, labels: DataFrame, column: str = "__score", per_class: int = TRAIN_ROWS) -> DataFrame:
     """``docs`` with the toxicity score of each text, between 0 and 1, in ``column``; other columns are kept.
 
-    The network is fitted on at most ``per_class`` labelled rows of either class that are not held out, and scores
-    all overlapping windows of each whole text; the highest decides. NULL and empty texts, and texts without words,
+    The network is fitted on at most ``per_class`` labelled rows of either class that are not held out, of long ones on
+    stretches of TRAIN_CHARS characters together. It scores windows of WINDOW words, each STRIDE words on, of each whole
+    text: every run of up to WINDOW - STRIDE + 1 words lies whole in a window. The highest window decides. NULL and empty texts, and texts without words,
     score 0. Without labels, or with one class only, every text with words gets the share of label 1. Repeated rows
     get equal scores. An empty table gives no rows.
     """
@@ -376,7 +377,11 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, column: str = "__score", p
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below ``threshold``, with all columns."""
+    """The rows of ``docs`` that score below ``threshold``, with all columns.
+
+    NULL and empty texts score 0 and stay, unless ``threshold`` is 0. Repeated rows score alike, so all or none of them
+    stay; a score equal to ``threshold`` goes. An empty table gives no rows.
+    """
     score, = fresh(docs, "__score")
     return with_toxicity(docs, labels, score).where(F.col(score) < threshold).select(all_columns(docs))
 

@@ -1,7 +1,9 @@
 """Toxicity, quality and page extraction: held-out accuracy, gradients, and hand-made cases."""
 
 import html
+import math
 import re
+import time
 
 import numpy as np
 import pytest
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from crawlframe.llm import html_extract, quality, toxicity
 from crawlframe.llm.common import table
 from crawlframe.llm.dom import parse
+from crawlframe.llm.labelled import held_out, labelled_sample
 
 LARGER = "/root/testdata/sf0.01"
 
@@ -55,6 +58,72 @@ def test_gradients_of_the_network():
             assert (up - down) / (2 * step) == pytest.approx(g.ravel()[i], rel=0.05, abs=2e-4), name
 
 
+def plain_score(net, text):
+    """The highest score of a text's windows, by loops over words, gates and numbers."""
+    words, best = toxicity.tokens(text), 0.0
+    logistic = lambda v: 1 / (1 + math.exp(-v))
+    size, n = toxicity.HIDDEN, max(0, len(words) - toxicity.WINDOW)
+    for k in range(1 + -(-n // toxicity.STRIDE) if words else 0):
+        window = words[k * toxicity.STRIDE:k * toxicity.STRIDE + toxicity.WINDOW]
+        inputs = []
+        for word in window:
+            own, grams, _ = toxicity.features([word])
+            chars = [sum(float(net.p["char"][g][j]) for g in grams) / math.sqrt(len(grams) or 1) for j in range(toxicity.CHAR_DIM)]
+            inputs.append([float(x) for x in net.p["word"][own[0]]] + chars)
+        states = {}
+        for d in "fb":
+            W, U, c = (net.p[f"{x}{d}"].tolist() for x in "WUc")
+            h, states[d] = [0.0] * size, [None] * len(window)
+            for t in range(len(window)) if d == "f" else reversed(range(len(window))):
+                x = [c[j] + sum(v * W[i][j] for i, v in enumerate(inputs[t])) for j in range(3 * size)]
+                u = [sum(v * U[i][j] for i, v in enumerate(h)) for j in range(3 * size)]
+                r, z = ([logistic(x[j] + u[j]) for j in range(o, o + size)] for o in (0, size))
+                new = [math.tanh(x[2 * size + j] + r[j] * u[2 * size + j]) for j in range(size)]
+                h = [(1 - z[j]) * new[j] + z[j] * h[j] for j in range(size)]
+                states[d][t] = h
+        both = [f + b for f, b in zip(states["f"], states["b"])]
+        dot = lambda a, b: sum(float(x) * float(y) for x, y in zip(a, b))
+        weights = [math.exp(dot(h, net.p["attend"])) for h in both]
+        pooled = [sum(w * h[j] for w, h in zip(weights, both)) / sum(weights) for j in range(2 * size)]
+        best = max(best, logistic(dot(pooled, net.p["out"]) + float(net.p["bias"][0])))
+    return best
+
+
+def test_scores_against_plain_loops():
+    net = toxicity.Network.random(3)
+    rng = np.random.default_rng(5)
+    for d in "fb":
+        net.p[f"c{d}"] = rng.normal(0, 0.5, 3 * toxicity.HIDDEN).astype(np.float32)
+    some = [f"wörd{i} is{i * 7 % 11}" for i in range(90)]
+    texts = ["one", "", "Some, words! HERE", " ".join(some), " ".join(some[:32]), " ".join(some[:33]), "same " * 70, " \t", "ab " + "é" * 300]
+    scorer = toxicity.Scorer(net)
+    for found in (scorer.scores(texts), np.concatenate([scorer.scores([t]) for t in texts])):
+        assert found == pytest.approx([plain_score(net, t) for t in texts], abs=2e-5)
+
+
+def test_sample_meets_the_documents_before_it_is_cut(spark):
+    labels = spark.range(20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    docs = spark.range(200).select((F.col("id") * 100 + F.col("id") % 2).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    texts, given = labelled_sample(docs, labels, "toxic", 60, 1_000)
+    usable = {r["text"]: r["doc_id"] % 2 for r in docs.where(~held_out()).collect()}
+    assert len(set(texts)) == len(texts) and given.count(0) == given.count(1) == 60
+    assert all(usable[t] == y for t, y in zip(texts, given))
+
+
+def test_long_texts_are_learnt_by_stretches(spark):
+    words = " ".join(f"w{i}" for i in range(3_000))
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit(words).alias("text"))
+    docs = docs.union(spark.createDataFrame([(1, None), (1, "z"), (None, words), (50, "short")], "doc_id long, text string"))
+    docs = docs.union(spark.range(5_000).selectExpr("7L", "'again'"))
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")).union(spark.createDataFrame([(None, 1)], "a long, b int"))
+    texts, given = labelled_sample(docs, labels, "quality", 100, 400)
+    assert len(texts) == len(docs.where(~held_out()).select("doc_id").distinct().collect()) and set(given) == {1}
+    long = [t for t in texts if len(t) > 5]
+    assert len(long) > 20 and all(len(t) == 403 and all(x in words for x in t.split("\n")) for t in long)
+    assert len(set(long)) == len(long)  # places differ by id
+    assert all(words.index(x) // (len(words) // 4) == i for t in long for i, x in enumerate(t.split("\n")))
+
+
 def test_windows_overlap_and_cover_every_word():
     sizes = np.array([0, 1, 64, 65, 500])
     doc, start, length = toxicity.windows_of(sizes)
@@ -164,6 +233,45 @@ def test_silent_elements_end_where_they_should(page, text):
     assert [t for _, t, _ in parse(page).blocks] == text.split("|")
 
 
+@pytest.mark.parametrize("kind", ["<a ", '<a ">"', "<a '\">", "<div>", "<ul><li>", "<a<a", "<b><div><i></b>", "<!-- <", "<select>", "<p>", "<x y='",
+                                  "<a>", "<td><p>", "<div>|</p>", "<b><div>|<i>|</b>", "<svg>|</svg>", "<table>|</li>"])
+def test_parsing_takes_time_near_the_length(kind):
+    def took(size):
+        page = "".join(part * (size // len(kind)) for part in kind.split("|"))
+        best = math.inf
+        for _ in range(2):
+            begin = time.process_time()
+            parse(page)
+            best = min(best, time.process_time() - begin)
+        return best
+
+    took(10_000)
+    assert took(400_000) < 3.5 * took(200_000) + 0.1
+
+
+def test_tags_end_at_quotes_as_they_did():
+    blocks = lambda page: [t for _, t, _ in parse(page).blocks]
+    assert blocks('<a title="x > y">one</a> two') == ["one two"]
+    assert blocks('<a title="x > y>one</a> two') == ["y>one two"]  # a quote that never ends: the first ">" counts
+    assert blocks("<p 'a' \"b\">one < two <3 > four <p") == ["one < two <3 > four <p"]
+    assert blocks('<a ">"<a ">"<p>one') == ['"<a ">"', "one"]
+
+
+def test_pages_are_learnt_from_however_rare_marks_are(spark, monkeypatch):
+    bare = spark.range(3_000).selectExpr("concat('<p>', id, '</p>') AS html")
+    marked = spark.range(5).selectExpr("concat('<main><p>Words of page ', id, '.</p></main>') AS html")
+    copies = spark.range(500).selectExpr("'<article><p>Copy.</p></article>' AS html")
+    long = spark.range(3).selectExpr("concat('<article><p>', repeat('long words ', 100), id, '</p></article>') AS html")
+    seen = []
+    monkeypatch.setattr(html_extract, "labelled_pages", lambda pages: (seen.append(pages), ([], []))[1])
+    monkeypatch.setattr(html_extract, "fit", lambda trees, labels: None)
+    monkeypatch.setattr(html_extract, "TRAIN_CHARS", 300)
+    html_extract.fitted(bare.union(marked).union(copies).union(long), most=10)
+    assert len(seen[0]) == len(set(seen[0])) == 8 and sum(map(len, seen[0])) <= 10 * 300 + 600
+    html_extract.fitted(bare.union(marked).union(copies).union(long), most=6)
+    assert len(seen[1]) == 6 and all(len(p) < 300 for p in seen[1])
+
+
 def test_icons_buttons_and_formulas_lose_no_article_text(spark, sf_dir):
     model = html_extract.fitted(table(spark, sf_dir, "pages"))
     page = PAGE.replace("First paragraph", '<svg class="icon"/>First paragraph').replace("<p>Short.</p>", "<button>Share<p>Short.</p>")
