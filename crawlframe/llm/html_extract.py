@@ -36,7 +36,7 @@ N_KINDS = 4
 _TAG_AT = {t: i for i, t in enumerate(TAGS)}
 _GOOD, _BAD = frozenset(GOOD), frozenset(BAD)
 
-#: Labelled pages the model is fitted on, and their longest markup.
+#: Labelled pages the model is fitted on, and the characters of a page up to which it is taken before longer ones.
 TRAIN_PAGES, TRAIN_CHARS = 400, 200_000
 STEPS, RATE, PULL = 150, 0.1, 0.01
 THRESHOLD = 0.5
@@ -251,17 +251,24 @@ def main_texts(model: TreeModel, pages: list[str]) -> list[tuple[str, int, int]]
 
 
 def fitted(pages: DataFrame, most: int = TRAIN_PAGES) -> TreeModel:
-    """A model fitted on at most ``most`` pages of at most TRAIN_CHARS characters, by a hash of the page.
+    """A model fitted on at most ``most`` different pages that hold a landmark, by a hash of the page.
 
-    Only as large a share of the hash values is looked at as holds four times ``most`` pages, so that tasks together
-    send a bounded number of pages, however many there are.
+    Pages of at most TRAIN_CHARS characters come first; longer ones fill what is left, as long as all together have at
+    most ``most`` times as many characters. Hashes alone are sorted; the pages chosen are read by a second look at the
+    table, so what is sent is bounded however many pages there are, and copies count once.
     """
-    share = min(1.0, 4.0 * most / max(1, pages.count()))
-    some = (pages.select(F.col("html").cast("string").alias("html"))
-            .where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-            .where(F.length("html").between(1, TRAIN_CHARS) & F.lower("html").rlike("<(article|main)[ >]"))
-            .orderBy(F.xxhash64("html"), "html").limit(most).collect())
-    return fit(*labelled_pages([r["html"] for r in some]))
+    marked = (pages.select(F.col("html").cast("string").alias("html")).where(F.lower("html").rlike("<(article|main)[ >]"))
+              .withColumn("print", F.xxhash64("html")))
+    some = (marked.select("print", F.length("html").alias("size")).distinct()
+            .orderBy(F.col("size") > TRAIN_CHARS, "print", "size").limit(most).collect())
+    chosen, room = [], most * TRAIN_CHARS
+    for row in some:
+        if row["size"] <= room:
+            room -= row["size"]
+            chosen.append(row["print"])
+    ids = pages.sparkSession.createDataFrame([(x,) for x in sorted(set(chosen))], "print long")
+    found = marked.join(F.broadcast(ids), "print").groupBy("print").agg(F.min("html").alias("html")).collect()
+    return fit(*labelled_pages([r["html"] for r in sorted(found, key=lambda r: r["print"])]))
 
 
 def with_main_text(pages: DataFrame, column: str = "__main", most: int = TRAIN_PAGES) -> DataFrame:
