@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,7 +14,7 @@ from .common import fresh, table, text_of
 #: A file of base64 token and rank per line, and the pattern that splits text for it.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A string of at least this many characters, with a letter and a digit, is random at this many characters per token.
+#: A string of at least this many characters, other than a number or a run of words, is random at this many characters per token.
 SHORTEST, RATIO = 16, 2.0
 KINDS = ("assign", "access", "hex", "token")
 
@@ -24,11 +23,13 @@ _KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # runs are greedy, so shorter ones fail as a whole
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
-_LETTER, _DIGIT = re.compile(r"[A-Za-z]"), re.compile(r"[0-9]")
 #: Known digests (hexadecimal MD5, SHA-1, SHA-2) and identifiers (UUIDs, names of words and numbers set apart by marks).
-_KNOWN = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}"
-                    r"|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
-                    r"|(?:[A-Za-z]+|[0-9]+)(?:[-_/+=]+(?:[A-Za-z]+|[0-9]+))*[-_/+=]*)", re.I)
+_WORD = r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)"
+_KNOWN = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}"
+                    r"|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+                    rf"|[-_/+=]*{_WORD}(?:[-_/+=]+{_WORD})*[-_/+=]*|[-_/+=]+)")
+#: Marks that join strings into paths and assignments, but may also stand inside a random string.
+_PIECE = re.compile(r"[^/=]+")
 
 Span = tuple[int, int, int]  # start, number of the kind, end
 
@@ -56,28 +57,60 @@ class RandomStrings:
         self.ratio = ratio
 
     def spans(self, text: str, taken: list[Span]) -> list[Span]:
-        """Spans that overlap none of ``taken``, are no known digest or identifier, and have a low ratio."""
-        out, upto, ends = [], 0, []
-        for _, _, end in taken:  # the furthest end so far, to look an overlap up in
-            ends.append(upto := max(upto, end))
-        starts = [a for a, _, _ in taken]
-        for m in _CANDIDATE.finditer(text):
-            string, start, end = m[0], m.start(), m.end()
-            if not (_DIGIT.search(string) and _LETTER.search(string)) or _KNOWN.fullmatch(string):
-                continue
-            before = bisect_left(starts, end)
-            if before and ends[before - 1] > start:
-                continue
-            if len(string) <= self.ratio * len(self.encoding.encode_ordinary(string)):
-                out.append((start, 3, end))
+        """Spans that overlap none of ``taken``, are no known digest or identifier, and have a low ratio.
+
+        Runs of the alphabet are cut at ``taken``. What is left is judged piece by piece between "/" and "=": pieces that
+        are words, numbers, digests or of a high ratio are left out, and the strings made of the others that follow one
+        another, with the marks between them, are tested as a whole.
+        """
+        out = []
+        for start, end in free_runs(text, taken):
+            first = last = -1
+            for m in _PIECE.finditer(text, start, end):
+                if self.plain(m[0]):
+                    self._test(text, first, last, out)
+                    first = -1
+                else:
+                    first, last = m.start() if first < 0 else first, m.end()
+            self._test(text, first, last, out)
         return out
 
+    def plain(self, string: str) -> bool:
+        return bool(_KNOWN.fullmatch(string)) or len(string) > self.ratio * len(self.encoding.encode_ordinary(string))
+
+    def _test(self, text: str, start: int, end: int, out: list[Span]) -> None:
+        if start >= 0 and end - start >= SHORTEST and not self.plain(text[start:end]):
+            out.append((start, 3, end))
+
+
+def free_runs(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
+    """Parts of at least SHORTEST characters of the runs of the alphabet that ``taken``, sorted, leaves."""
+    cuts, upto = [], 0
+    for start, _, end in taken:  # as stretches that do not overlap
+        if end > upto:
+            cuts.append((max(start, upto), end))
+            upto = end
+    nth = 0
+    for m in _CANDIDATE.finditer(text):
+        at, end = m.span()
+        while nth < len(cuts) and cuts[nth][1] <= at:
+            nth += 1
+        here = nth
+        while here < len(cuts) and cuts[here][0] < end:
+            if cuts[here][0] - at >= SHORTEST:
+                yield at, cuts[here][0]
+            at = max(at, cuts[here][1])
+            here += 1
+        if end - at >= SHORTEST:
+            yield at, end
+
 
 def with_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = RATIO, column: str = "__spans") -> DataFrame:
     """``docs`` with an array of structs (kind, start, end) in ``column``; positions are code points, ends exclusive.
 
     Kinds are those of KINDS: three fixed patterns, and ``token`` for strings with at most ``ratio`` characters per
-    token of the vocabulary, which the fixed patterns do not touch. Spans come by start, then kind. NULL and empty
+    token of the vocabulary, outside the spans of the fixed patterns (see ``RandomStrings.spans``). Letters of one case
+    alone count as a word, so a random string without digits is found only in mixed case. Spans come by start, then kind. NULL and empty
     texts have none. Rows are independent: repeated rows get equal spans, and an empty table gives no rows. The
     vocabulary file is read by the driver and broadcast; its size does not depend on the documents.
     """
