@@ -71,8 +71,7 @@ def temperature(shares: Sequence[float], entropy_share: float = ENTROPY_SHARE, m
 
 def token_count(text: Column) -> Column:
     """Runs of characters other than ASCII white space."""
-    trimmed = F.regexp_replace(F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+", ""), r"[ \t\n\x0B\f\r]+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[ \t\n\x0B\f\r]+"))).cast("long")
+    return F.size(F.array_remove(F.split(text, r"[ \t\n\x0B\f\r]+"), "")).cast("long")
 
 
 def mixture(docs: DataFrame, budget_share: float = 1.0, entropy_share: float = ENTROPY_SHARE, most_passes: float = MOST_PASSES,

@@ -1,9 +1,11 @@
 """Source mixing against a version in plain Python."""
 
 import math
+import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from crawlframe.llm import mixing
 from crawlframe.llm.common import table
@@ -61,6 +63,44 @@ def test_mix_keeps_budgets_and_permutes(spark, sf_dir, monkeypatch, stretch):
         assert abs(own["hot"] - hot * 2 * total / len(blocks)) <= 2 * longest
 
 
+def plain_mix(rows, hashes, budget_share, entropy_share, most_passes, block_tokens):
+    """(doc_id, epoch) to (tokens, block): a source's passes one after another, each sorted by its hash, cut at the budget."""
+    size = {i: len(re.findall(r"[^ \t\n\x0b\f\r]+", t or "")) for i, _, t in rows}
+    members = defaultdict(list)
+    for i, source, _ in rows:
+        members[source].append(i)
+    have = {s: sum(size[i] for i in ids) for s, ids in members.items()}
+    total, names = sum(have.values()), sorted((s for s in have if have[s]), key=lambda s: (s is None, s or ""))
+    shares = [have[s] / total for s in names]
+    weights = mixing.mix_of(shares, mixing.temperature(shares, entropy_share, most_passes, budget_share))
+    blocks, out = max(1, round(budget_share * total / block_tokens)), {}
+    for s, weight in zip(names, weights):
+        budget, at, epoch = weight * budget_share * total, 0, 0
+        while at < budget - 1e-6:
+            for i in sorted(members[s], key=lambda i: (hashes[i, epoch], i)):
+                if at < budget:
+                    out[i, epoch] = (size[i], min(blocks - 1, math.floor(at / budget * blocks)))
+                at += size[i]
+            epoch += 1
+    return out
+
+
+@pytest.mark.parametrize("stretch", [4_000, 5])
+def test_mix_row_by_row(spark, sf_dir, monkeypatch, stretch):
+    monkeypatch.setattr(mixing, "STRETCH", stretch)
+    docs = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "CASE WHEN doc_id % 13 = 0 THEN NULL WHEN doc_id % 17 = 0 THEN ' \n' ELSE concat(' \t', text, '\f ') END AS text",
+        "CASE WHEN doc_id % 3 = 0 THEN 'hot' WHEN doc_id % 7 = 0 THEN NULL ELSE source END AS source")
+    settings = dict(budget_share=1.7, entropy_share=0.99, most_passes=5.0, block_tokens=3_000)
+    inner = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", "source", "text", *[F.xxhash64(F.lit(0), F.lit(e), inner).alias(f"h{e}") for e in range(8)]).collect()
+    hashes = {(r["doc_id"], e): r[f"h{e}"] for r in rows for e in range(8)}
+    expected = plain_mix([(r["doc_id"], r["source"], r["text"]) for r in rows], hashes, **settings)
+    found = mixing.mixture(docs, **settings).collect()
+    assert {(r["doc_id"], r["epoch"]): (r["n_tokens"], r["block"]) for r in found} == expected and len(found) == len(expected)
+    assert max(e for _, e in expected) > 1
+
+
 def test_awkward_rows(spark, odd_dir):
     docs = table(spark, odd_dir, "documents")
     mixed = mixing.mixture(docs)
