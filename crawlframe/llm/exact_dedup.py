@@ -114,7 +114,8 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts; all columns stay.
 
-    Rows that repeat both doc_id and text differ in other columns at most; any one of them stays.
+    Rows that repeat both doc_id and text differ in other columns at most; any one of them stays. NULL and empty texts
+    are one group, whose row of the largest doc_id stays, NULL ranking below all ids. An empty table gives no rows.
     """
     found = stored(exact_duplicates(docs), "exact")
     repeated = found.where(F.col("group_size") > 1)
@@ -122,9 +123,9 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     sha, suspect, own_id, keep = fresh(docs, "__sha", "__suspect", "__id", "__keep")
     marked = docs.withColumns({sha: F.sha2(text_of("text"), 256), suspect: passes(F.xxhash64(text_of("text")))})
     keepers = found.where("kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(keep))
-    chosen = (marked.where(suspect)
-              .join(keepers, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(sha) == F.col(keep)), "left_semi")
-              .dropDuplicates(["doc_id", sha]))
+    # keepers are unique, so this is a lookup; as a plain join it stays behind the grouping, which starts before the shuffle
+    chosen = (marked.where(suspect).dropDuplicates(["doc_id", sha])
+              .join(keepers, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(sha) == F.col(keep))).drop(own_id, keep))
     return marked.where(~F.col(suspect)).unionByName(chosen).select(all_columns(docs))
 
 

@@ -194,7 +194,8 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest doc_id, NULL counting as the largest; all columns stay.
 
     Where several rows of a component have that doc_id, the one of the smallest fingerprint stays, then that of the
-    smallest hash of its text. Rows that share a doc_id, or have none, go only as members of a component.
+    smallest hash of its text. Rows that share a doc_id, or have none, go only as members of a component. NULL and empty
+    texts are one component; of repeated rows one stays. An empty table gives no rows.
     """
     found = stored(near_duplicates(docs), "simhash-found")
     sizes = found.groupBy("root").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
@@ -206,11 +207,12 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     chosen = (found.groupBy("root").agg(F.min(F.struct(id_of.alias("i"), "fp")).alias("first"))
               .select(F.col("first.i").alias(own_id), F.col("first.fp").alias(own_fp)))
     marked = docs.withColumn(suspect, passes(key("doc_id")))
-    # one row of each id and fingerprint before the join, so that rows without an id do not meet in one task
-    single = (marked.where(suspect).select(id_of.alias(own_id), fingerprint_of("text").alias(own_fp),
+    # one row of each id and fingerprint before the join, so that rows equal in both do not meet in one task; the plain
+    # join keeps that order, and keys that cannot be NULL keep a test for NULL, and with it all rows' fingerprints, out
+    single = (marked.where(suspect).select(id_of.alias(own_id), F.coalesce(fingerprint_of("text"), F.lit(0)).alias(own_fp),
                                            F.xxhash64(text_of("text")).alias(suspect), F.struct(*all_columns(docs)).alias(row))
               .groupBy(own_id, own_fp).agg(F.min_by(row, suspect).alias(row)))
-    kept = single.join(chosen, [own_id, own_fp], "left_semi").select(f"{row}.*")
+    kept = single.join(chosen, [own_id, own_fp]).select(f"{row}.*")
     return marked.where(~F.col(suspect)).select(all_columns(docs)).unionByName(kept)
 
 
