@@ -121,7 +121,8 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
     repeated = found.where(F.col("group_size") > 1)
     passes = membership_filter(repeated.select("fp").distinct())
     sha, suspect, own_id, keep = fresh(docs, "__sha", "__suspect", "__id", "__keep")
-    marked = docs.withColumns({sha: F.sha2(text_of("text"), 256), suspect: passes(F.xxhash64(text_of("text")))})
+    # a hash that cannot be NULL, so that no test for NULL works it out for all rows
+    marked = docs.withColumns({sha: F.coalesce(F.sha2(text_of("text"), 256), F.lit("")), suspect: passes(F.xxhash64(text_of("text")))})
     keepers = found.where("kept").select(F.col("doc_id").alias(own_id), F.col("text_sha256").alias(keep))
     # keepers are unique, so this is a lookup; as a plain join it stays behind the grouping, which starts before the shuffle
     chosen = (marked.where(suspect).dropDuplicates(["doc_id", sha])

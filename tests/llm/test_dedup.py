@@ -219,3 +219,14 @@ def test_components_of_paths_stars_and_nothing(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {200 + i: 100 for i in range(50)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_filters_group_equal_rows_before_the_join_and_look_at_suspected_texts_alone(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    for kept, costly in ((simhash.without_near_duplicates(docs), "of(cast("), (exact_dedup.without_duplicates(docs), "sha2(")):
+        lines = kept._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        at = {k: next(i for i, line in enumerate(lines) if k in line) for k in ("Join Inner", "Aggregate [")}
+        assert at["Join Inner"] < at["Aggregate ["]
+        # the costly expression is worked out above the filter of suspected rows, which is a line further down
+        places = [i for i, line in enumerate(lines) if costly in line]
+        assert len(places) == 1 and places[0] < next(i for i, line in enumerate(lines) if "Filter pythonUDF" in line)
