@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType
 
-from .common import all_columns, fold_table, fresh, table, text_of
+from .common import all_columns, fold_table, fresh, stored, table, text_of
 
 WINDOW = 10
 #: Benchmark windows, and bytes of their text, that one pass searches for; more take further passes.
@@ -111,21 +113,41 @@ def pieces_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
-                   pass_windows: int = PASS_WINDOWS) -> tuple[DataFrame, list[str]]:
-    """``docs`` with a struct column of HITS for each pass, and the names of these columns.
+                   pass_windows: int = PASS_WINDOWS) -> tuple[DataFrame, str]:
+    """``docs`` with a struct column of HITS, and its name; of several passes the starts and ends are not merged yet.
 
-    Each pass broadcasts at most about ``pass_windows`` windows or PASS_BYTES of benchmark text; the number of passes
-    grows with the benchmark, and each is a narrow map, so no text of a document is shuffled.
+    Each pass gathers and broadcasts at most about ``pass_windows`` windows or PASS_BYTES of benchmark text; the number
+    of passes grows with the benchmark. One pass is a narrow map. Several run one after another over the rows, stored
+    with a number: each stores the hits of the rows that have some and drops its tables before the next one starts, so
+    a task never holds more than one pass's tables. Only these hits are shuffled, no text of a document is.
     """
     pieces = pieces_of(benchmark, window)
     size = pieces.agg(F.sum("windows"), F.sum(F.octet_length("words"))).first()
     passes = max(1, math.ceil((size[0] or 0) / pass_windows), math.ceil((size[1] or 0) / PASS_BYTES))
-    names, out = fresh(docs, *[f"__hits_{k}" for k in range(passes)]), docs
+    name, row, found = fresh(docs, "__hits", "__row", "__found")
+    text = text_of("text").cast("binary")
+    if passes == 1:
+        return docs.withColumn(name, _search(_shared(pieces), window)(text)), name
+    pieces = stored(pieces, "benchmark-pieces")
+    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "benchmark-rows")
+    parts = []
     for k in range(passes):
-        own = pieces if passes == 1 else pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(passes)) == k)
-        shared = docs.sparkSession.sparkContext.broadcast([(r["item"], bytes(r["words"])) for r in own.select("item", "words").distinct().collect()])
-        out = out.withColumn(names[k], _search(shared, window)(text_of("text").cast("binary")))
-    return out, names
+        shared = _shared(pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(passes)) == k))
+        hits = rows.select(F.col(row).alias("row"), _search(shared, window)(text).alias("hits"))
+        parts.append(stored(hits.where(F.size("hits.starts") > 0), f"benchmark-hits-{k}"))
+        shared.destroy()
+    lists = [F.flatten(F.collect_list(f"hits.{c}")).alias(c) for c in ("starts", "ends", "items")]
+    together = (reduce(DataFrame.unionByName, parts).groupBy(F.col("row").alias(row))
+                .agg(F.max("hits.n_words").alias("n_words"), *lists).select(row, F.struct("n_words", "starts", "ends", "items").alias(found)))
+    none = [F.array().cast(f"array<{kind}>").alias(c) for c, kind in (("starts", "int"), ("ends", "int"), ("items", "string"))]
+    out = rows.join(stored(together, "benchmark-hits"), row, "left")
+    return out.withColumn(name, F.coalesce(found, F.struct(_word_count(text).alias("n_words"), *none))).drop(row, found), name
+
+
+def _shared(pieces: DataFrame):
+    """The pieces of one pass, broadcast."""
+    own = [(r["item"], bytes(r["words"])) for r in pieces.select("item", "words").distinct().collect()]
+    return pieces.sparkSession.sparkContext.broadcast(own)
 
 
 def _search(shared, window: int):
@@ -138,18 +160,22 @@ def _search(shared, window: int):
     return search
 
 
-def merged(names: list[str]) -> Column:
+@F.pandas_udf(LongType())
+def _word_count(texts: pd.Series) -> pd.Series:
+    return pd.Series([len(benchmark_words(bytes(t))) for t in texts], dtype="int64")
+
+
+def merged(name: str) -> Column:
     """The passes' hits as one struct: n_words, n_hit, spans, items."""
-    spans = F.array_sort(F.flatten(F.array(*[F.arrays_zip(F.col(f"{n}.starts").alias("start"), F.col(f"{n}.ends").alias("end")) for n in names])))
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[f"{n}.items" for n in names]))))
+    spans = F.array_sort(F.arrays_zip(F.col(f"{name}.starts").alias("start"), F.col(f"{name}.ends").alias("end")))
     seen = F.aggregate(spans, F.struct(F.lit(0).alias("n"), F.lit(0).alias("upto")), lambda s, x: F.struct(
         (s["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(x["start"], s["upto"]))).alias("n"),
         F.greatest(s["upto"], x["end"]).alias("upto")))
-    return F.struct(F.col(f"{names[0]}.n_words").alias("n_words"), seen["n"].cast("long").alias("n_hit"),
-                    spans.alias("spans"), items.alias("items"))
+    return F.struct(F.col(f"{name}.n_words").alias("n_words"), seen["n"].cast("long").alias("n_hit"), spans.alias("spans"),
+                    F.array_sort(F.array_distinct(f"{name}.items")).alias("items"))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, pass_windows: int = PASS_WINDOWS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_hit, spans of hit words, and the benchmark items found.
 
     A window is WINDOW consecutive words of an item, or all words of a shorter one; a word inside an occurrence of a
@@ -157,17 +183,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     count once; windows of an item without an id hit words but add no item. Rows that repeat a doc_id are judged
     each on their own. Empty tables give no rows, or rows without hits.
     """
-    found, names = benchmark_hits(docs.select("doc_id", "text"), benchmark)
-    return found.select("doc_id", merged(names).alias("hits")).select("doc_id", "hits.*")
+    found, name = benchmark_hits(docs.select("doc_id", "text"), benchmark, pass_windows=pass_windows)
+    return found.select("doc_id", merged(name).alias("hits")).select("doc_id", "hits.*")
+
 
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, pass_windows: int = PASS_WINDOWS) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark window occurs, with all columns.
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark window occurs, with all columns."""
-    found, names = benchmark_hits(docs, benchmark)
-    clean = F.lit(True)
-    for name in names:
-        clean = clean & (F.size(f"{name}.starts") == 0)
-    return found.where(clean).select(all_columns(docs))
+    NULL and empty texts, and texts without words, stay. Rows that repeat a doc_id or a text are judged each on their
+    own, so copies stay or go together. An empty benchmark, or one of items without words, takes nothing; an empty
+    table gives no rows. Columns of any name are kept.
+    """
+    found, name = benchmark_hits(docs, benchmark, pass_windows=pass_windows)
+    return found.where(F.size(f"{name}.starts") == 0).select(all_columns(docs))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,13 +111,46 @@ def test_benchmark_windows(spark, odd_dir, pass_windows):
                     hit.update(range(i, i + n))
                     items |= windows[tuple(w[i:i + n])]
         expected[(r["doc_id"], len(w), len(hit), tuple(sorted(x for x in items if x is not None)))] += 1
-    found, names = decontaminate.benchmark_hits(docs, benchmark, pass_windows=pass_windows)
-    rows = found.select("doc_id", decontaminate.merged(names).alias("h")).select("doc_id", "h.*").collect()
-    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in rows) == expected
-    kept = decontaminate.without_benchmark(docs, benchmark)
+    found = decontaminate.contamination(docs, benchmark, pass_windows)
+    assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in found.collect()) == expected
+    kept = decontaminate.without_benchmark(docs, benchmark, pass_windows)
     assert kept.columns == docs.columns and kept.count() == sum(k for x, k in expected.items() if not x[2])
 
 
+def test_a_task_holds_the_tables_of_one_pass(spark, odd_dir, monkeypatch):
+    docs, benchmark = table(spark, odd_dir, "documents"), table(spark, odd_dir, "benchmark")
+    searches, live = [], []
+    stored, shared = decontaminate.stored, decontaminate._shared
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner = inner
+            live.append(self)
+
+        value = property(lambda self: self.inner.value)
+
+        def __reduce__(self):
+            return self.inner.__reduce__()
+
+        def destroy(self):
+            live.remove(self)
+            self.inner.destroy()
+
+    def watched(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        if name.startswith("benchmark-hits-"):
+            searches.append((plan.count("search("), len(live)))
+        return stored(df, name)
+
+    monkeypatch.setattr(decontaminate, "stored", watched)
+    monkeypatch.setattr(decontaminate, "_shared", lambda pieces: Counted(shared(pieces)))
+    found = decontaminate.without_benchmark(docs, benchmark, pass_windows=2)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len(searches) > 2 and all(held == 1 for _, held in searches) and not live
+    assert {n for n, _ in searches} == {searches[0][0]} and "search(" not in plan
+    assert found.count() > 0
+
+
 def test_searcher_finds_overlapping_occurrences_of_all_lengths():
     tables = decontaminate.tables_for([("a", b"x y x y"), ("b", b"y"), ("c", b"x y x"), (None, b"z z")], window=3)
     assert decontaminate.find(tables, b"X-y x Y x! q z z z") == (9, [0, 6], [5, 9], ["a", "b", "c"])
