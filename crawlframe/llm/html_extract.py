@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import bounded_batches, table
+from .common import bounded_batches, fresh, table
 from .dom import Tree, parse
 
 TAGS = ("#root", "html", "body", "div", "section", "article", "main", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl",
@@ -281,7 +281,8 @@ def with_main_text(pages: DataFrame, column: str = "__main", most: int = TRAIN_P
     ``labelled_pages``); without such pages the prior decides.
 
     NULL and empty pages, and pages without text, give the empty text. Broken markup is read as far as it goes. Pages
-    are independent: repeated rows get equal texts, and an empty table gives no rows. Other columns are kept.
+    are independent: repeated rows get equal texts, and an empty table gives no rows. Other columns are kept,
+    and where one is named ``column`` the new one gets underscores before its name.
     """
     bounded_batches(pages.sparkSession)
     model = fitted(pages, most)
@@ -293,7 +294,7 @@ def with_main_text(pages: DataFrame, column: str = "__main", most: int = TRAIN_P
         for htmls in batches:
             yield pd.DataFrame(main_texts(own, htmls.tolist()), columns=["text", "kept", "blocks"])
 
-    return pages.withColumn(column, extract(F.coalesce(F.col("html").cast("string"), F.lit(""))))
+    return pages.withColumn(fresh(pages, column)[0], extract(F.coalesce(F.col("html").cast("string"), F.lit(""))))
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table, text_of
+from .common import fresh, table, text_of
 from .labelled import held_out, labelled_sample
 
 WORD_BUCKETS = 1 << 16
@@ -165,7 +165,8 @@ def train(texts: list[str], labels: list[int], seed: int = 0) -> Machine | float
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, column: str = "__score", per_class: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` with the quality score of each text, between 0 and 1, in ``column``; other columns are kept.
+    """``docs`` with the quality score of each text, between 0 and 1, in ``column``; other columns are kept, and where
+    one has that name the new one gets underscores before it.
 
     The machine is fitted on at most ``per_class`` labelled rows of either class that are not held out, of long ones on
     stretches of TRAIN_CHARS characters together, and scores whole texts. Its metadata are sizes of the text itself; ids, languages and sources are no inputs. NULL counts as
@@ -188,7 +189,7 @@ def with_quality(docs: DataFrame, labels: DataFrame, column: str = "__score", pe
             else:
                 yield pd.Series([], dtype="float64")
 
-    return docs.withColumn(column, score(text_of("text").cast("binary")))
+    return docs.withColumn(fresh(docs, column)[0], score(text_of("text").cast("binary")))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

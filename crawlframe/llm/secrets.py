@@ -107,6 +107,7 @@ def free_runs(text: str, taken: list[Span]) -> Iterator[tuple[int, int]]:
 
 def with_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = RATIO, column: str = "__spans") -> DataFrame:
     """``docs`` with an array of structs (kind, start, end) in ``column``; positions are code points, ends exclusive.
+    Other columns are kept, and where one has that name the new one gets underscores before it.
 
     Kinds are those of KINDS: three fixed patterns, and ``token`` for strings with at most ``ratio`` characters per
     token of the vocabulary, outside the spans of the fixed patterns (see ``RandomStrings.spans``). Letters of one case
@@ -129,7 +130,7 @@ def with_secrets(docs: DataFrame, vocabulary: str = VOCABULARY, ratio: float = R
             yield pd.DataFrame(rows, columns=["kinds", "starts", "ends"])
 
     names = F.array(*map(F.lit, KINDS))
-    raw, = fresh(docs, "__found")
+    column, raw = fresh(docs, column, "__found")
     found = docs.withColumn(raw, find(text_of("text")))
     return found.withColumn(column, F.transform(
         F.arrays_zip(F.col(f"{raw}.kinds").alias("k"), F.col(f"{raw}.starts").alias("a"), F.col(f"{raw}.ends").alias("b")),

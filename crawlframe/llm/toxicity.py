@@ -351,7 +351,8 @@ class Scorer:
 
 
 def with_toxicity(docs: DataFrame, labels: DataFrame, column: str = "__score", per_class: int = TRAIN_ROWS) -> DataFrame:
-    """``docs`` with the toxicity score of each text, between 0 and 1, in ``column``; other columns are kept.
+    """``docs`` with the toxicity score of each text, between 0 and 1, in ``column``; other columns are kept, and where
+    one has that name the new one gets underscores before it.
 
     The network is fitted on at most ``per_class`` labelled rows of either class that are not held out, of long ones on
     stretches of TRAIN_CHARS characters together. It scores windows of WINDOW words, each STRIDE words on, of each whole
@@ -373,7 +374,7 @@ def with_toxicity(docs: DataFrame, labels: DataFrame, column: str = "__score", p
             else:
                 yield pd.Series(scorer.scores(found))
 
-    return docs.withColumn(column, score(text_of("text")))
+    return docs.withColumn(fresh(docs, column)[0], score(text_of("text")))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

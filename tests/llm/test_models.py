@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from crawlframe.llm import html_extract, quality, toxicity
+from crawlframe.llm import html_extract, quality, secrets, toxicity
 from crawlframe.llm.common import table
 from crawlframe.llm.dom import parse
 from crawlframe.llm.labelled import held_out, labelled_sample
@@ -150,6 +150,14 @@ def test_toxicity_filter_keeps_columns(spark, odd_dir, monkeypatch):
     assert all(r["__score"].startswith("__score-") for r in kept.collect())
 
 
+def test_no_column_is_replaced(spark):
+    docs = spark.createDataFrame([(1, "a b", "mine", "also")], "doc_id long, text string, __score string, spans string")
+    none = spark.createDataFrame([], "doc_id long, toxic long, quality long")
+    for found in (toxicity.with_toxicity(docs, none), quality.with_quality(docs, none), secrets.with_secrets(docs, column="SPANS")):
+        assert found.columns[:-1] == docs.columns and found.columns[-1].startswith("_")
+        assert found.first()[:4] == (1, "a b", "mine", "also")
+
+
 def test_pairs_of_the_machine_by_hand():
     machine = quality.Machine.random(2)
     machine.linear = np.random.default_rng(0).normal(size=quality.SIZE).astype(np.float32)
@@ -174,7 +182,8 @@ def test_awkward_pages(spark, odd_dir):
     texts = [(r["page_id"], r["text"]) for r in found]
     assert texts.count((4, "A & b C d.")) == 2 and (1, "") in texts and (2, "") in texts
     assert max(len(t) for _, t in texts) > 600_000
-    assert html_extract.with_main_text(table(spark, odd_dir, "pages")).columns == table(spark, odd_dir, "pages").columns
+    pages = table(spark, odd_dir, "pages")
+    assert html_extract.with_main_text(pages).columns == [*pages.columns, "___main"]
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><div id="menu"><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></div>
