@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import exchange
-from .common import LAST_ID, in_blocks, stored, stored_alone, table
+from .common import stored, stored_alone, table, text_of
 from .substring_dedup import word_hashes
 
 ORDER = 3
@@ -152,6 +152,20 @@ def count_and_join(pdf: pd.DataFrame) -> pd.DataFrame:
     return exchange.as_frame(rows)
 
 
+def dealt_out(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+    """(key, missing, text in bytes, block) per row, and the number of blocks, whose mean text is ``block_bytes``.
+
+    ``missing`` marks rows without a doc_id. A score does not depend on which texts share a block, so the hash of id and
+    text deals the rows out: those of one id, or of none, spread like others.
+    """
+    text = text_of("text").cast("binary")
+    total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_bytes))
+    own_id = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(own_id, F.lit(0)).alias("key"), own_id.isNull().alias("missing"), text.alias("text"),
+                       F.pmod(F.xxhash64(own_id, text), F.lit(blocks)).cast("int").alias("block")), blocks
+
+
 def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, log_score (natural logarithm, summed over the words).
 
@@ -163,14 +177,14 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_
     Blocks of documents explode their texts into n-grams and count them, before anything is shuffled; the count tables
     are partitioned by ranges of the n-grams' hashes, where blocks' counts are summed and joined back to each block's
     n-grams, and a block sums the scores per document. An n-gram in a third of all texts comes once per block. What is
-    exchanged grows with the text; orders follow one another, so that only one of them is on the disks at a time. Hashes have 64 bits, and as many bytes more as the size of the corpus asks for
-    (``extra_bytes``); an n-gram never counts as seen more often than its context.
+    exchanged grows with the text; orders follow one another, so that only one of them is on the disks at a time.
+    Hashes have 64 bits, and as many bytes more as the size of the corpus asks for (``extra_bytes``); an n-gram never counts as seen more often than its context.
 
     Words are runs without white space, unchanged. NULL and empty texts have no words and log_score 0. A NULL doc_id
     stays NULL. Repeated rows are scored one by one, each against the other. An empty table gives no rows. Other
     columns are not read.
     """
-    rows, blocks = in_blocks(docs, block_bytes=block_bytes)
+    rows, blocks = dealt_out(docs, block_bytes)
     total = blocks * block_bytes
     extra = extra_bytes(total)
     span = exchange.owner_span(64, total // 3)
@@ -188,7 +202,7 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_
         return explode
 
     def add_up(pdf: pd.DataFrame, joined: pd.DataFrame) -> pd.DataFrame:
-        columns = ["key", "n_words", "log_counts", "alone"]
+        columns = ["key", "missing", "n_words", "log_counts", "alone"]
         if pdf.empty:
             return pd.DataFrame([], columns=columns)
         words, row, start, sizes = _positions(pdf, extra)
@@ -211,7 +225,7 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_
                 alone[at] = False
             contexts = others
             del grams, corpus
-        return pd.DataFrame({"key": pdf["key"].to_numpy(), "n_words": sizes, "log_counts": np.bincount(row, logs, len(sizes)),
+        return pd.DataFrame({"key": pdf["key"].to_numpy(), "missing": pdf["missing"].to_numpy(), "n_words": sizes, "log_counts": np.bincount(row, logs, len(sizes)),
                              "alone": np.bincount(row, alone, len(sizes)).astype(np.int64)})[columns]
 
     by_block, message = rows.groupBy("block"), exchange.MESSAGE
@@ -219,9 +233,9 @@ def scored(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, block_
     parts = [stored_alone(by_block.applyInPandas(exploded(n), message).groupBy("owner").applyInPandas(count_and_join, message), f"lm-{n}")
              for n in range(1, order + 1)]
     joined = reduce(DataFrame.unionByName, parts)
-    sums = stored_alone(by_block.cogroup(joined.groupBy("block")).applyInPandas(add_up, "key long, n_words long, log_counts double, alone long"), "lm")
+    sums = stored_alone(by_block.cogroup(joined.groupBy("block")).applyInPandas(add_up, "key long, missing boolean, n_words long, log_counts double, alone long"), "lm")
     n = sums.agg(F.sum("n_words")).first()[0] or 0
-    return sums.select(F.nullif("key", F.lit(LAST_ID)).alias("doc_id"), "n_words",
+    return sums.select(F.when(~F.col("missing"), F.col("key")).alias("doc_id"), "n_words",
                        (F.col("log_counts") - F.col("alone") * F.log(F.greatest(F.lit(n) - F.col("n_words"), F.lit(1)))).alias("log_score"))
 
 

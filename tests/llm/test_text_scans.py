@@ -185,6 +185,18 @@ def test_backoff_scores(spark, odd_dir, order, block):
     assert Counter((r["doc_id"], r["n_words"], round(r["log_score"], 3)) for r in found) == Counter(expected)
 
 
+def test_rows_without_an_id_spread_over_blocks(spark):
+    last = (1 << 63) - 1
+    docs = spark.createDataFrame([(None if i % 3 else last - i, f"text number {i} of some words") for i in range(300)], "doc_id long, text string")
+    rows, blocks = lm_score.dealt_out(docs, 1_000)
+    sizes = Counter(r["block"] for r in rows.where("missing").collect())
+    assert blocks > 5 and len(sizes) == blocks and max(sizes.values()) < 3 * 200 / blocks
+    found = lm_score.scored(docs, block_bytes=1_000).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(r["doc_id"] for r in docs.collect())
+    whole = lm_score.scored(docs).collect()
+    assert sorted(round(r["log_score"], 6) for r in whole) == sorted(round(r["log_score"], 6) for r in found)
+
+
 def test_counts_travel_whole():
     import numpy as np
 
