@@ -9,31 +9,49 @@ from crawlframe.llm.common import bounded_batches, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity network scores at its threshold or above go."""
+    """Documents that the toxicity network scores at its threshold or above go.
+
+    NULL and empty texts score 0 and stay. Repeated rows score alike, so all or none of them stay. An empty table gives no rows.
+    """
     bounded_batches(spark)
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays.
+
+    NULL and empty texts are one group; a NULL doc_id ranks below all others; of rows equal in doc_id and text any one
+    stays. An empty table gives no rows.
+    """
     bounded_batches(spark)
     return exact_dedup.without_duplicates(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by SimHash the one with the smallest doc_id stays, one of each component."""
+    """Of documents linked by SimHash the one with the smallest doc_id stays, one of each component.
+
+    NULL and empty texts are one component; a NULL doc_id counts as the largest; of rows that tie, or are repeated, one
+    stays. An empty table gives no rows.
+    """
     bounded_batches(spark)
     return simhash.without_near_duplicates(docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of a benchmark item go."""
+    """Documents with a window of a benchmark item go.
+
+    NULL and empty texts stay. Repeated rows stay or go together. An empty benchmark takes nothing, an empty table gives no rows.
+    """
     bounded_batches(spark)
     return decontaminate.without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their pass, block and place in the block of the mix; a document may come in several passes."""
+    """Documents with their pass, block and place in the block of the mix; a document may come in several passes.
+
+    NULL sources are a source of their own. NULL and empty texts have no tokens and come in the passes that reach them.
+    Repeated rows are taken each on its own; which of equal ones is at the edge is open. An empty table gives an empty mix.
+    """
     bounded_batches(spark)
     return mixing.mixture(docs)
 
