@@ -211,6 +211,9 @@ def test_ngrams_that_share_a_hash_are_told_apart():
     first, second = np.array([9, 4, 4, 9, 4], np.uint64), np.array([1, 7, 2, 1, 7], np.uint64)
     by, new = lm_score.in_order(first, second)
     assert by.tolist() == [2, 1, 4, 0, 3] and new.tolist() == [True, True, False, True, False]
+    many = np.random.default_rng(5).integers(0, 3_000, 10_000).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    by, new = lm_score.in_order(many, None)
+    assert by.tolist() == np.argsort(many, kind="stable").tolist() and new.sum() == len(np.unique(many))
     send = lambda a, b, c: lm_score._packed(np.array(a, np.uint64), np.array(b, np.uint64), np.array(c), 2)
     sent = pd.DataFrame([(0, 0, 3, send([4, 4, 9], [2, 700, 1], [1, 2, 3])), (1, 0, 3, send([4, 9], [700, 5], [10, 20]))],
                         columns=["block", "owner", "kind", "payload"])
