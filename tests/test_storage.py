@@ -1,8 +1,11 @@
 """Sources, sinks and streams against files."""
 
+import contextlib
+import io
 import json
 import os
 import re
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -12,7 +15,8 @@ from crawlframe.functions import text
 from crawlframe.operators import filters
 from crawlframe.plans import views
 from crawlframe.schemas import CRAWL_RESULT, LINK_PROBE, PAGE
-from crawlframe.sources import sinks, store
+from crawlframe.sources import sinks, store, views as derived
+from crawlframe.sources.tables import Tables
 from crawlframe.streaming import jobs
 from tests.test_operators import result, results
 
@@ -156,6 +160,62 @@ def test_lookup_by_key_reaches_the_scan(spark, tmp_path):
         assert filters.lookup_keys(front, stored, spark.createDataFrame([(key,)], "key string")).first()["database"] is None
 
 
+@contextlib.contextmanager
+def shuffled_joins(spark):
+    """No broadcasts and a plan that is whole before it runs."""
+    now = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in now}
+    for k, v in now.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def shuffled(df):
+    """The columns of each shuffle by a hash in a plan, one that is used again counting once."""
+    with contextlib.redirect_stdout(io.StringIO()) as said:
+        df.explain("formatted")
+    return [re.findall(r"(\w+)#", columns) for columns in re.findall(r"(?m)^\(\d+\) Exchange.*\nInput \[\d+\]: \[(.*)\]\nArguments: hashp", said.getvalue())]
+
+
+def test_lookup_of_many_keys_shuffles_a_value_once(spark):
+    rows = results(spark, *[result(f"http://h{i % 7}.org/_{i % 5}_1", processed_at=T0, dead_links=["http://d/_1_2"] * (i % 2)) for i in range(40)],
+                   result("http://n.org/", processed_at=None), result(None, processed_at=T0))
+    front = rows.select("url", F.lit(1).alias("depth"), F.col("processed_at").alias("timestamp"), F.lit(0).alias("retries")).distinct()
+    stored = Counter([("URLs", k, v) for k, v in front.select(text.frontier_key(F.col("url")), filters._json(front)).collect()]
+                     + [("Results", k, v) for k, v in rows.select(text.result_key(), filters._json(rows)).collect()])
+    known = sorted({k for _, k, _ in stored if k is not None})
+    asked = [*known[::2], known[0], "url:none", "other", "result:http://h1.org/_1", None, None]
+    keys = spark.createDataFrame([(k,) for k in asked], "key string")
+    expected = Counter({x: n for x, n in stored.items() if x[1] in asked and x[1] is not None})
+    expected.update((None, k, None) for k in set(asked) - set(known))
+    found = filters.lookup_keys(front, rows, keys)
+    assert Counter((r["database"], r["key"], r["raw_value"]) for r in found.collect()) == expected
+    with shuffled_joins(spark):
+        found = filters.lookup_keys(front, rows, keys)
+        assert Counter((r["database"], r["key"], r["raw_value"]) for r in found.collect()) == expected
+        moved = shuffled(found)
+    assert sum("raw_value" in columns for columns in moved) == 1, moved
+    assert sum(columns == ["key"] for columns in moved) == 1, moved
+
+
+def test_visits_are_not_shuffled_with_titles_and_links(spark, tmp_path):
+    spark.createDataFrame([(i, T0, "error" if i % 3 == 0 else "view", 1.5) for i in range(12)], "event_id long, ts timestamp, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(i, f"http://p{i}.org/", f"<title>T{i}</title><a href='/x{i}'>") for i in range(4)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(i, f"a{i}@b.org the") for i in range(3)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    tables = Tables(spark, str(tmp_path))
+    with shuffled_joins(spark):
+        rows = derived.derive_visit_results(tables)
+        got = {r["event_id"]: (r["url"], r["title"], r["emails"], r["keywords"], r["links_checked"]) for r in rows.collect()}
+        moved = shuffled(rows)
+    assert got == {i: (f"http://p{i % 4}.org/", f"T{i % 4}", [f"a{i % 3}@b.org"] if i % 3 else [], {"the": 1} if i % 3 else {}, 1 if i % 3 else 0) for i in range(12)}
+    assert sum("event_id" in columns for columns in moved) == 2
+    assert not any("event_id" in columns and {"url", "title", "new_urls"} & set(columns) for columns in moved), moved
+
+
 def test_possible_urls_of_a_key(spark):
     keys = ["result:http://a/b_1_2_-3_http://d_4", "result:x_1", "result:nothing", "url:http://u_1/", "url:", "result:_7", "z", "result:a_1b_2\n_3"]
     df = spark.createDataFrame([(k,) for k in keys], "key string")
