@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from urllib.parse import unquote, urlparse
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SIZE = 3
+BITS = 21  # of a character
+STRETCH = 4 << 20  # bytes of text that are cut at a time
+MOST_GIVEN = 1_000_000  # trigrams of a file that a task remembers; beyond that some are given twice
 _INDEX = "trigram string, file string"
 
 
@@ -18,12 +25,47 @@ def result_texts() -> Column:
     return F.array(F.col("url"), F.col("title"), F.to_json(F.struct("title")), keywords, *lists)
 
 
-def trigrams(value: Column) -> Column:
-    """Distinct runs of three characters of a text, lower-cased; none of a shorter one."""
-    lowered = F.lower(value)
-    starts = F.sequence(F.lit(1), F.length(lowered) - (SIZE - 1))
-    return F.when(F.length(lowered) >= SIZE, F.array_distinct(F.transform(starts, lambda i: F.substring(lowered, i, F.lit(SIZE))))) \
-            .otherwise(F.array().cast("array<string>"))
+def trigrams(texts: pa.Array) -> np.ndarray:
+    """Distinct runs of three characters of lower-cased texts, a number each; none of a shorter text.
+
+    Texts are made distinct and laid end to end in stretches, so that memory is bounded by a stretch or the longest text.
+    """
+    texts, parts = pc.unique(texts.drop_null()), [np.empty(0, np.int64)]
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
+    cuts = np.flatnonzero(np.diff(ends // STRETCH)) + 1  # a text that a multiple of the size falls into begins a stretch
+    for start, stop in zip([0, *cuts], [*cuts, len(texts)]):
+        some = texts.slice(start, stop - start).to_pylist()
+        chars = np.frombuffer("".join(some).encode("utf-32-le"), "<u4").astype(np.int64)
+        within = np.ones(max(0, len(chars) - (SIZE - 1)), bool)
+        last = np.cumsum([len(t) for t in some], dtype=np.int64) - 1
+        for back in range(SIZE - 1):  # no run reaches from one text into the next
+            over = last - back
+            within[over[(over >= 0) & (over < len(within))]] = False
+        codes = sum(chars[i:i + len(within)] << BITS * (SIZE - 1 - i) for i in range(SIZE))
+        parts.append(pd.unique(codes[within]))
+    return pd.unique(np.concatenate(parts))
+
+
+def _written_out(codes: np.ndarray) -> list[str]:
+    """The runs of three characters that ``trigrams`` numbered."""
+    chars = np.stack([codes >> BITS * (SIZE - 1 - i) & (1 << BITS) - 1 for i in range(SIZE)], 1)
+    text = chars.astype("<u4").tobytes().decode("utf-32-le")
+    return [text[i:i + SIZE] for i in range(0, len(text), SIZE)]
+
+
+def _file_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """trigram, file: those of each batch that a task has not given for the file yet."""
+    last, given = None, np.empty(0, np.int64)
+    for batch in batches:
+        files = batch.column("file").dictionary_encode()
+        for i, file in enumerate(files.dictionary.to_pylist()):
+            if file != last or len(given) > MOST_GIVEN:
+                last, given = file, np.empty(0, np.int64)
+            codes = trigrams(batch.column("texts").filter(pc.equal(files.indices, i)).flatten())
+            codes = codes[~np.isin(codes, given)]
+            given = np.concatenate([given, codes])
+            if len(codes):
+                yield pa.RecordBatch.from_arrays([pa.array(_written_out(codes), pa.string()), pa.array([file] * len(codes), pa.string())], ["trigram", "file"])
 
 
 def _place(file: str) -> str:
@@ -53,17 +95,17 @@ class TrigramIndex:
     def update(self, texts: Column | None = None) -> None:
         """Index the files that are not in the index yet, and only these.
 
-        Trigrams are made distinct per row and task before they are shuffled. They are written in order, with a Bloom
-        filter, so that a search reads those of its term alone. File names follow last: a failure in between leaves
-        the files unknown, and some of their trigrams twice, which changes no search.
+        Trigrams are made distinct per file and task, in Arrow batches, before they are shuffled. They are written in
+        order, with a Bloom filter, so that a search reads those of its term alone. File names follow last: a failure
+        in between leaves the files unknown, and some of their trigrams twice, which changes no search.
         """
         known = self.known()
         fresh = sorted(f for place, f in self._files().items() if place not in known)
         if not fresh:
             return
-        rows = self.spark.read.parquet(*fresh)
-        grams = F.array_distinct(F.flatten(F.transform(result_texts() if texts is None else texts, lambda v: F.coalesce(trigrams(v), F.array().cast("array<string>")))))
-        found = rows.select(F.explode(grams).alias("trigram"), F.col("_metadata.file_path").alias("file")).distinct()
+        lowered = F.transform(result_texts() if texts is None else texts, F.lower)
+        rows = self.spark.read.parquet(*fresh).select(lowered.alias("texts"), F.col("_metadata.file_path").alias("file"))
+        found = rows.mapInArrow(_file_trigrams, _INDEX).distinct()
         (found.repartitionByRange("trigram").sortWithinPartitions("trigram", "file").write.mode("append")
          .option("parquet.bloom.filter.enabled#trigram", "true").parquet(f"{self.path}/trigrams"))
         self.spark.createDataFrame([(_place(f),) for f in fresh], "file string").coalesce(1).write.mode("append").parquet(f"{self.path}/files")

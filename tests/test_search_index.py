@@ -1,10 +1,13 @@
 """Searching stored results through the trigram index: the same rows, from fewer files."""
 
+import random
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from crawlframe.operators import filters
+from crawlframe.operators import filters, search_index
 from crawlframe.operators.search_index import TrigramIndex
 from crawlframe.plans import views
 from tests.test_operators import result, results
@@ -62,3 +65,32 @@ def test_a_failure_before_the_names_are_written_changes_no_search(spark, index,
         assert [r["url"] for r in filters.search_results(index.rows("later"), "later").collect()] == ["http://new.org/"]
         index.update()
     assert len(index.candidates("later")) == 1
+
+
+@pytest.mark.parametrize("stretch", [5, 40, 1 << 22])
+def test_trigrams_of_texts(monkeypatch, stretch):
+    monkeypatch.setattr(search_index, "STRETCH", stretch)
+    pick = random.Random(7)
+    for _ in range(200):
+        texts = ["".join(pick.choices("abé漢😀\0 ", k=pick.choice([0, 1, 2, 3, 4, 30]))) for _ in range(pick.randrange(8))]
+        found = search_index._written_out(search_index.trigrams(pa.array([*texts, None], pa.string())))
+        assert sorted(found) == sorted({t[i:i + 3] for t in texts for i in range(len(t) - 2)})
+
+
+def test_a_task_gives_each_trigram_of_a_file_once():
+    def batch(*rows):
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows], pa.list_(pa.string())), pa.array([f for _, f in rows])], ["texts", "file"])
+
+    batches = [batch(*[(["abcd", None, "bc"], "f")] * 500, (None, "f")), batch((["xabc"], "f"), (["abc"], "g"), ([], "h"))]
+    found = [(r["file"], r["trigram"]) for b in search_index._file_trigrams(iter(batches)) for r in b.to_pylist()]
+    assert sorted(found) == [("f", "abc"), ("f", "bcd"), ("f", "xab"), ("g", "abc")]
+
+
+def test_index_of_odd_rows(spark, tmp_path):
+    odd = [result("http://é.org/İ", title=None, processed_at=AT, emails=None), result("http://x/", title="a😀b", emails=[None, "q@x.org"], processed_at=None)] * 2
+    results(spark, *odd).coalesce(1).write.parquet(str(tmp_path / "t"))
+    index = TrigramIndex(spark, str(tmp_path / "t"), str(tmp_path / "i"))
+    index.update()
+    texts = spark.read.parquet(index.table).select(F.explode(F.transform(search_index.result_texts(), F.lower)).alias("t")).dropna().collect()
+    found = [r["trigram"] for r in spark.read.parquet(f"{index.path}/trigrams").collect()]
+    assert sorted(found) == sorted({r["t"][i:i + 3] for r in texts for i in range(len(r["t"]) - 2)})
